@@ -209,12 +209,12 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """Encode every whole text, decode it again, and digest both.
 
     Returns ``id_col``, ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit integers),
-    ``decoded_sha256`` and, with ``keep_ids``, ``token_ids`` (array of long). One row per input row, so
+    ``decoded_sha256`` and, with ``keep_ids``, ``token_ids`` (array of int). One row per input row, so
     repeated rows repeat; a null or empty text has no tokens and the digests of no bytes; a null id is
     kept. Other columns are ignored. A narrow map: no shuffle, and a lost task is simply run again.
     """
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-    fields += [pa.field("token_ids", pa.list_(pa.int64()))] * keep_ids
+    fields += [pa.field("token_ids", pa.list_(pa.int32()))] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -229,12 +229,13 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                     pa.array([hashlib.sha256(bpe.decode(p)).hexdigest() for p in packed]),
                 ]
                 if keep_ids:
-                    columns.append(pa.array([np.frombuffer(p, "<u4").astype(np.int64) for p in packed], pa.list_(pa.int64())))
+                    ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4"))))
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field("id", ids.type), *fields]))
 
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<long>" * keep_ids
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,19 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master, as in tests, may fall
-    back to a temporary folder; a cluster without the setting is an error.
+    Only a local master, as in tests, may do without the setting and gets a temporary folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _temporary()
+
+
+@lru_cache(maxsize=1)
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="gaugeworks-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as a checkpoint and go on from that copy, so its lineage ends there."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gaugeworks-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
