@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, licenses, oracles, secrets, simhash, token_count
+from . import bpe, decontaminate, html_text, langid, licenses, nearest, oracles, secrets, simhash, token_count
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_decontamination": op5_decontamination,
+        "op6_nearest": op6_nearest,
         "op7_simhash": op7_simhash,
         "op8_html_text": op8_html_text,
         "op9_token_count": op9_token_count,
