@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, licenses, nearest, oracles, secrets, simhash, token_count
-from .common import table
+from . import bpe, decontaminate, html_text, langid, licenses, nearest, oracles, secrets, simhash, token_count, token_files
+from .common import shared_folder, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum in the token files, read back from them."""
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in benchmark windows."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -73,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_license_scan": op2_license_scan,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_token_files": op4_token_files,
         "op5_decontamination": op5_decontamination,
         "op6_nearest": op6_nearest,
         "op7_simhash": op7_simhash,
