@@ -52,10 +52,12 @@ def raw_factors(events: DataFrame, ref: DataFrame, devices: DataFrame, code_regi
 
 def build_factors(events: DataFrame, ref: DataFrame, devices: DataFrame, code_registry: DataFrame, overrides: DataFrame, w: Weights) -> DataFrame:
     """``raw_factors`` with coefficients and ``penalty``."""
-    return coefficients(raw_factors(events, ref, devices, code_registry, overrides, w), w).withColumn("penalty", PENALTY)
+    return coefficients(raw_factors(events, ref, devices, code_registry, overrides, w), w).withColumn("penalty", penalty())
 
 
-PENALTY = F.col("s") * F.col("r") * F.col("c") * F.col("a")
+def penalty() -> Column:
+    """The penalty of a factor with coefficients."""
+    return F.col("s") * F.col("r") * F.col("c") * F.col("a")
 
 
 def cap_critical(factors: DataFrame, limit: int = 1) -> DataFrame:
@@ -153,7 +155,7 @@ def score_fleet(events: DataFrame, snapshots: DataFrame, devices: DataFrame, cod
 
 def rescore(raw: DataFrame, ids: DataFrame, flags: DataFrame, w: Weights) -> DataFrame:
     """Score saved raw factors under another profile; nothing is classified again."""
-    return score(coefficients(raw, w).withColumn("penalty", PENALTY), ids, flags, w)
+    return score(coefficients(raw, w).withColumn("penalty", penalty()), ids, flags, w)
 
 
 def score_profiles(raw: DataFrame, ids: DataFrame, flags: DataFrame, profiles: list[Weights]) -> DataFrame:

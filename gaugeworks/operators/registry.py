@@ -41,10 +41,10 @@ def classify(codes: DataFrame, registry: DataFrame, overrides: DataFrame) -> Dat
     known = registry.select(F.col("vendor").alias("r_vendor"), F.col("model_slug").alias("r_slug"), F.col("code").alias("r_code"), "vendor_order", F.struct("severity", "component", "description").alias("found"))
     met = keys.join(known, (C.model_slug(F.col("model")) == F.col("r_slug")) & (F.col("key") == F.col("r_code")))
     rank = F.struct((F.col("vendor") != F.col("r_vendor")).cast("int"), F.col("vendor_order"), F.col("r_vendor"))
-    hits = met.groupBy("vendor", "model", "key").agg(F.min_by("found", rank).alias("found"))
+    hits = met.groupBy(F.col("vendor").alias("h_vendor"), F.col("model").alias("h_model"), F.col("key").alias("h_key")).agg(F.min_by("found", rank).alias("found"))
     extra = overrides.select(F.col("code").alias("key"), F.col("severity").alias("o_severity"), F.col("confidence").alias("o_confidence"))
-    same = lambda a, b: a["vendor"].eqNullSafe(b["vendor"]) & a["model"].eqNullSafe(b["model"]) & (a["key"] == b["key"])
-    out = codes.join(hits, same(codes, hits), "left").select(*[codes[c] for c in codes.columns], "found").join(extra, "key", "left")
+    same = F.col("vendor").eqNullSafe(F.col("h_vendor")) & F.col("model").eqNullSafe(F.col("h_model")) & (F.col("key") == F.col("h_key"))
+    out = codes.join(hits, same, "left").join(extra, "key", "left")
     known_ = F.col("found").isNotNull()
     return out.select(
         *codes.columns,

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-KEY = F.coalesce("error_code", "error_description", F.lit(""))
+def event_key():
+    """What an event is counted by: its code, else its description, else ""."""
+    return F.coalesce("error_code", "error_description", F.lit(""))
 
 
 def reference_time(events: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def list_devices(events: DataFrame, snapshots: DataFrame, devices: DataFrame) ->
 def latest_by_code(events: DataFrame) -> DataFrame:
     """The latest event of each device and key (code, else description, else ""); equal times go to the first row."""
     order = W.partitionBy("device_id", "key").orderBy(F.desc("ts"), "row_no")
-    return events.withColumn("key", KEY).withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+    return events.withColumn("key", event_key()).withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
 def recent_events(events: DataFrame, ref: DataFrame, days: int = 30, cap: int = 50, keyless: int = 10) -> DataFrame:
@@ -41,7 +43,7 @@ def recent_events(events: DataFrame, ref: DataFrame, days: int = 30, cap: int =
 
     ``device_id, total, truncated, unique_codes`` (sorted) and ``events``, newest first.
     """
-    recent = events_in_window(events, ref, days).withColumn("key", KEY)
+    recent = events_in_window(events, ref, days).withColumn("key", event_key())
     order = W.partitionBy("device_id", "key").orderBy(F.desc("ts"), "row_no")
     kept = recent.withColumn("nth", F.row_number().over(order)).filter((F.col("nth") == 1) | ((F.col("key") == "") & (F.col("nth") <= keyless)))
     newest = W.partitionBy("device_id").orderBy(F.desc("ts"), "row_no")
