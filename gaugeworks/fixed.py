@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# Timestamp formats in the order they are tried; patterns accept missing leading zeros.
-TIMESTAMP_FORMATS = (
-    "d.M.yyyy H:m:s", "d.M.yyyy H:m", "d.M.yyyy", "yyyy-M-d H:m:s", "yyyy-M-d",
-    "d/M/yyyy H:m:s", "d/M/yyyy", "M/d/yyyy H:m:s", "M/d/yyyy",
-)
-ISO_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS")
+# Timestamp formats in the order they are tried; digits may lack leading zeros, parts in brackets may be missing.
+TIMESTAMP_FORMATS = ("d.M.yyyy[ H:m[:s]]", "yyyy-M-d[ H:m:s]", "d/M/yyyy[ H:m:s]", "M/d/yyyy[ H:m:s]")
+ISO_FORMATS = ("yyyy-MM-dd['T'][' ']HH:mm:ss[.SSSSSS][.SSS][XXX]",)
 UNIX_LEAST = 1_000_000_000
 
 # Error codes.

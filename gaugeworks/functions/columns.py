@@ -55,7 +55,8 @@ def coerce_level(c: Column, multiplier: Column | float = 1.0) -> Column:
     """A percentage: number times multiplier, rounded half to even, within 0..100; bad numbers are null."""
     number = F.trim(c).try_cast("double")
     number = F.when(~F.isnan(number), number)
-    return F.least(F.lit(100), F.greatest(F.lit(0), F.bround(number * multiplier, 0).cast("long"))).cast("int")
+    percent = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(number * multiplier, 0)))
+    return F.when(number.isNotNull(), percent).cast("int")
 
 
 def coerce_count(c: Column) -> Column:

@@ -69,12 +69,13 @@ def parse(df: DataFrame, aliases: DataFrame, hints: dict[str, float] | None = No
         "has_code_column": F.lit("error_code" in present), "has_resource_columns": F.lit(any(c in present for c in RESOURCES)),
     })
     bad_time = F.col("raw_timestamp").isNotNull() & F.col("ts").isNull()
+    why = lambda reason, name: F.struct(F.lit(reason).alias("reason"), F.lit(name).alias("field"))
     reason = (
-        F.when(bad_time, F.struct(F.lit("bad timestamp").alias("reason"), F.lit("timestamp").alias("field")))
-        .when(F.col("device_id").isNull(), F.struct(F.lit("no device_id"), F.lit("device_id")))
-        .when(F.col("ts").isNull(), F.struct(F.lit("no timestamp"), F.lit("timestamp")))
-        .when(F.length("device_id") > 100, F.struct(F.lit("device_id too long"), F.lit("device_id")))
-        .when(F.col("mileage") < 0, F.struct(F.lit("negative mileage"), F.lit("mileage")))
+        F.when(bad_time, why("bad timestamp", "timestamp"))
+        .when(F.col("device_id").isNull(), why("no device_id", "device_id"))
+        .when(F.col("ts").isNull(), why("no timestamp", "timestamp"))
+        .when(F.length("device_id") > 100, why("device_id too long", "device_id"))
+        .when(F.col("mileage") < 0, why("negative mileage", "mileage"))
     )
     return out.withColumn("why", reason).drop("timestamp", "raw_timestamp")
 

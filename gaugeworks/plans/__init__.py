@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scoring
+from . import fleet, ingest, scoring
 
-_MODULES = (scoring,)
+_MODULES = (ingest, scoring, fleet)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -111,9 +111,12 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*leaves(df.schema, ()))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file as text columns: an array of objects, one object, or one key around an array of objects."""
-    df = spark.read.json(path, multiLine=True, primitivesAsString=True, mode="FAILFAST")
+def read_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON as text columns: an array of objects, one object, or one key around an array of objects.
+
+    A document is a file, or with ``multi_line=False`` a line.
+    """
+    df = spark.read.json(path, multiLine=multi_line, primitivesAsString=True, mode="FAILFAST")
     if len(df.schema.fields) == 1 and isinstance(kind := df.schema.fields[0].dataType, T.ArrayType) and isinstance(kind.elementType, T.StructType):
         df = df.select(F.explode(df.columns[0]).alias("r")).select("r.*")
     if not df.columns:
