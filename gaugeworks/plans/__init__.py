@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fleet, ingest, scoring
+from . import documents, fleet, ingest, scoring
 
-_MODULES = (ingest, scoring, fleet)
+_MODULES = (ingest, scoring, fleet, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -110,7 +110,9 @@ def duck(sql: str, **more: str) -> str:
     body = "\n".join([*more.values(), sql])
     ctes = [f"{n} AS ({_dialect(TABLES[n], True)})" for n in _needed(body)] + [f"{n} AS ({_dialect(q, True)})" for n, q in more.items()]
     text = (f"WITH {', '.join(ctes)} " if ctes else "") + _dialect(sql, True)
-    return re.sub(r"\{(\w+)\}", r"\1", text)
+    for source in SOURCES:
+        text = text.replace(f"{{{source}}}", source)
+    return text
 
 
 class Model:
