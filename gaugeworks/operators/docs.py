@@ -88,25 +88,30 @@ def sized_parts(c: Column, most: int, overlap: int) -> Column:
     out = F.array(c)
     for sep in (" ", ". ", "\n", "\n\n"):
         pieces = F.split(c, "\\Q" + sep + "\\E")
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("size"))
-
-        def step(a, x, sep=sep):
-            n, words = F.size(tokens(x)), tokens(a["now"])
-            full = a["now"].isNotNull() & (a["size"] + n > most)
-            tail = F.when(F.size(words) > overlap, F.concat_ws(" ", F.slice(words, -overlap, overlap)) if overlap else F.lit(None).cast("string")).otherwise(a["now"])
-            kept = F.when(F.size(words) > overlap, F.lit(overlap)).otherwise(F.size(words))
-            joined = lambda old: F.when(old.isNull(), x).otherwise(F.concat(old, F.lit(sep), x))
-            return F.struct(
-                F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
-                F.when(full, joined(tail)).otherwise(joined(a["now"])).alias("now"),
-                F.when(full, kept + n).otherwise(a["size"] + n).alias("size"),
-            )
-
-        packed = F.aggregate(pieces, start, step, lambda a: F.array_compact(F.concat(a["done"], F.array(a["now"]))))
-        out = F.when(F.size(pieces) > 1, packed).otherwise(out)
+        out = F.when(F.size(pieces) > 1, _packed(pieces, sep, most, overlap)).otherwise(out)
     return F.when(F.size(tokens(c)) <= most, F.array(c)).otherwise(out)
 
 
+def _packed(pieces: Column, sep: str, most: int, overlap: int) -> Column:
+    """Pieces joined greedily up to ``most`` words, with overlap."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("size"))
+
+    def step(a, x):
+        n, words = F.size(tokens(x)), tokens(a["now"])
+        full = a["now"].isNotNull() & (a["size"] + n > most)
+        last = F.concat_ws(" ", F.slice(words, -overlap, overlap)) if overlap else F.lit(None).cast("string")
+        tail = F.when(F.size(words) > overlap, last).otherwise(a["now"])
+        kept = F.when(F.size(words) > overlap, F.lit(overlap)).otherwise(F.size(words))
+        joined = lambda old: F.when(old.isNull(), x).otherwise(F.concat(old, F.lit(sep), x))
+        return F.struct(
+            F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
+            F.when(full, joined(tail)).otherwise(joined(a["now"])).alias("now"),
+            F.when(full, kept + n).otherwise(a["size"] + n).alias("size"),
+        )
+
+    return F.aggregate(pieces, start, step, lambda a: F.array_compact(F.concat(a["done"], F.array(a["now"]))))
+
+
 def split_sized(docs: DataFrame, most: int = 500, overlap: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """``document_id, keep…, part_no, text`` of ``sized_parts``."""
     return docs.select("document_id", *keep, F.posexplode(sized_parts(F.col("text"), most, overlap)).alias("part_no", "text"))

@@ -22,7 +22,7 @@ class Malformed(ValueError):
 
 
 def _head(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    rows = spark.read.option("encoding", encoding).text(path).limit(200).collect()  # a bounded head, for sniffing only
+    rows = _text(spark, path, encoding).limit(200).collect()  # a bounded head, for sniffing only
     return "\n".join(r[0] for r in rows)[:HEAD].lstrip("﻿")
 
 
@@ -61,7 +61,16 @@ def strip_preamble(lines: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """``n, value``: the lines of a file in order (n grows with the line, not by one)."""
-    return spark.read.option("encoding", encoding).text(path).select(F.monotonically_increasing_id().alias("n"), "value")
+    return _text(spark, path, encoding).select(F.monotonically_increasing_id().alias("n"), "value")
+
+
+def _text(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines of a text file; other encodings than UTF-8 are decoded in Arrow batches, as Spark knows only a few."""
+    lines = spark.read.text(path)
+    if encoding.upper().replace("-", "") == "UTF8":
+        return lines
+    decoded = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode(encoding)), "string")
+    return lines.select(decoded(F.col("value").cast("binary")).alias("value"))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", preamble: bool = False) -> DataFrame:
