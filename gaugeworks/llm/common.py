@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and go on from that copy: as ``cut``, but compressed and with statistics."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_chunks(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of about ``limit`` characters with the index of their first; null is empty."""
     start, size = 0, 0

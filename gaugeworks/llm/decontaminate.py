@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 WINDOW = 13
 ANCHORS = 3
 SLOP = 2
+RUN = 8
 CLOSURE_TERMS = 200_000  # so many terms may travel to the tasks; beyond it, they are joined
 
 # Lower-case A-Z, keep 0-9, a-z and all bytes beyond ASCII, and make all else a space.
@@ -84,7 +85,8 @@ def index(docs: DataFrame, anchors: DataFrame, id_col: str = "doc_id", text_col:
     """Postings ``id, text_key, n_words, term, pos, around`` of the anchor terms in every document.
 
     ``anchors`` has ``term, reach``; ``around`` holds the words up to ``reach`` places before and after
-    the posting. Each document also has one row without a term.
+    the posting, and is null for a reach below 0. Each document also has one row without a term, which
+    alone has ``n_words``.
     """
     some = anchors.select("term", "reach").limit(CLOSURE_TERMS + 1).collect()
     known = {r.term.encode(): r.reach for r in some} if len(some) <= CLOSURE_TERMS else None
@@ -103,11 +105,11 @@ def index(docs: DataFrame, anchors: DataFrame, id_col: str = "doc_id", text_col:
                 for p, w in hits:
                     rows.append(i)
                     keys.append(key)
-                    sizes.append(len(words))
+                    sizes.append(len(words) if w is None else None)
                     terms.append(None if w is None else w.decode())
                     places.append(p)
                     k = 0 if w is None else far if reach is None else reach[w]
-                    around.append(None if w is None else b" ".join(words[max(0, p - k) : p + k + 1]).decode())
+                    around.append(None if w is None or k < 0 else b" ".join(words[max(0, p - k) : p + k + 1]).decode())
                 if len(rows) >= 20_000:
                     yield _batch(ids, rows, keys, sizes, terms, places, around)
                     rows, keys, sizes, terms, places, around = [], [], [], [], [], []
@@ -133,42 +135,50 @@ def contamination(
     rows that share an id but not a text are told apart by a hash of the text. Empty tables of either
     kind give no hits. Other columns are ignored.
     """
-    spans = cut(windows(bench, size))
+    spans = stored(windows(bench, size).withColumn("window", F.xxhash64("phrase")))
     words = F.split("phrase", " ")
-    placed = spans.select("phrase", "n").distinct().select("phrase", "n", F.posexplode(words).alias("offset", "term"))
-    counts = cut(term_counts(docs, placed.select("term").distinct(), text_col))
+    placed = spans.select("window", "phrase", "n").distinct().select("window", "phrase", "n", F.posexplode(words).alias("offset", "term"))
+    counts = stored(term_counts(docs, placed.select("term").distinct(), text_col))
     # A window with a term that no document has can't occur, so it has no anchors.
-    whole = placed.join(counts, "term").withColumn("there", F.count("*").over(W.partitionBy("phrase"))).filter("there = n")
-    first = whole.groupBy("phrase", "n", "term", "freq").agg(F.min("offset").alias("offset"))
-    order = W.partitionBy("phrase").orderBy("freq", "term")
-    ranked = first.withColumn("rank", F.row_number().over(order)).withColumn("parts", F.least(F.count("*").over(W.partitionBy("phrase")), F.lit(ANCHORS)))
-    anchors = cut(ranked.filter(F.col("rank") <= ANCHORS).select("phrase", "n", "term", "offset", "rank", "parts"))
-    reach = anchors.groupBy("term").agg(F.max(F.when(F.col("rank") == 1, F.col("n") - 1).otherwise(0)).alias("reach"))
-    posted = cut(index(docs, reach, id_col, text_col))
-
-    lists = posted.filter("term IS NOT NULL").join(anchors, "term").withColumn("start", F.col("pos") - F.col("offset"))
+    of_window = W.partitionBy("window")
+    whole = placed.join(counts, "term").withColumn("there", F.count("*").over(of_window)).filter("there = n")
+    first = whole.groupBy("window", "phrase", "n", "term", "freq").agg(F.min("offset").alias("offset"))
+    ranked = first.withColumn("rank", F.row_number().over(of_window.orderBy("freq", "term"))).filter(F.col("rank") <= ANCHORS)
+    anchor = F.array_sort(F.collect_list(F.struct("rank", "term", "offset")))
+    anchors = ranked.groupBy("window", "phrase", "n").agg(anchor.alias("anchors"))
+    anchors = stored(anchors.select("window", "phrase", "n", F.size("anchors").alias("parts"), "anchors", F.col("anchors")[0]["term"].alias("term"), F.col("anchors")[0]["offset"].alias("offset")))
+    each = anchors.select("term", (F.col("n") - 1).alias("reach")).union(anchors.select(F.explode("anchors.term"), F.lit(-1)))
+    reach = stored(each.groupBy("term").agg(F.max("reach").alias("reach")))
+    posted = stored(index(docs, reach, id_col, text_col))
+
+    # From the rarest list of each window: where the window would start, and whether the stored words are its words.
+    lists = posted.filter("term IS NOT NULL").select("id", "text_key", "term", "pos", "around")
+    start = F.col("pos") - F.col("offset")
+    at = F.least("pos", "reach") - F.col("offset") + 1  # the posting is word least(pos, reach) of those stored around it
+    same = (start >= 0) & (F.concat_ws(" ", F.slice(F.split("around", " "), F.greatest(at, F.lit(1)), F.col("n"))) == F.col("phrase"))
+    lead = lists.filter("around IS NOT NULL").join(anchors.join(reach, "term"), "term")
+    lead = lead.select("id", "text_key", "window", "n", "parts", start.alias("start"), same.alias("same"), F.expr("slice(anchors, 2, parts)").alias("others"))
+    # The other lists, where they would agree up to ``slop``: positions meet in runs of RUN.
+    wanted = lead.filter("parts > 1").select("id", "text_key", "window", "n", "parts", "start", "same", F.explode("others").alias("o"))
+    wanted = wanted.withColumn("place", F.col("start") + F.col("o.offset")).withColumn("term", F.col("o.term")).withColumn("rank", F.col("o.rank"))
+    low, high = F.floor((F.col("place") - slop) / RUN), F.floor((F.col("place") + slop) / RUN)
+    wanted = wanted.withColumn("run", F.explode(F.sequence(low, high))).drop("o")
+    there = lists.select(F.col("id").alias("p_id"), F.col("text_key").alias("p_key"), F.col("term").alias("p_term"), "pos", F.floor(F.col("pos") / RUN).alias("p_run"))
+    on = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")) & (F.col("term") == F.col("p_term")) & (F.col("run") == F.col("p_run"))
+    gap = F.abs(F.col("pos") - F.col("place"))
+    met = wanted.join(there, on & (gap <= slop)).groupBy("id", "text_key", "window", "n", "parts", "start", "same")
+    met = met.agg(F.count_distinct("rank").alias("close"), F.count_distinct(F.when(gap == 0, F.col("rank"))).alias("agree"))
+    met = met.filter(F.col("close") == F.col("parts") - 1).withColumn("stands", F.col("same") & (F.col("agree") == F.col("parts") - 1))
     doc = ["id", "text_key"]
-    lead = lists.filter("rank = 1").select(*doc, "phrase", "n", "parts", "start", "pos", "offset", "around")
-    rest = lists.filter("rank > 1").select(*[F.col(c).alias(f"r_{c}") for c in doc], F.col("phrase").alias("r_phrase"), "rank", F.col("start").alias("near"))
-    shifted = lead.withColumn("near", F.explode(F.when(F.col("parts") > 1, F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.col("start") + d)).otherwise(F.array("start"))))
-    on = (F.col("id").eqNullSafe(F.col("r_id"))) & (F.col("text_key") == F.col("r_text_key")) & (F.col("phrase") == F.col("r_phrase")) & (shifted["near"] == rest["near"])
-    met = shifted.join(rest, on, "left").select(*doc, "phrase", "n", "parts", "start", "pos", "offset", "around", "rank", (shifted["near"] == F.col("start")).alias("exact"))
-    met = met.groupBy(*doc, "phrase", "n", "parts", "start", "pos", "offset", "around").agg(
-        F.count_distinct("rank").alias("close"), F.count_distinct(F.when(F.col("exact"), F.col("rank"))).alias("agree")
-    )
-    met = met.filter(F.col("close") == F.col("parts") - 1)
-    # The anchor is word least(pos, reach) of ``around``; the phrase stands there if the words from its start on are the same.
-    stored = F.split("around", " ")
-    inside = (F.col("start") >= 0) & (F.col("agree") == F.col("parts") - 1)
-    met = cut(met.join(reach_of(anchors), "phrase").withColumn("at", F.least("pos", "reach")).withColumn("stands", inside & (F.concat_ws(" ", F.slice(stored, F.greatest(F.col("at") - F.col("offset") + 1, F.lit(1)), F.col("n"))) == F.col("phrase"))).drop("around"))
-    found = met.filter("stands").select(*doc, "phrase", "start", (F.col("start") + F.col("n")).alias("end"))
+    columns = [*doc, "window", "n", "start", "stands"]
+    met = stored(met.select(columns).unionByName(lead.filter("parts = 1").withColumn("stands", F.col("same")).select(columns)))
+    found = met.filter("stands").select(*doc, "window", "start", (F.col("start") + F.col("n")).alias("end"))
 
     reached = F.max("end").over(W.partitionBy(*doc).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(reached, F.col("start"))))
     hit = found.select(*doc, "start", "end").distinct().withColumn("new", new).groupBy(*doc).agg(F.sum("new").alias("n_hit"))
-    items = found.select(*doc, "phrase").distinct().join(spans.select("phrase", "item_id"), "phrase").groupBy(*doc).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    exact = found.select(F.col("id").alias("x_id"), F.col("text_key").alias("x_key"), F.col("phrase").alias("x_phrase")).distinct()
-    near = met.filter("NOT stands").select(*doc, "phrase").distinct().join(exact, [F.col("id").eqNullSafe(F.col("x_id")), F.col("text_key") == F.col("x_key"), F.col("phrase") == F.col("x_phrase")], "left_anti").groupBy(*doc).agg(F.count("*").alias("n_near"))
+    items = found.select(*doc, "window").distinct().join(spans.select("window", "item_id"), "window").groupBy(*doc).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    near = met.groupBy(*doc, "window").agg(F.bool_or("stands").alias("stands")).filter("NOT stands").groupBy(*doc).agg(F.count("*").alias("n_near"))
 
     every = posted.filter("term IS NULL").select(*doc, "n_words")
     for part in (hit, items, near):
@@ -181,12 +191,6 @@ def contamination(
     )
 
 
-def reach_of(anchors: DataFrame) -> DataFrame:
-    """``phrase, reach``: how many words before and after its first anchor the index stores."""
-    reach = anchors.groupBy("term").agg(F.max(F.when(F.col("rank") == 1, F.col("n") - 1).otherwise(0)).alias("reach"))
-    return anchors.filter("rank = 1").select("phrase", "term").join(reach, "term").select("phrase", "reach")
-
-
 def verdict(n_hit, n_words):
     """Contaminated: at least one word in twenty is hit."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
