@@ -123,8 +123,10 @@ def list_mass_errors(mass: DataFrame, documents: DataFrame, severity: str | None
     return out.orderBy(order, F.desc("devices"), "error_code").limit(limit)
 
 
-def similar_devices(events: DataFrame, ref: DataFrame, devices: DataFrame, dim: str = "error_and_model", device: str | None = None, k: int = 20, days: int = 30) -> DataFrame:
-    """The ``k`` devices most like each device, or like one: ``device_id, other_id, score, shared_codes``.
+def similar_devices(events: DataFrame, ref: DataFrame, devices: DataFrame, queries: DataFrame, dim: str = "error_and_model", k: int = 20, days: int = 30) -> DataFrame:
+    """The ``k`` devices most like each of ``queries`` (``device_id``): ``device_id, other_id, score, shared_codes``.
+
+    The query set is stated and goes against all devices; pairs of the whole fleet are not made.
 
     Errors give the Jaccard of the codes of 30 days, an equal model adds 0.5; by ``location``, an equal one gives
     1. Pairs meet through an inverted index of codes (or of the model or location), and the sets of shared codes
@@ -135,7 +137,7 @@ def similar_devices(events: DataFrame, ref: DataFrame, devices: DataFrame, dim:
     info = devices.select("device_id", C.text_or_null(F.col("model")).alias("model"), C.text_or_null(F.col("location")).alias("location"))
     codes = events_in_window(events, ref, days).filter("error_code IS NOT NULL").select("device_id", "error_code").distinct()
     sizes = codes.groupBy("device_id").agg(F.count("*").alias("size"))
-    mine = lambda d: d.filter(F.col("device_id") == device) if device else d
+    mine = lambda d: d.join(queries.select("device_id").distinct(), "device_id", "left_semi")
     other = lambda d: d.withColumnsRenamed({c: f"o_{c}" for c in d.columns})
     parts = []
     if dim in ("errors", "error_and_model"):

@@ -120,22 +120,30 @@ def _(m):
     return A.list_mass_errors(mass_of(m), R.registry_documents(m.reg))
 
 
+ASKING = {"asking": "SELECT device_id FROM (SELECT device_id FROM ev UNION SELECT device_id FROM dev) AS known WHERE CAST(substr(device_id, 5) AS INT) % 50 = 0"}
+
+
+def asking(m: Model):
+    """Every device whose number is divisible by 50."""
+    return m.sql(ASKING["asking"])
+
+
 @query(
     "o70_similar_devices",
     """SELECT device_id, other_id, score, coalesce(codes, '') AS shared_codes FROM (SELECT p.device_id, p.other_id, round(sum(p.score), 3) AS score, max(p.codes) AS codes FROM pairs p GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY score DESC, other_id) <= 20""",
-    **RECENT,
+    **RECENT, **ASKING,
     codes="SELECT DISTINCT device_id, error_code FROM recent WHERE error_code IS NOT NULL",
     sizes="SELECT device_id, count(*) AS size FROM codes GROUP BY device_id",
-    shared="SELECT a.device_id, b.device_id AS other_id, count(*) AS n, string_agg(a.error_code, ',' ORDER BY a.error_code) AS codes FROM codes a JOIN codes b ON a.error_code = b.error_code AND a.device_id <> b.device_id GROUP BY ALL",
-    pairs="SELECT s.device_id, s.other_id, n / (a.size + b.size - n) AS score, codes FROM shared s JOIN sizes a ON a.device_id = s.device_id JOIN sizes b ON b.device_id = s.other_id UNION ALL SELECT a.device_id, b.device_id, 0.5, NULL FROM dev a JOIN dev b ON a.model = b.model AND a.device_id <> b.device_id",
+    shared="SELECT a.device_id, b.device_id AS other_id, count(*) AS n, string_agg(a.error_code, ',' ORDER BY a.error_code) AS codes FROM codes a JOIN asking USING (device_id) JOIN codes b ON a.error_code = b.error_code AND a.device_id <> b.device_id GROUP BY ALL",
+    pairs="SELECT s.device_id, s.other_id, n / (a.size + b.size - n) AS score, codes FROM shared s JOIN sizes a ON a.device_id = s.device_id JOIN sizes b ON b.device_id = s.other_id UNION ALL SELECT a.device_id, b.device_id, 0.5, NULL FROM dev a JOIN asking USING (device_id) JOIN dev b ON a.model = b.model AND a.device_id <> b.device_id",
 )
 def _(m):
-    return A.similar_devices(m.ev, ref_of(m), m.dev).withColumn("shared_codes", F.array_join("shared_codes", ","))
+    return A.similar_devices(m.ev, ref_of(m), m.dev, asking(m)).withColumn("shared_codes", F.array_join("shared_codes", ","))
 
 
-@query("o70_similar_by_location", "SELECT a.device_id, b.device_id AS other_id, CAST(1.0 AS DOUBLE) AS score FROM dev a JOIN dev b ON a.location = b.location AND a.device_id <> b.device_id QUALIFY row_number() OVER (PARTITION BY a.device_id ORDER BY b.device_id) <= 20")
+@query("o70_similar_by_location", "SELECT a.device_id, b.device_id AS other_id, CAST(1.0 AS DOUBLE) AS score FROM dev a JOIN asking USING (device_id) JOIN dev b ON a.location = b.location AND a.device_id <> b.device_id QUALIFY row_number() OVER (PARTITION BY a.device_id ORDER BY b.device_id) <= 20", **ASKING)
 def _(m):
-    return A.similar_devices(m.ev, ref_of(m), m.dev, "location").select("device_id", "other_id", "score")
+    return A.similar_devices(m.ev, ref_of(m), m.dev, asking(m), "location").select("device_id", "other_id", "score")
 
 
 @query("o71_device_history", "SELECT device_id, CAST(calculated_at AS STRING) AS run, health_index FROM runs QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY calculated_at DESC) <= 10", runs=RUNS)

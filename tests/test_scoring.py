@@ -115,5 +115,5 @@ def test_normalise_edges(spark):
 def test_similar_devices_one(spark):
     e = events(spark, ("A", 1, "C1", None), ("A", 1, "C2", None), ("B", 1, "C1", None), ("C", 40, "C1", None))
     devices = spark.createDataFrame([("A", "m", None), ("B", "m", None), ("C", None, None)], "device_id string, model string, location string")
-    got = A.similar_devices(e, ref(spark), devices, device="A").collect()
+    got = A.similar_devices(e, ref(spark), devices, devices.filter("device_id = 'A'")).collect()
     assert [(r.other_id, r.score, r.shared_codes) for r in got] == [("B", 1.0, ["C1"])]
