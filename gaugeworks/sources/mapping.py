@@ -23,7 +23,7 @@ class NoDeviceColumn(ValueError):
 def normal_name(name: str) -> str:
     """Lower case, without brackets and diacritics, separators as one underscore."""
     s = re.sub(r"\(.*?\)", "", name.lower()).strip()
-    s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)) if s.isascii() or not re.search("[а-яё]", s) else s
+    s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     return re.sub(r"[\s\-.]+", "_", s).strip("_")
 
 

@@ -67,6 +67,10 @@ def test_mapping(spark):
         mapping.map_columns(df.select("row_no", "other"))
 
 
+def test_names():
+    assert mapping.by_synonym(["Счетчик", "Серийный номер", "Дата-время (UTC)", "Toner.Level", "toner"]) == {"Счетчик": "mileage", "Серийный номер": "device_id", "Дата-время (UTC)": "timestamp", "Toner.Level": "toner_level"}
+
+
 def test_long_form(spark):
     rows_ = [
         ("h1", "100", "SupplLev[toner]", "30"), ("h1", "20", "SupplLev[toner]", "90"), ("h1", "20", "SupplMax[toner]", "60"), ("h1", "50", "LifeCount", "777"),
