@@ -103,6 +103,11 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self._close({tag}, frozenset() if tag in BLOCKS else BLOCKS)
 
+    def close(self) -> None:
+        if self.rawdata.startswith("<!--"):  # a comment that never ends takes the rest of the page
+            self.rawdata = ""
+        super().close()
+
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][1]:
             self.text.append(data)

@@ -135,6 +135,7 @@ def test_pages(spark, data):
     assert html_text.content_lines(loose) == html_text.content_lines(PAGE)
     for odd in ("", "<", "<p>", "<article></article>", "</div></p>", "<!-- open", "<p>" * 2000, "&#x110000; &bad;"):
         html_text.content_lines(odd)
+    assert html_text.content_lines("<p>a</p><!-- open <p>b</p>") == ["a"]
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", PAGE), (3, "u", PAGE), (None, "v", "<p>x")], "page_id long, url string, html string")
     got = sorted(((r.page_id, r.text, r.n_chars) for r in html_text.main_text(df.withColumn("text", df.url)).collect()), key=repr)
     assert [(i, n) for i, _, n in got] == [(1, 0), (2, 0), (3, len("\n\n".join(html_text.content_lines(PAGE)))), (3, got[3][2]), (None, 1)]
