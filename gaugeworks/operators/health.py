@@ -67,11 +67,24 @@ def cap_critical(factors: DataFrame, limit: int = 1) -> DataFrame:
     return factors.withColumn("nth", F.row_number().over(order)).filter(~critical | (F.col("nth") <= limit)).drop("nth")
 
 
-def contributions(factors: DataFrame) -> DataFrame:
-    """``device_id, contributions``: label, penalty and coefficients of each factor, heaviest first, then by label."""
+def _contributions() -> Column:
     label = F.concat("error_code", F.lit(" ("), "severity", F.lit(")"))
     part = F.struct((-F.col("penalty")).alias("order"), label.alias("label"), F.round("penalty", 2).alias("penalty"), *[F.round(x, 4).alias(x) for x in "srca"], "source")
-    return factors.groupBy("device_id").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.dropFields("order")).alias("contributions"))
+    return F.transform(F.array_sort(F.collect_list(part)), lambda x: x.dropFields("order")).alias("contributions")
+
+
+def _total_penalty() -> Column:
+    finite = F.col("penalty").isNotNull() & ~F.isnan("penalty") & (F.abs("penalty") != float("inf"))
+    return F.sum(F.when(F.assert_true(finite, F.lit("a penalty is not a finite number")).isNull(), F.col("penalty"))).alias("total_penalty")
+
+
+def _index(total: str) -> Column:
+    return F.greatest(F.lit(1), F.bround(100 - F.col(total), 0).cast("int")).alias("health_index")
+
+
+def contributions(factors: DataFrame) -> DataFrame:
+    """``device_id, contributions``: label, penalty and coefficients of each factor, heaviest first, then by label."""
+    return factors.groupBy("device_id").agg(_contributions())
 
 
 def health_index(factors: DataFrame) -> DataFrame:
@@ -79,9 +92,7 @@ def health_index(factors: DataFrame) -> DataFrame:
 
     A penalty that isn't a finite number fails the query.
     """
-    finite = F.col("penalty").isNotNull() & ~F.isnan("penalty") & (F.abs("penalty") != float("inf"))
-    safe = F.when(F.assert_true(finite, F.lit("a penalty is not a finite number")).isNull(), F.col("penalty"))
-    return factors.groupBy("device_id").agg(F.sum(safe).alias("total_penalty")).withColumn("health_index", F.greatest(F.lit(1), F.bround(100 - F.col("total_penalty"), 0).cast("int")))
+    return factors.groupBy("device_id").agg(_total_penalty()).select("device_id", "total_penalty", _index("total_penalty"))
 
 
 def confidence(flags: DataFrame, w: Weights) -> DataFrame:
@@ -113,6 +124,17 @@ def confidence_flags(ids: DataFrame, snapshots: DataFrame, devices: DataFrame, f
     return out.join(unknown, "device_id", "left").withColumn("rag_missing_count", F.coalesce("rag_missing_count", F.lit(0).cast("long")))
 
 
+def _silent(mode: str) -> tuple[Column, Column]:
+    """Confidence and reasons of a device without factors."""
+    reasons = F.array().cast("array<string>") if mode == "optimistic" else F.array(F.lit(f"no events: {mode}"))
+    return F.lit(1.0 if mode == "optimistic" else 0.9), reasons
+
+
+def _last(history: DataFrame) -> DataFrame:
+    """The index and confidence of each device's last run, as ``last``."""
+    return history.groupBy("device_id").agg(F.max_by(F.struct("health_index", "confidence"), "calculated_at").alias("last"))
+
+
 def silent_devices(ids: DataFrame, factors: DataFrame, mode: str = "data_quality", history: DataFrame | None = None) -> DataFrame:
     """Devices without factors: index 100 and green; flags don't matter to them.
 
@@ -120,26 +142,31 @@ def silent_devices(ids: DataFrame, factors: DataFrame, mode: str = "data_quality
     confidence from there where there is one.
     """
     out = ids.join(factors.select("device_id").distinct(), "device_id", "left_anti")
-    index, sure = F.lit(100), F.lit(1.0 if mode == "optimistic" else 0.9)
+    index, (sure, reasons) = F.lit(100), _silent(mode)
     if mode == "carry_forward" and history is not None:
-        last = history.groupBy("device_id").agg(F.max_by(F.struct("health_index", "confidence"), "calculated_at").alias("last"))
-        out = out.join(last, "device_id", "left")
+        out = out.join(_last(history), "device_id", "left")
         index, sure = F.coalesce("last.health_index", index), F.coalesce("last.confidence", sure)
-    reason = F.array().cast("array<string>") if mode == "optimistic" else F.array(F.lit(f"no events: {mode}"))
-    return out.select("device_id", index.cast("int").alias("health_index"), sure.alias("confidence"), reason.alias("reasons"))
+    return out.select("device_id", index.cast("int").alias("health_index"), sure.alias("confidence"), reasons.alias("reasons"))
 
 
 def score(factors: DataFrame, ids: DataFrame, flags: DataFrame, w: Weights, history: DataFrame | None = None) -> DataFrame:
     """Every device of ``ids`` exactly once, from factors with penalties.
 
     ``device_id, health_index, confidence, zone, confidence_zone, contributions, reasons, snapshot`` (the profile).
+    The factors are aggregated once; devices without any get what ``silent_devices`` gives them.
     """
-    kept = cap_critical(factors, w.critical_per_day)
-    active = health_index(kept).join(contributions(kept), "device_id").join(confidence(flags, w), "device_id")
-    active = active.select("device_id", "health_index", "confidence", "reasons", "contributions")
-    silent = silent_devices(ids, factors, w.silent_mode, history).withColumn("contributions", F.array().cast(active.schema["contributions"].dataType))
-    both = active.unionByName(silent)
-    return both.select(
+    active = cap_critical(factors, w.critical_per_day).groupBy("device_id").agg(_total_penalty(), _contributions())
+    sure = confidence(flags, w).select("device_id", F.col("confidence").alias("active_confidence"), F.col("reasons").alias("active_reasons"))
+    rows = ids.join(sure, "device_id", "left").join(active, "device_id", "left")
+    silent, index, (still, reasons) = F.col("total_penalty").isNull(), F.lit(100), _silent(w.silent_mode)
+    if w.silent_mode == "carry_forward" and history is not None:
+        rows = rows.join(_last(history), "device_id", "left")
+        index, still = F.coalesce("last.health_index", index), F.coalesce("last.confidence", still)
+    rows = rows.select(
+        "device_id", F.when(silent, index.cast("int")).otherwise(_index("total_penalty")).alias("health_index"), F.when(silent, still).otherwise(F.col("active_confidence")).alias("confidence"),
+        F.coalesce("contributions", F.array().cast(active.schema["contributions"].dataType)).alias("contributions"), F.when(silent, reasons).otherwise(F.col("active_reasons")).alias("reasons"),
+    )
+    return rows.select(
         "device_id", "health_index", "confidence", C.zone(F.col("health_index"), w).alias("zone"), C.confidence_zone(F.col("confidence")).alias("confidence_zone"),
         "contributions", "reasons", F.lit(json.dumps(asdict(w), sort_keys=True)).alias("snapshot"),
     )
