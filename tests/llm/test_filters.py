@@ -140,7 +140,7 @@ def test_language_id(spark, docs, edges, empty):
 def test_licenses(spark, edges, empty):
     texts = [
         "Licensed under the Apache License, Version 2.0.", "Released under the MIT License. mit license", "Licensed under CC BY-NC 4.0", "GNU General Public License",
-        "permission is hereby granted, free of charge, to any one person obtaining a copy of the software", "general public license gnu", "apache", None,
+        "permission is hereby granted, free of charge, to any one person obtaining a copy of this software", "general public license gnu", "apache", None,
     ]
     d = make(spark, list(enumerate(texts)))
     got = {r.doc_id: r for r in licenses.scan(d).collect()}
