@@ -2,13 +2,15 @@
 
 The standard library's parser streams events into lines, one per block element. A line's ratio is its
 characters over its tags. Ratios are smoothed with a Gaussian, so a short paragraph between long ones
-counts as its neighbours do, and two clusters of them give the threshold. The regions above it select the
-containers that hold the main text; whole containers stay, so no paragraph of an article is lost. What the
-markup itself names as menu, header, footer, sidebar, notice, advert, form or comment never counts.
+counts as its neighbours do, and two clusters of them give the threshold. The smallest container that holds
+all regions above it is the main text and stays whole, whether its paragraphs stand in it or in containers of
+their own; where the clusters are not clearly apart, nothing is cut. What the markup itself names as menu,
+header, footer, sidebar, notice, advert, form or comment never counts.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -35,6 +37,7 @@ HINT = re.compile(
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 SIGMA = 1.5
+APART_BY = np.log(4)  # text and the rest differ by this factor in their mean ratio, or the lines are all of one kind
 CHUNK = 65_536
 
 
@@ -48,6 +51,7 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.seen = 0
+        self.outer: dict[int, int] = {}  # the container around each container; an inner one has the larger number
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -85,10 +89,10 @@ class Lines(HTMLParser):
                     out = True
                 elif (name == "role" and value in ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
                     out = True
-        if tag in ("article", "main"):
-            container, article = (container, True) if article else (self.seen, True)
-        elif tag in CONTAINERS and not article:
+        if not article and (tag in CONTAINERS or tag in ("article", "main")):
+            self.outer[self.seen] = container
             container = self.seen
+        article = article or tag in ("article", "main")
         self.stack.append((tag, out, container, article))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -113,6 +117,22 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
+def around(chosen: set[int], outer: dict[int, int]) -> set[int]:
+    """The smallest container that holds all of ``chosen``, with every container inside it; 0 is the page."""
+    left, todo = set(chosen), [-c for c in chosen]
+    heapq.heapify(todo)
+    while len(left) > 1:
+        inner = -heapq.heappop(todo)
+        left.remove(inner)
+        if outer[inner] not in left:
+            left.add(outer[inner])
+            heapq.heappush(todo, -outer[inner])
+    for container, holder in outer.items():  # in page order, so a holder comes first
+        if holder in left:
+            left.add(container)
+    return left
+
+
 def content_lines(html: str) -> list[str]:
     """The blocks of the main text in page order."""
     parser = Lines()
@@ -137,8 +157,14 @@ def content_lines(html: str) -> list[str]:
         if not len(below):
             break
         low, high = below.mean(), above.mean()
-    chosen = {lines[i][2] for i in np.flatnonzero(smooth >= (low + high) / 2)}
-    return [text for text, _, container, _ in lines if container in chosen]
+    if high - low < APART_BY:
+        return [text for text, _, _, _ in lines]
+    middle = (low + high) / 2  # what only borders on text does not vote
+    chosen = {lines[i][2] for i in np.flatnonzero((smooth >= middle) & (ratio >= middle))}
+    kept = around(chosen or {0}, parser.outer)
+    while 0 not in kept and sum(x[2] in kept for x in lines) == 1:  # one block has neighbours of its kind in containers of their own
+        kept = around({parser.outer[min(kept)]}, parser.outer)
+    return [text for text, _, container, _ in lines if container in kept]
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -142,3 +142,19 @@ def test_pages(spark, data):
     assert html_text.main_text(df.limit(0)).count() == 0
     pages = spark.read.parquet(f"{data}/pages.parquet")
     assert html_text.main_text(pages).filter("n_chars = 0").count() == 0
+
+
+def test_paragraphs_in_containers_of_their_own():
+    menu = '<div>' + "".join(f'<p><a href="#{i}"><b>go {i}</b></a></p>' for i in range(12)) + "</div>"
+    for tag in ("div", "section", "article", "blockquote"):
+        for sizes in ((800, 750, 700, 650), (600, 500, 400, 550, 300, 450), (800, 700, 60), (800, 60, 700, 5, 5, 5, 650)):
+            texts = [f"{i} " + "w" * n for i, n in enumerate(sizes)]
+            parts = "".join(f"<{tag}><p>{t}</p></{tag}>" for t in texts)
+            assert html_text.content_lines(f"<html><body>{parts}</body></html>") == texts
+            assert html_text.content_lines(f"<body>{menu}<div>{parts}</div>{menu}</body>") == texts
+    assert html_text.around({5, 7}, {1: 0, 2: 1, 3: 2, 5: 3, 7: 2, 9: 1}) == {2, 3, 5, 7}
+
+
+def test_lines_all_alike_are_not_cut():
+    texts = [f"{i} " + "w" * n for i, n in enumerate((90, 40, 60, 35, 80))]
+    assert html_text.content_lines("".join(f"<div>{t}</div>" for t in texts)) == texts
