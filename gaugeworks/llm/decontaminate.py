@@ -82,10 +82,10 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
 
 
 def index(docs: DataFrame, anchors: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings ``id, text_key, n_words, term, pos, around`` of the anchor terms in every document.
+    """Postings ``id, text_key, n_words, term, pos, around, inner`` of the anchor terms in every document.
 
-    ``anchors`` has ``term, reach``; ``around`` holds the words up to ``reach`` places before and after
-    the posting, and is null for a reach below 0. Each document also has one row without a term, which
+    ``anchors`` has ``term, reach``; ``around`` holds the words at least up to ``reach`` places before and
+    after the posting, which is its word ``inner`` (from 0). Both are null for a reach below 0. Each document also has one row without a term, which
     alone has ``n_words``.
     """
     some = anchors.select("term", "reach").limit(CLOSURE_TERMS + 1).collect()
@@ -97,7 +97,7 @@ def index(docs: DataFrame, anchors: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = wanted.value
         for batch in batches:
-            ids, rows, keys, sizes, terms, places, around = batch.column(0), [], [], [], [], [], []
+            ids, rows, keys, sizes, terms, places, around, inner = batch.column(0), [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = words_of(text)
                 hits = [(None, None)] + [(p, w) for p, w in enumerate(words) if reach is None or w in reach]
@@ -110,16 +110,17 @@ def index(docs: DataFrame, anchors: DataFrame, id_col: str = "doc_id", text_col:
                     places.append(p)
                     k = 0 if w is None else far if reach is None else reach[w]
                     around.append(None if w is None or k < 0 else b" ".join(words[max(0, p - k) : p + k + 1]).decode())
+                    inner.append(None if w is None or k < 0 else min(p, k))
                 if len(rows) >= 20_000:
-                    yield _batch(ids, rows, keys, sizes, terms, places, around)
-                    rows, keys, sizes, terms, places, around = [], [], [], [], [], []
-            yield _batch(ids, rows, keys, sizes, terms, places, around)
+                    yield _batch(ids, rows, keys, sizes, terms, places, around, inner)
+                    rows, keys, sizes, terms, places, around, inner = [], [], [], [], [], [], []
+            yield _batch(ids, rows, keys, sizes, terms, places, around, inner)
 
-    def _batch(ids, rows, keys, sizes, terms, places, around) -> pa.RecordBatch:
-        columns = [ids.take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.string()), pa.array(places, pa.int32()), pa.array(around, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, ["id", "text_key", "n_words", "term", "pos", "around"])
+    def _batch(ids, rows, keys, sizes, terms, places, around, inner) -> pa.RecordBatch:
+        columns = [ids.take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.string()), pa.array(places, pa.int32()), pa.array(around, pa.string()), pa.array(inner, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "text_key", "n_words", "term", "pos", "around", "inner"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, text_key long, n_words long, term string, pos int, around string")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, text_key long, n_words long, term string, pos int, around string, inner int")
     return out if known is not None else out.join(anchors.select("term"), "term", "left_semi").unionByName(out.filter("term IS NULL"))
 
 
@@ -152,11 +153,11 @@ def contamination(
     posted = stored(index(docs, reach, id_col, text_col))
 
     # From the rarest list of each window: where the window would start, and whether the stored words are its words.
-    lists = posted.filter("term IS NOT NULL").select("id", "text_key", "term", "pos", "around")
+    lists = posted.filter("term IS NOT NULL").select("id", "text_key", "term", "pos", "around", "inner")
     start = F.col("pos") - F.col("offset")
-    at = F.least("pos", "reach") - F.col("offset") + 1  # the posting is word least(pos, reach) of those stored around it
+    at = F.col("inner") - F.col("offset") + 1
     same = (start >= 0) & (F.concat_ws(" ", F.slice(F.split("around", " "), F.greatest(at, F.lit(1)), F.col("n"))) == F.col("phrase"))
-    lead = lists.filter("around IS NOT NULL").join(anchors.join(reach, "term"), "term")
+    lead = lists.filter("around IS NOT NULL").join(anchors, "term")
     lead = lead.select("id", "text_key", "window", "n", "parts", start.alias("start"), same.alias("same"), F.expr("slice(anchors, 2, parts)").alias("others"))
     # The other lists, where they would agree up to ``slop``: positions meet in runs of RUN.
     wanted = lead.filter("parts > 1").select("id", "text_key", "window", "n", "parts", "start", "same", F.explode("others").alias("o"))

@@ -62,6 +62,17 @@ def test_index_without_a_term_set(spark, docs, data, monkeypatch):
     assert sorted(decontaminate.contamination(docs, bench).collect()) == want
 
 
+def test_short_items_without_a_term_set(spark, monkeypatch):
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 16)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = make(spark, [(n, f"{text} {'and so on ' * k}{text} {'more ' * 9}{text}") for k in (0, 3, 7) for n, text in items])
+    for most in (200_000, 3):
+        monkeypatch.setattr(decontaminate, "CLOSURE_TERMS", most)
+        got = decontaminate.contamination(d, bench).collect()
+        assert len(got) == 3 * len(items)
+        assert all((r.n_hit, r["items"]) == (3 * r.doc_id, [str(r.doc_id)]) for r in got), most
+
+
 def base(text):
     """The base rule of the secret scan, kind by kind."""
     assign = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
