@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,17 +22,16 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 def dense_topk(queries: DataFrame, vecs: DataFrame, k: int = 30) -> DataFrame:
     """The ``k`` chunks of largest cosine for each query: ``query_id, chunk_id, score, rank`` (from 0).
 
-    Both have an id and ``vector``. A query set is stated and much smaller than the chunks: it is sent to the
-    tasks in blocks of QUERY_BLOCK, each task multiplies its vectors with a block and passes on its own top
-    ``k``. Zero vectors have no cosine and take no part.
+    Both have an id and ``vector``. A query set is stated and much smaller than the chunks: it is read and sent
+    to the tasks in blocks of QUERY_BLOCK, each task multiplies its vectors with a block and passes on its own
+    top ``k``. Zero vectors have no cosine and take no part.
     """
     usable = lambda d: d.filter(F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
-    rows = usable(queries).select("query_id", "vector").toPandas()
+    rows = usable(queries).select("query_id", "vector").toLocalIterator()
     spark, parts = queries.sparkSession, []
-    for i in range(0, len(rows), QUERY_BLOCK):
-        some = rows.iloc[i : i + QUERY_BLOCK]
-        q = np.stack([np.asarray(v, dtype=np.float64) for v in some.vector])
-        sent = spark.sparkContext.broadcast((some.query_id.to_numpy(), q / np.linalg.norm(q, axis=1, keepdims=True)))
+    while some := list(islice(rows, QUERY_BLOCK)):
+        q = np.stack([np.asarray(r.vector, dtype=np.float64) for r in some])
+        sent = spark.sparkContext.broadcast((pd.Series([r.query_id for r in some]).to_numpy(), q / np.linalg.norm(q, axis=1, keepdims=True)))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, q = sent.value

@@ -144,8 +144,12 @@ VECTOR_TOP = {
 }
 
 
-def vec_queries(m: Model) -> DataFrame:
-    return m.vec.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+#: The queries of the ``_whole`` forms, which have no SQL: each fiftieth vector. The forms with SQL have its fixed ids.
+EVERY = "vec_id % 50 = 0"
+
+
+def vec_queries(m: Model, rows: str = "vec_id < 20") -> DataFrame:
+    return m.vec.filter(rows).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def vec_chunks(m: Model) -> DataFrame:
@@ -157,6 +161,11 @@ def _(m):
     return S.dense_topk(vec_queries(m), vec_chunks(m))
 
 
+@query("o89_dense_topk_whole")
+def _(m):
+    return S.dense_topk(vec_queries(m, EVERY), vec_chunks(m))
+
+
 _WORDS = r"list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda x: x <> '')"
 LEXICAL = {
     "q_terms": f"SELECT item_id AS query_id, term, count(*) AS q_tf FROM (SELECT item_id, unnest({_WORDS}) AS term FROM {{benchmark}}) GROUP BY ALL",
@@ -188,6 +197,14 @@ def _(m):
     return S.rrf(*branches(m)).select("query_id", "chunk_id", "fused")
 
 
+@query("o91_rrf_whole")
+def _(m):
+    """Dense ranks of all vectors and BM25 ranks of all documents; each fiftieth of both is a query."""
+    texts = m.source("documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    q = texts.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    return S.rrf(S.dense_topk(vec_queries(m, EVERY), vec_chunks(m)), S.lexical_topk(q, texts)).select("query_id", "chunk_id", "fused")
+
+
 @query("o92_apply_filters", "SELECT vec_id AS chunk_id FROM vec WHERE label IN (1, 3) AND vec_id % 2 = 0")
 def _(m):
     even = F.when(F.col("chunk_id") % 2 == 0, F.array(F.lit("BUILDING"))).otherwise(F.array(F.lit("OTHER")))
@@ -257,9 +274,13 @@ METRICS = VECTOR_TOP | {
 }
 
 
-def metrics_of(m: Model) -> DataFrame:
-    ranked = S.dense_topk(vec_queries(m), vec_chunks(m)).withColumn("rank", F.col("rank") + 1)
-    wanted = m.sql(SAME).groupBy("query_id", "scenario").agg(F.collect_list("chunk_id").alias("expected"))
+#: All vectors of the query's label.
+SAME_WHOLE = f"SELECT q.vec_id AS query_id, CASE WHEN q.vec_id % 2 = 0 THEN 'even' END AS scenario, c.vec_id AS chunk_id FROM vec q JOIN vec c ON q.label = c.label WHERE q.{EVERY}"
+
+
+def metrics_of(m: Model, rows: str = "vec_id < 20", same: str = SAME) -> DataFrame:
+    ranked = S.dense_topk(vec_queries(m, rows), vec_chunks(m)).withColumn("rank", F.col("rank") + 1)
+    wanted = m.sql(same).groupBy("query_id", "scenario").agg(F.collect_list("chunk_id").alias("expected"))
     return E.ir_metrics(ranked, wanted)
 
 
@@ -268,6 +289,11 @@ def _(m):
     return metrics_of(m)
 
 
+@query("o97_ir_metrics_whole")
+def _(m):
+    return metrics_of(m, EVERY, SAME_WHOLE)
+
+
 MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("recall_at_5", "recall_at_10", "precision_at_5", "mrr", "ndcg_at_10")) + ", round(avg(CAST(hit AS INT)), 6) AS hit_rate"
 
 
@@ -276,8 +302,22 @@ def _(m):
     return E.ir_summary(metrics_of(m))
 
 
+@query("o98_ir_summary_whole")
+def _(m):
+    return E.ir_summary(metrics_of(m, EVERY, SAME_WHOLE))
+
+
 @query("o99_ir_gate", "SELECT r AS run, round(a / r, 6) AS recall_at_5, round(b / r, 6) AS mrr, round(a / r, 6) >= 0.7 AND round(b / r, 6) >= 0.5 AS passed, CASE WHEN r = 2 THEN round(round(a / 2, 6) - a, 6) END AS recall_at_5_delta, CASE WHEN r = 2 THEN round(round(b / 2, 6) - b, 6) END AS mrr_delta FROM (SELECT round(avg(recall_at_5), 6) AS a, round(avg(mrr), 6) AS b FROM metrics), (VALUES (1), (2)) v(r)", **METRICS)
 def _(m):
-    one = E.ir_summary(metrics_of(m)).filter("scenario = 'all'")
+    return gate_of(metrics_of(m))
+
+
+@query("o99_ir_gate_whole")
+def _(m):
+    return gate_of(metrics_of(m, EVERY, SAME_WHOLE))
+
+
+def gate_of(metrics: DataFrame) -> DataFrame:
+    one = E.ir_summary(metrics).filter("scenario = 'all'")
     runs = one.withColumn("run", F.explode(F.array(F.lit(1), F.lit(2)))).withColumns({c: F.round(F.col(c) / F.col("run"), 6) for c in ("recall_at_5", "mrr")})
     return E.ir_gate(runs)

@@ -343,6 +343,12 @@ def _(m):
     return out.filter("profile = 'sharp'").groupBy("profile", "zone").agg(F.count("*").alias("devices"))
 
 
+@query("o57_score_profiles_whole")
+def _(m):
+    """Every profile that is scored, where o57 has one."""
+    return H.score_profiles(raw_factors(m), ids_of(m), flags_of(m), [W, SHARP]).groupBy("profile", "zone").agg(F.count("*").alias("devices"))
+
+
 @query(
     "o58_compare_runs",
     "SELECT a.device_id, a.health_index AS before, b.health_index AS after, b.health_index - a.health_index AS delta FROM indexed a JOIN sharp b ON a.device_id = b.device_id WHERE a.health_index <> b.health_index",
