@@ -53,6 +53,12 @@ def _(m):
     return out.withColumn("nth", F.row_number().over(_by("document_id", "section", order="section_no"))).filter("nth = 1").select("document_id", "section", F.when(F.col("section") == "Last", F.substring("text", 1, 8)).otherwise(F.col("text")).alias("start"))
 
 
+@query("o78_split_headings_whole")
+def _(m):
+    """Every section with its whole text, where o78 has four titles."""
+    return D.split_headings(m.sql(SECTIONED)).select("document_id", "section_no", "section", F.md5("text").alias("digest"))
+
+
 def _by(*keys: str, order: str):
     from pyspark.sql import Window
 
@@ -69,9 +75,20 @@ MARKS = "SELECT document_id, page_no AS mark_no, CASE WHEN page_no % 9 = 0 THEN
     pages_=PAGES, marks=MARKS, kept="SELECT *, lead(page) OVER (PARTITION BY document_id ORDER BY mark_no) AS until FROM marks WHERE level <= 3",
 )
 def _(m):
-    pages = m.sql(PAGES)
+    return D.split_bookmarks(*bookmarked(m, PAGES)).select("document_id", "section", "text")
+
+
+def bookmarked(m: Model, sql: str) -> tuple[DataFrame, DataFrame]:
+    pages = m.sql(sql)
     marks = pages.filter("page_no % 3 = 0").select("document_id", F.col("page_no").alias("mark_no"), F.expr("CASE WHEN page_no % 9 = 0 THEN 4 ELSE 1 + page_no % 3 END").alias("level"), F.concat(F.lit("mark "), F.col("page_no").cast("string")).alias("title"), F.col("page_no").alias("page"))
-    return D.split_bookmarks(pages, marks).select("document_id", "section", "text")
+    return pages, marks
+
+
+@query("o79_split_bookmarks_whole")
+def _(m):
+    """The joined page texts of every bookmark, where o79 has ids for texts."""
+    out = D.split_bookmarks(*bookmarked(m, PAGES.replace("document_id AS text", "text")))
+    return out.select("document_id", "section_no", "section", "page", F.md5("text").alias("digest"))
 
 
 @query("o80_split_records", r"SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS part_no, md5(t) AS digest FROM (SELECT document_id, i, regexp_replace(p[i + 1], '^\s+|\s+$', '', 'g') AS t FROM (SELECT document_id, string_split(text, chr(10)) AS p, unnest(range(len(string_split(text, chr(10))))) AS i FROM doc)) WHERE t <> ''")

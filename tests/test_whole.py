@@ -1,5 +1,6 @@
 """The forms of queries that take every row, against brute force."""
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -83,3 +84,43 @@ def test_all_profiles(spark, data):
     for r in got:
         each[r.profile] += r.devices
     assert len(each) == 2 and len(set(each.values())) == 1
+
+
+def digest(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def doc_text(r):
+    """The text of the model's ``doc``."""
+    return f"phone +7 (912) 345-67-{r['doc_id'] % 100:02d} code C{r['doc_id'] % 1000:04d} fuser unit  x\n\n\n{r['text']}"
+
+
+def test_all_sections(spark, data):
+    heading = re.compile(r"(?:#{1,3}[ \t\n\x0b\f\r]+[^\r\u0085\u2028\u2029]+|[A-ZА-ЯЁ][A-ZА-ЯЁ \t\n\x0b\f\r]{5,})")
+    want = []
+    for r in rows(data, "documents"):
+        text = f"before {r['lang']}\n# First part\none\ntwo\nSAFETY NOTES\n{'three' if r['doc_id'] % 2 == 0 else ''}\n### Last\n{doc_text(r)}"
+        parts = [("Introduction", [])]
+        for line in text.split("\n"):
+            if heading.fullmatch(line):
+                parts.append((re.sub(r"^#+\s*|\s*#+$", "", line.strip(" ")), []))
+            else:
+                parts[-1][1].append(line)
+        for no, (title, lines) in enumerate(parts):
+            if body := "\n".join(lines).strip(" \t\n\x0b\f\r"):
+                want.append((f"D{r['doc_id']}", no, title, digest(body)))
+    got = plans.queries()["o78_split_headings_whole"](spark, data).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_all_page_texts(spark, data):
+    pages = defaultdict(list)
+    for r in sorted(rows(data, "documents"), key=lambda r: r["doc_id"]):
+        pages[r["source"]].append(doc_text(r))
+    want = []
+    for source, texts in pages.items():
+        at = [p for p in range(3, len(texts) + 1, 3) if p % 9]
+        for p, until in zip(at, [*at[1:], len(texts) + 1]):
+            want.append((source, p, f"mark {p}", p, digest("\n\n".join(texts[p - 1 : until - 1]).strip(" "))))
+    got = plans.queries()["o79_split_bookmarks_whole"](spark, data).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
