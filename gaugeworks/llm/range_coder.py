@@ -1,11 +1,12 @@
 """Adaptive context-mixing range coder for token ids.
 
 Ids are cut into blocks of BLOCK. Every block starts from the same state, so any block decodes alone, and
-carries a checksum of its ids. Three predictions drive the coder: order 2 and order 1 remember which id
-last followed the two ids, or the id, before this one, with a confidence that grows with each right
-guess; order 0 is an adaptive distribution over classes of ids by size. How often each confidence was
-right so far in the block weighs the two guesses in the mix; what neither guesses is coded by its class
-and the bits below it.
+carries a checksum of its ids. Three models predict the next id. Order 2 and order 1 each remember, under
+the last two ids or the last one, which id came next, with a check of the context and a confidence that
+grows with each right guess. Order 0 is the distribution of the ids seen in the block so far, brought up
+to date at fixed places, beside a fixed prior for ids it has not seen. The models are mixed: an id's
+probability is the weighted sum of what the models give it, and the weights, one set for each pair of
+confidences, move towards the models that were right.
 
 Blocks are independent, so numpy codes many at once, one lane each, in step.
 """
@@ -17,77 +18,112 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-LANES = 1024
+LANES = 2048
 LARGEST = 65_534  # largest id
 
-SLOTS1, SLOTS2 = 1 << 9, 1 << 11  # places of the order-1 and order-2 memories
-CONFIDENCES = 4
-RATE = 4  # speed of the guesses' hit rates
-LEAST = 64  # least part in 65536 of a guess or of the escape from both
-CLASSES = 32
-CLASS_BITS = 14
-CLASS_RATE = 5
+SLOTS1, SLOTS2 = 9, 11  # bits of a place in the order-1 and order-2 memories
+TAG = 19  # an entry: guess in 16 bits, confidence in 3 (0 is free), and from here up a check of the context
+CHECK = np.int64(((1 << 12) - 1) << TAG)
+SURE = 4  # highest confidence of a guess
+RATE, SEEN_RATE = 4, 5  # speed of the weights
+UPDATES = (32, 64, 128, *range(256, 1024, 256), *range(1024, BLOCK, 512))  # where order 0 takes in the ids so far
 LOW_BITS = np.int64((1 << 32) - 1)
 NORMAL = np.int64(1 << 32)  # the range is kept between this and 65536 times this
+ONE = 1 << 16
+MOST = ONE - 512  # the two guesses together get at most so much, and 64 more each
+HALF = MOST // 2
 
-_sizes = np.arange(1, (1 << 16) + 1)
-_length = np.floor(np.log2(_sizes)).astype(np.int64)
-_extra = np.maximum(_length - 1, 0)
-CLASS_OF = np.minimum(2 * _length + np.where(_length > 0, (_sizes >> _extra) & 1, 0), CLASSES - 1).astype(np.int64)
-EXTRA_OF = _extra[[np.flatnonzero(CLASS_OF == c)[0] if (CLASS_OF == c).any() else 0 for c in range(CLASSES)]]
-FIRST_OF = np.array([_sizes[np.flatnonzero(CLASS_OF == c)[0]] if (CLASS_OF == c).any() else 1 for c in range(CLASSES)], dtype=np.int64)
+#: Cumulative prior over ids in parts of 2**24: vocabularies number their tokens by falling frequency.
+_PRIOR_BITS = 24
+_weight = 1 / (np.arange(LARGEST + 1) + 200.0)
+_parts = np.floor(_weight / _weight.sum() * ((1 << _PRIOR_BITS) - LARGEST - 1)).astype(np.int64) + 1
+_parts[0] += (1 << _PRIOR_BITS) - _parts.sum()
+PRIOR = np.concatenate([[0], np.cumsum(_parts)])
+
+# First weights of the order-2 and the order-1 guess for each pair of confidences (order 2, order 1).
+_state = np.arange((SURE + 1) ** 2)
+_right = np.array([0.0, 0.15, 0.45, 0.65, 0.8])
+_first2 = _right[_state // (SURE + 1)]
+_first1 = _right[_state % (SURE + 1)] * (1 - _first2) * 0.8
+WEIGHTS2, WEIGHTS1 = (_first2 * MOST).astype(np.int64), (_first1 * MOST).astype(np.int64)
 
 
 class _Model:
     """Predictions of ``n`` lanes in step."""
 
     def __init__(self, n: int):
-        lane = np.arange(n, dtype=np.int64)
-        self.at1, self.at2, self.at_rate = lane * SLOTS1, lane * SLOTS2, lane * CONFIDENCES
-        self.guess1, self.sure1 = np.zeros(n * SLOTS1, np.int32), np.zeros(n * SLOTS1, np.int8)
-        self.guess2, self.sure2 = np.zeros(n * SLOTS2, np.int32), np.zeros(n * SLOTS2, np.int8)
-        start = np.array([1 << 10, 1 << 14, 1 << 15, 3 << 14], dtype=np.int32)
-        self.rate1, self.rate2 = np.tile(start, n), np.tile(start, n)
-        even = (np.arange(CLASSES + 1) << CLASS_BITS) // CLASSES
-        self.classes = np.tile(even.astype(np.int16), (n, 1))
-        self.before = np.zeros(n, np.int64)
-        self.before2 = np.zeros(n, np.int64)
-        steps = np.arange(CLASSES + 1)
-        # Where the distribution moves to after each class: all weight there but one part for each other class.
-        self.towards = np.where(steps[None, :] > np.arange(CLASSES)[:, None], (1 << CLASS_BITS) - (CLASSES - steps), steps).astype(np.int16)
-
-    def predict(self, m: int) -> None:
-        """Set the two guesses and their weights for the first ``m`` lanes."""
-        one = self.before[:m] * 40_503
-        self.i1 = self.at1[:m] + ((one >> 4) & (SLOTS1 - 1))
-        self.i2 = self.at2[:m] + (((one + self.before2[:m] * 30_011) >> 5) & (SLOTS2 - 1))
-        self.g1, self.g2 = self.guess1.take(self.i1), self.guess2.take(self.i2)
-        self.s1, self.s2 = self.sure1.take(self.i1), self.sure2.take(self.i2)
-        self.r1, self.r2 = self.at_rate[:m] + self.s1, self.at_rate[:m] + self.s2
-        self.p1, self.p2 = self.rate1.take(self.r1), self.rate2.take(self.r2)
-        self.w2 = np.clip(self.p2, LEAST, 65_536 - 3 * LEAST)
-        rest = 65_536 - self.w2
-        self.w1 = np.clip((rest.astype(np.int64) * self.p1 >> 16).astype(np.int32), LEAST, rest - LEAST)
-        self.w1[self.g1 == self.g2] = 0
-
-    def learn(self, m: int, ids: np.ndarray) -> None:
-        for guess, sure, rate, at, g, s, r, p in ((self.guess1, self.sure1, self.rate1, self.i1, self.g1, self.s1, self.r1, self.p1), (self.guess2, self.sure2, self.rate2, self.i2, self.g2, self.s2, self.r2, self.p2)):
-            hit = g == ids
-            rate[r] = p + ((hit * np.int32(65_535) - p) >> RATE)
-            sure[at] = np.where(hit, np.minimum(s + 1, CONFIDENCES - 1), 0)
-            guess[at] = ids
-        self.before2[:m] = self.before[:m]
-        self.before[:m] = ids
-
-    def learn_class(self, lanes: np.ndarray, kinds: np.ndarray) -> None:
-        now = self.classes[lanes]
-        self.classes[lanes] = now + ((self.towards[kinds] - now) >> CLASS_RATE)
-
-
-def _steps(sizes: np.ndarray):
-    """(step, lanes that still have an id): lanes come in order of falling size."""
-    for i in range(int(sizes[0]) if len(sizes) else 0):
-        yield i, int(np.searchsorted(-sizes, -i, side="left"))
+        self.lane = lane = np.arange(n, dtype=np.int64)
+        self.at1, self.at2, self.at_weight = lane << SLOTS1, lane << SLOTS2, lane * len(_state)
+        self.memory1, self.memory2 = np.zeros(n << SLOTS1, np.int32), np.zeros(n << SLOTS2, np.int32)
+        self.weight2, self.weight1 = np.tile(WEIGHTS2, n), np.tile(WEIGHTS1, n)
+        self.seen = np.full(n, HALF, np.int64)
+        self.hash, self.hash_before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.total = 0  # ids that order 0 knows
+        self.edges = np.zeros((5, n), np.int64)
+
+    def update(self, ids: np.ndarray) -> None:
+        """Let order 0 take in all ids so far, a row for each step: in order, with the runs of equal ids."""
+        self.total = len(ids)
+        now = np.sort(np.ascontiguousarray(ids.T, dtype=np.uint16), axis=1, kind="stable")
+        edge = np.ones(now.shape, bool)
+        edge[:, 1:] = now[:, 1:] != now[:, :-1]
+        self.first = np.flatnonzero(edge)
+        self.size = np.diff(np.append(self.first, now.size))
+        self.known = now.ravel()
+
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """For decoding: first slot and number of slots of the id in each slot of the known ids."""
+        return np.repeat(self.first, self.size), np.repeat(self.size, self.size)
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For encoding: first slot and number of slots (0: not seen) of coming ids, a row for each step."""
+        keys = (self.first // self.total << 16) + self.known[self.first]
+        wanted = (self.lane << 16) + ids
+        at = np.minimum(np.searchsorted(keys, wanted.T).T, len(keys) - 1)
+        return self.first[at] - self.lane * self.total, self.size[at] * (keys[at] == wanted)
+
+    def predict(self, m: int) -> np.ndarray:
+        """The bounds of four branches for the first ``m`` lanes: order-2 guess, order-1 guess, ids that order 0 knows, all others."""
+        one, two = self.hash[:m], (self.hash[:m] + 3 * self.hash_before[:m]) * 0xC2B2AE35
+        self.i1 = self.at1[:m] + (one >> 8 & (1 << SLOTS1) - 1)
+        self.i2 = self.at2[:m] + (two >> 40 & (1 << SLOTS2) - 1)
+        self.tag1, self.tag2 = one & CHECK, two >> 5 & CHECK
+        m1, m2 = self.memory1.take(self.i1) ^ self.tag1, self.memory2.take(self.i2) ^ self.tag2
+        m1 *= m1 < 1 << TAG  # another context's entry is none
+        m2 *= m2 < 1 << TAG
+        self.s1, self.s2 = m1 >> 16, m2 >> 16
+        self.g1, self.g2 = (m1 & 0xFFFF) - (m1 == 0), (m2 & 0xFFFF) - (m2 == 0)
+        self.k = self.at_weight[:m] + self.s2 * (SURE + 1) + self.s1
+        self.p2, self.p1 = self.weight2.take(self.k), self.weight1.take(self.k)
+        w2, w1 = self.p2 + ((self.s2 > 0) << 6), self.p1 + ((self.s1 > 0) << 6)
+        self.same = (self.g1 == self.g2) & (m1 > 0)
+        edges = self.edges[:, :m] if m == self.edges.shape[1] else np.zeros((5, m), np.int64)
+        edges[2] = w2 + w1
+        edges[1] = np.where(self.same, edges[2], w2)  # agreeing guesses add up
+        edges[3] = edges[2]
+        if self.total:
+            edges[3] += (ONE - edges[2]) * self.seen[:m] >> 16
+        edges[4] = ONE
+        return edges
+
+    def learn(self, m: int, ids: np.ndarray, kind: np.ndarray) -> None:
+        """Move the memories and the weights towards ``ids``, which the branches ``kind`` coded."""
+        hit2, hit1 = self.g2 == ids, self.g1 == ids
+        both = (hit2 & hit1) * HALF
+        self.weight2[self.k] = self.p2 + (hit2 * MOST - both - self.p2 >> RATE)
+        self.weight1[self.k] = self.p1 + (hit1 * MOST - both - self.p1 >> RATE)
+        if self.total:
+            seen = self.seen[:m]
+            seen += ((kind == 2) * (MOST - 512) + 512 - seen >> SEEN_RATE) * (kind > 1)
+        self.memory1[self.i1] = self.tag1 | (np.minimum(self.s1, SURE - 1) * hit1 + 1 << 16) | ids
+        self.memory2[self.i2] = self.tag2 | (np.minimum(self.s2, SURE - 1) * hit2 + 1 << 16) | ids
+        self.hash_before[:m] = self.hash[:m]
+        self.hash[:m] = (ids + 1) * 0x9E3779B1
+
+
+def _lanes_at(sizes: np.ndarray, step: int) -> int:
+    """Lanes that still have an id: they come in order of falling size."""
+    return int(np.searchsorted(-sizes, -step, side="left"))
 
 
 def _encode_lanes(rows: list[np.ndarray]) -> list[bytes]:
@@ -107,38 +143,40 @@ def _encode_lanes(rows: list[np.ndarray]) -> list[bytes]:
         low[lanes] = (low[lanes] & LOW_BITS) << 16
         span[lanes] <<= 16
 
-    def put(lanes: np.ndarray, start, size, bits) -> None:
-        unit = span[lanes] >> bits
-        low[lanes] += unit * start
-        new = unit * size
-        span[lanes] = new
-        small = lanes[new < NORMAL]
-        if len(small):
-            emit(small)
-
-    for step, m in _steps(sizes):
+    first = size = None
+    marks = [u for u in UPDATES if u < len(ids)] + [len(ids)]
+    for step in range(len(ids)):
+        if step in UPDATES:
+            model.update(ids[:step])
+            begin, end = step, next(u for u in marks if u > step)
+            first, size = model.places(ids[step:end])
+        m = _lanes_at(sizes, step)
         now = ids[step, :m]
-        model.predict(m)
+        bounds = model.predict(m) * (span[:m] >> 16)
         hit2 = model.g2 == now
-        hit1 = (model.g1 == now) & ~hit2
-        escape = ~(hit1 | hit2)
-        start = np.where(hit2, 0, np.where(hit1, model.w2, model.w2 + model.w1))
-        size = np.where(hit2, model.w2, np.where(hit1, model.w1, 65_536 - model.w2 - model.w1))
-        unit = span[:m] >> 16
-        low[:m] += unit * start
-        span[:m] = unit * size
-        small = np.flatnonzero(span[:m] < NORMAL)
-        if len(small):
+        free = ~(hit2 | (model.g1 == now))
+        kind = np.where(hit2, 0, 1) if first is None else np.where(hit2, 0, 1) + (free & (size[step - begin, :m] > 0))
+        kind[free & (kind == 1)] = 3
+        at = kind * m + model.lane[:m]
+        start = bounds.take(at)
+        low[:m] += start
+        span[:m] = bounds.take(at + m) - start
+        if len(small := np.flatnonzero(span[:m] < NORMAL)):
             emit(small)
-        lanes = np.flatnonzero(escape)
-        if len(lanes):
+        if len(lanes := np.flatnonzero(kind == 2)):
+            unit = span[lanes] // model.total
+            low[lanes] += unit * first[step - begin].take(lanes)
+            span[lanes] = unit = unit * size[step - begin].take(lanes)
+            if len(lanes := lanes[unit < NORMAL]):
+                emit(lanes)
+        if len(lanes := np.flatnonzero(kind == 3)):
             value = now[lanes]
-            kind = CLASS_OF[value]
-            first = model.classes[lanes, kind].astype(np.int64)
-            put(lanes, first, model.classes[lanes, kind + 1] - first, CLASS_BITS)
-            put(lanes, value + 1 - FIRST_OF[kind], 1, EXTRA_OF[kind])
-            model.learn_class(lanes, kind)
-        model.learn(m, now)
+            unit = span[lanes] >> _PRIOR_BITS
+            low[lanes] += unit * PRIOR[value]
+            span[lanes] = unit * _parts[value]
+            while len(some := lanes[span[lanes] < NORMAL]):
+                emit(some)
+        model.learn(m, now, kind)
     every = np.arange(n)
     for _ in range(3):
         emit(every)
@@ -172,43 +210,40 @@ def _decode_lanes(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
         used[lanes] += 1
         span[lanes] <<= 16
 
-    for step, m in _steps(sizes):
-        model.predict(m)
-        unit = span[:m] >> 16
-        cut2 = unit * model.w2
-        cut1 = cut2 + unit * model.w1
-        hit2 = code[:m] < cut2
-        escape = code[:m] >= cut1
-        now = np.where(hit2, model.g2, model.g1).astype(np.int64)
-        code[:m] -= np.where(hit2, 0, np.where(escape, cut1, cut2))
-        span[:m] = unit * np.where(hit2, model.w2, np.where(escape, 65_536 - model.w2 - model.w1, model.w1))
-        small = np.flatnonzero(span[:m] < NORMAL)
-        if len(small):
+    for step in range(len(out)):
+        if step in UPDATES:
+            model.update(out[:step])
+            first, size = model.slots()
+        m = _lanes_at(sizes, step)
+        bounds = model.predict(m) * (span[:m] >> 16)
+        now_code = code[:m]
+        kind = (now_code >= bounds[1]).astype(np.int64) + (now_code >= bounds[2]) + (now_code >= bounds[3])
+        now = np.where(kind == 0, model.g2, model.g1)
+        at = kind * m + model.lane[:m]
+        start = bounds.take(at)
+        now_code -= start
+        span[:m] = bounds.take(at + m) - start
+        if len(small := np.flatnonzero(span[:m] < NORMAL)):
             feed(small)
-        lanes = np.flatnonzero(escape)
-        if len(lanes):
-            unit = span[lanes] >> CLASS_BITS
-            place = code[lanes] // unit
-            bounds = model.classes[lanes]
-            kind = (bounds[:, 1:] <= place[:, None]).sum(axis=1)
-            rows = np.arange(len(lanes))
-            first = bounds[rows, kind].astype(np.int64)
-            code[lanes] -= unit * first
-            span[lanes] = unit * (bounds[rows, kind + 1] - first)
-            small = lanes[span[lanes] < NORMAL]
-            if len(small):
-                feed(small)
-            unit = span[lanes] >> EXTRA_OF[kind]
-            extra = code[lanes] // unit
-            code[lanes] -= unit * extra
-            span[lanes] = unit
-            small = lanes[unit < NORMAL]
-            if len(small):
-                feed(small)
-            now[lanes] = FIRST_OF[kind] + extra - 1
-            model.learn_class(lanes, kind)
+        if len(lanes := np.flatnonzero(kind == 2)):
+            unit = span[lanes] // model.total
+            slot = lanes * model.total
+            at = slot + np.minimum(code[lanes] // unit, model.total - 1)
+            now[lanes] = model.known[at]
+            code[lanes] -= unit * (first[at] - slot)
+            span[lanes] = unit = unit * size[at]
+            if len(lanes := lanes[unit < NORMAL]):
+                feed(lanes)
+        if len(lanes := np.flatnonzero(kind == 3)):
+            unit = span[lanes] >> _PRIOR_BITS
+            value = np.searchsorted(PRIOR, np.minimum(code[lanes] // unit, (1 << _PRIOR_BITS) - 1), side="right") - 1
+            now[lanes] = value
+            code[lanes] -= unit * PRIOR[value]
+            span[lanes] = unit * _parts[value]
+            while len(some := lanes[span[lanes] < NORMAL]):
+                feed(some)
         out[step, :m] = now
-        model.learn(m, now)
+        model.learn(m, now, kind)
     return out
 
 

@@ -25,41 +25,90 @@ from .common import text_chunks
 
 END = 1  # id behind each document
 CHUNK = range_coder.BLOCK * range_coder.LANES  # a chunk ends with the document that reaches so many ids
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000  # of words of at most CACHED characters, so the cache is bounded in bytes too
+CACHED = 48
 GAPS = re.compile(r"[ \t\n\r]+")
 #: Control characters that some engines count as white space, and the start of a special token's string: not for the word cache.
 ODD = re.compile(r"[\x1c-\x1f]|<\|")
+#: Words of ASCII and of composed Latin letters, which no normalisation but lower case changes.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+PLAIN = re.compile(rf"[\x00-\x7f{LATIN}]*").fullmatch
+# The pre-tokens of the public word-level vocabulary, for such words in lower case.
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
+
+
+class _Words:
+    """The library with bounded caches of words and of their pre-tokens, one to a Python worker."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        vocab = self.library.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(x.ids, dtype="<u2").tobytes() for x in found]
+
+    def learn_parts(self, parts: list[str]) -> None:
+        """Encode pre-tokens many to a call; each ends with its first token that ends a word."""
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            ids = np.frombuffer(self.whole(["\n".join(some)])[0], dtype="<u2")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                packed, ends = ids.tobytes(), (ends * 2).tolist()
+                self.parts.update(zip(some, [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            else:
+                self.parts.update(zip(some, self.whole(some), strict=True))
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words: plain ones from their pre-tokens, all others from the library."""
+        plain = [w for w in words if PLAIN(w)]
+        split = [PARTS.findall(w.lower()) for w in plain]
+        parts = self.parts
+        if len(parts) > CACHE_ENTRIES:
+            parts.clear()
+        self.learn_parts(list({p for x in split for p in x if p not in parts}))
+        found = dict(zip(plain, [parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x]) for x in split], strict=True))
+        for p in [p for w, x in zip(plain, split, strict=True) if len(w) > CACHED for p in x if len(p) > CACHED]:
+            parts.pop(p, None)
+        if len(plain) < len(words):
+            others = [w for w in words if w not in found]
+            found.update(zip(others, self.whole(others), strict=True))
+        return found
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-@lru_cache(maxsize=2)
-def _cache(path: str) -> dict[str, bytes]:
-    return {}
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     """The library's ids of each text, without special tokens added.
 
-    The tokenizer never joins what white space separates, so texts are encoded word by word through a
-    bounded cache of the worker; texts with ODD parts go to the library whole.
+    The tokenizer never joins what white space or the bounds of a pre-token separate, so texts are encoded
+    word by word through bounded caches of the worker; texts with ODD parts go to the library whole.
     """
-    cache, library = _cache(path), _tokenizer(path)
+    own = _words(path)
+    cache = own.words
     if len(cache) > CACHE_ENTRIES:
         cache.clear()
-    whole = [i for i, t in enumerate(texts) if ODD.search(t)]
-    out: dict[int, np.ndarray] = {i: np.array(x.ids, dtype="<u2") for i, x in zip(whole, library.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True)}
-    words = [[] if i in out else [w for w in GAPS.split(t) if w] for i, t in enumerate(texts)]
-    missing = list({w for doc in words for w in doc if w not in cache})
-    for w, x in zip(missing, library.encode_batch(missing, add_special_tokens=False) if missing else [], strict=True):
-        cache[w] = np.array(x.ids, dtype="<u2").tobytes()
-    return [out[i] if i in out else np.frombuffer(b"".join(map(cache.__getitem__, doc)), dtype="<u2") for i, doc in enumerate(words)]
+    odd = [i for i, t in enumerate(texts) if ODD.search(t)]
+    out = dict(zip(odd, own.whole([texts[i] for i in odd]), strict=True))
+    docs = [[] if i in out else t.split() if PLAIN(t) else GAPS.split(t) for i, t in enumerate(texts)]
+    found = own.learn(list({w for doc in docs for w in doc if w not in cache}))
+    cache.update(found)  # long words for this call only
+    joined = [out[i] if i in out else b"".join(map(cache.__getitem__, doc)) for i, doc in enumerate(docs)]
+    for w in found:
+        if len(w) > CACHED:
+            del cache[w]
+    return [np.frombuffer(x, dtype="<u2") for x in joined]
 
 
 def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
