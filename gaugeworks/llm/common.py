@@ -7,6 +7,9 @@ import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,16 +48,18 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and go on from that copy: as ``cut``, but compressed and with statistics."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def text_chunks(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of whole texts of about ``limit`` characters with the index of their first; null is empty."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield start, [x or "" for x in texts[start : i + 1]]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, [x or "" for x in texts[start:]]
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_chunks(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Runs of whole texts of about ``limit`` bytes with the index of their first; null is empty.
+
+    Only one run at a time is turned into Python strings; a text longer than ``limit`` is a run of its own.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, [x or "" for x in texts.slice(start, end - start).to_pylist()]
+        start = end

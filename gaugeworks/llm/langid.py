@@ -219,7 +219,7 @@ def predict(df: DataFrame, path: str, langs: list[str], probs: np.ndarray, id_co
         index, (table,) = _word_cache(key)[0], _word_cache(key)[1]
         for batch in batches:
             names, scores = [], []
-            for _, chunk in text_chunks(batch.column(text_at).to_pylist()):
+            for _, chunk in text_chunks(batch.column(text_at)):
                 docs = [words_of(t) for t in chunk] if langs else [[] for _ in chunk]
                 if len(index) > CACHE_ENTRIES:
                     index.clear()

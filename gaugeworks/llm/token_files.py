@@ -134,7 +134,7 @@ def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_co
         id_type, size = None, 0
         for batch in batches:
             id_type, ids = batch.schema.field(0).type, batch.column(0).to_pylist()
-            for start, texts in text_chunks(batch.column(1).to_pylist()):
+            for start, texts in text_chunks(batch.column(1)):
                 for k, found in enumerate(encode_texts(texts, path)):
                     held.append(np.append(found, np.uint16(END)))
                     names.append(ids[start + k])

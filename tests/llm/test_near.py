@@ -152,7 +152,6 @@ def test_paragraphs_in_containers_of_their_own():
             parts = "".join(f"<{tag}><p>{t}</p></{tag}>" for t in texts)
             assert html_text.content_lines(f"<html><body>{parts}</body></html>") == texts
             assert html_text.content_lines(f"<body>{menu}<div>{parts}</div>{menu}</body>") == texts
-    assert html_text.around({5, 7}, {1: 0, 2: 1, 3: 2, 5: 3, 7: 2, 9: 1}) == {2, 3, 5, 7}
 
 
 def test_lines_all_alike_are_not_cut():
