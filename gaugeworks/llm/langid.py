@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_chunks
 
-PART = 32  # a longer word is scored in parts of so many bytes
-LONGEST = 8  # bytes of a piece
-FLOOR = 1e-8  # least probability of a piece; PART factors of it stay in the range of a double
+SPAN = 1 << 14  # places of a longer word that are scored at a time; a multiple of STEP
+LEARNED = 1024  # bytes of the longest word that training learns from; scoring has no such bound
+STEP = 32  # places after which the sums of the forward algorithm are scaled again
+FLOOR = 1e-8  # least probability of a piece; STEP factors of it stay in the range of a double
+SHORT = 8  # pieces up to so many bytes are looked up at every place, longer ones where they share their first SHORT bytes
 WORDS = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE_ENTRIES = 200_000
+HASHED = np.uint64(46)
+CACHE_ENTRIES = 200_000  # of words of at most CACHED letters, so the cache is bounded in bytes too
+CACHED = 48
 
 
 def words_of(text: str) -> list[str]:
@@ -34,42 +39,88 @@ def words_of(text: str) -> list[str]:
 
 
 class Pieces:
-    """All single bytes, and the pieces of a sentencepiece file of at most LONGEST bytes, by hash."""
+    """All single bytes, and all pieces of a sentencepiece file, by hash."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         texts = {sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-        self.pieces = sorted({p for p in texts if len(p) <= LONGEST} | {bytes([b]) for b in range(256)})
+        self.pieces = sorted({p for p in texts if p} | {bytes([b]) for b in range(256)})
+        self.longest = max(map(len, self.pieces))
         self.by_length = []
-        for n in range(1, LONGEST + 1):
+        for n in range(1, self.longest + 1):
             at = [i for i, p in enumerate(self.pieces) if len(p) == n]
-            raw = np.frombuffer(b"".join(self.pieces[i] for i in at), dtype=np.uint8).reshape(-1, n)
-            key = np.zeros(len(at), dtype=np.uint64)
-            for j in range(n):
-                key = key * BASE + raw[:, j] + np.uint64(1)
+            key = self._keys([self.pieces[i] for i in at], n)
             order = np.argsort(key)
-            self.by_length.append((key[order], np.array(at, dtype=np.int64)[order]))
-
-    def match(self, raw: np.ndarray, size: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, length, rows, piece ids) of every piece in the rows of ``raw`` within their sizes."""
+            hashed = np.zeros(1 << 18, dtype=bool)  # most keys that no piece has end here
+            hashed[key * BASE >> HASHED] = True
+            self.by_length.append((key[order], np.array(at, dtype=np.int64)[order], hashed))
+        heads = sorted({p[:SHORT] for p in self.pieces if len(p) > SHORT})
+        self.heads = np.sort(self._keys(heads, SHORT))
+
+    @staticmethod
+    def _keys(pieces: list[bytes], n: int) -> np.ndarray:
+        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8).reshape(-1, n)
+        key = np.zeros(len(raw), dtype=np.uint64)
+        for j in range(n):
+            key = key * BASE + raw[:, j] + np.uint64(1)
+        return key
+
+    def match(self, raw: np.ndarray, size: np.ndarray) -> Matches:
+        """Every piece in the rows of ``raw`` within their sizes, in order of its start and then of its length."""
         n, width = raw.shape
         key = np.zeros((n, width), dtype=np.uint64)
-        out = []
-        for length in range(1, min(LONGEST, width) + 1):
+        starts, lengths, rows, ids = [], [], [], []
+
+        def add(length: int, start: np.ndarray, row: np.ndarray, keys_at: np.ndarray) -> None:
+            keys, of, hashed = self.by_length[length - 1]
+            some = np.flatnonzero(hashed[keys_at * BASE >> HASHED])
+            if len(some):
+                some = some[start[some] + length <= size[row[some]]]
+                at = np.minimum(np.searchsorted(keys, keys_at[some]), len(keys) - 1)
+                hit = keys[at] == keys_at[some]
+                some = some[hit]
+                starts.append(start[some])
+                lengths.append(np.full(len(some), length))
+                rows.append(row[some])
+                ids.append(of[at[hit]])
+
+        for length in range(1, min(SHORT, width) + 1):
             m = width - length + 1
             key = key[:, :m] * BASE + raw[:, length - 1 :] + np.uint64(1)
-            keys, ids = self.by_length[length - 1]
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            found = (keys[at] == key) & (np.arange(length, width + 1) <= size[:, None])
-            for start in range(m):
-                rows = np.flatnonzero(found[:, start])
-                if len(rows):
-                    out.append((start, length, rows, ids[at[rows, start]]))
-        return out
+            add(length, np.tile(np.arange(m), n), np.repeat(np.arange(n), m), key.ravel())
+        if width > SHORT and len(self.heads):
+            at = np.minimum(np.searchsorted(self.heads, key), len(self.heads) - 1)
+            row, start = np.nonzero(self.heads[at] == key)
+            long = key[row, start]
+            for length in range(SHORT + 1, min(self.longest, width) + 1):
+                inside = np.flatnonzero(start + length <= size[row])
+                row, start, long = row[inside], start[inside], long[inside]
+                if not len(row):
+                    break
+                long = long * BASE + raw[row, start + length - 1] + np.uint64(1)
+                add(length, start, row, long)
+        start, length, row, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, rows, ids))
+        order = np.argsort(start * (self.longest + 1) + length, kind="stable")
+        start, length = start[order], length[order]
+        edge = np.flatnonzero(np.diff(start, prepend=-1) | np.diff(length, prepend=-1))
+        return Matches(start[edge], length[edge], np.append(edge, len(start)), row[order], ids[order])
+
+
+class Matches(NamedTuple):
+    """Groups of pieces of the same start and length: group g has rows and ids from ``ends[g]`` to ``ends[g + 1]``."""
+
+    start: np.ndarray
+    length: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+    ids: np.ndarray
+
+    def groups(self, backwards: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        every = zip(self.start.tolist(), self.length.tolist(), self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True)
+        for start, length, a, b in reversed(list(every)) if backwards else every:
+            yield start, length, self.rows[a:b], self.ids[a:b]
 
 
 @lru_cache(maxsize=2)
@@ -77,42 +128,89 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def parts_of(word: str) -> list[bytes]:
-    """A word as bytes behind a space, in parts of at most PART bytes."""
-    raw = b" " + word.encode()
-    return [raw[i : i + PART] for i in range(0, len(raw), PART)]
+def bytes_of(word: str) -> bytes:
+    """A word as bytes behind a space."""
+    return b" " + word.encode()
+
 
+def _forward(matches: Matches, size: np.ndarray, width: int, probs: np.ndarray, reach: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """alpha[row, place, language] and the logarithms of the factors that places were divided by, [row, place // STEP, language].
 
-def _forward(matches: list, size: int, n: int, probs: np.ndarray) -> np.ndarray:
-    """alpha[row, position, language]."""
-    alpha = np.zeros((n, size + 1, probs.shape[1]))
-    alpha[:, 0] = 1
-    for start, length, rows, ids in sorted(matches, key=lambda x: x[0]):
+    What a place holds is the sum over all segmentations up to it, divided by one factor for all places of
+    a step, so a word of any length stays in the range of a double. ``first`` has what the first places hold.
+    """
+    n, k = len(size), probs.shape[1]
+    alpha = np.zeros((n, width + 1, k))
+    if first is None:
+        alpha[:, 0] = 1
+    else:
+        alpha[:, : first.shape[1]] = first[:, : width + 1]
+    scale = np.zeros((n, width // STEP + 1, k))
+    step = 0
+
+    def rescale() -> int:
+        """Divide the places from the next step on, as far as they are summed, by the largest of them."""
+        at = (step + 1) * STEP
+        scale[:, step + 1] = scale[:, step]
+        rows = np.flatnonzero(size >= at)
+        most = alpha[rows, at : at + reach].max(axis=1)
+        alpha[rows, at : at + reach] /= most[:, None]
+        scale[rows, step + 1] += np.log(most)
+        return step + 1
+
+    for start, length, rows, ids in matches.groups():
+        while start // STEP > step:
+            step = rescale()
         alpha[rows, start + length] += alpha[rows, start] * probs[ids]
-    return alpha
+    while width // STEP > step:
+        step = rescale()
+    return alpha, scale
 
 
-def _batches(parts: list[bytes], rows: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Indices, byte matrix and sizes of parts of like length."""
-    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+def _batches(words: list[bytes], cells: int = 131_072) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Indices, byte matrix and sizes of words of like length, of about ``cells`` bytes or a single longer word."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     order = np.argsort(sizes, kind="stable")
-    for i in range(0, len(order), rows):
-        some = order[i : i + rows]
+    at = 0
+    while at < len(order):
+        width = int(sizes[order[at]])
+        some = order[at : at + max(1, cells // max(width, 16))]
+        some = some[sizes[some] <= width + width // 4 + 2]
+        at += len(some)
         width = int(sizes[some[-1]])
-        raw = np.frombuffer(b"".join([parts[k].ljust(width, b"\0") for k in some]), dtype=np.uint8)
+        raw = np.frombuffer(b"".join([words[k].ljust(width, b"\0") for k in some]), dtype=np.uint8)
         yield some, raw.reshape(len(some), width), sizes[some]
 
 
 def log_probs(words: list[str], path: str, probs: np.ndarray) -> np.ndarray:
-    """log P(word | language), a row per word."""
-    cuts = [parts_of(w) for w in words]
-    flat = [p for c in cuts for p in c]
+    """log P(word | language), a row per word: the sum over all segmentations of the whole word."""
+    flat, vocab = list(map(bytes_of, words)), pieces(path)
     out = np.zeros((len(flat), probs.shape[1]))
     for some, raw, size in _batches(flat):
-        alpha = _forward(pieces(path).match(raw, size), raw.shape[1], len(some), probs)
-        out[some] = np.log(alpha[np.arange(len(some)), size])
-    ends = np.cumsum([len(c) for c in cuts])
-    return np.add.reduceat(out, np.concatenate([[0], ends[:-1]]), axis=0) if len(words) else out
+        if raw.shape[1] > SPAN:
+            out[some] = [_log_prob_long(word[:n], vocab, probs) for word, n in zip(raw, size, strict=True)]
+            continue
+        alpha, scale = _forward(vocab.match(raw, size), size, raw.shape[1], probs, vocab.longest)
+        each = np.arange(len(some))
+        out[some] = np.log(alpha[each, size]) + scale[each, size // STEP]
+    return out
+
+
+def _log_prob_long(word: np.ndarray, vocab: Pieces, probs: np.ndarray) -> np.ndarray:
+    """The same for one word of any length: SPAN places at a time, whose sums beyond their end open the next."""
+    first, total, at = None, np.zeros(probs.shape[1]), 0
+    while True:
+        raw = word[None, at : at + SPAN + vocab.longest]
+        matches = vocab.match(raw, np.array([raw.shape[1]]))
+        last = at + raw.shape[1] == len(word)
+        if not last:  # pieces that start in the span, which is a whole number of steps
+            groups = int(np.searchsorted(matches.start, SPAN))
+            matches = Matches(matches.start[:groups], matches.length[:groups], matches.ends[: groups + 1], matches.rows, matches.ids)
+        width = raw.shape[1] if last else SPAN + vocab.longest - 1
+        alpha, scale = _forward(matches, np.array([raw.shape[1] if last else SPAN]), width, probs, vocab.longest, first)
+        if last:
+            return total + np.log(alpha[0, -1]) + scale[0, -1]
+        first, total, at = alpha[:, SPAN:], total + scale[0, SPAN // STEP], at + SPAN
 
 
 def expected(words: list[str], counts: np.ndarray, path: str, probs: np.ndarray | None) -> np.ndarray:
@@ -121,27 +219,29 @@ def expected(words: list[str], counts: np.ndarray, path: str, probs: np.ndarray
     Without ``probs``, every occurrence of a piece counts, which starts the iteration.
     """
     vocab = pieces(path)
-    total = np.zeros((len(vocab.pieces), counts.shape[1]))
-    owner = [i for i, w in enumerate(words) for _ in parts_of(w)]
-    flat = [p for w in words for p in parts_of(w)]
-    owner = np.array(owner, dtype=np.int64)
-    for some, raw, size in _batches(flat):
-        matches, weight = vocab.match(raw, size), counts[owner[some]]
+    k = counts.shape[1]
+    total = np.zeros((len(vocab.pieces), k))
+    for some, raw, size in _batches(list(map(bytes_of, words))):
+        matches, weight = vocab.match(raw, size), counts[some]
         if probs is None:
-            for _, _, rows, ids in matches:
-                for k in range(counts.shape[1]):
-                    total[:, k] += np.bincount(ids, weight[rows, k], len(total))
+            for i in range(k):
+                total[:, i] += np.bincount(matches.ids, weight[matches.rows, i], len(total))
             continue
-        alpha = _forward(matches, raw.shape[1], len(some), probs)
+        alpha, scale = _forward(matches, size, raw.shape[1], probs, vocab.longest)
         each = np.arange(len(some))
         beta = np.zeros_like(alpha)
         beta[each, size] = weight / alpha[each, size]
-        for start, length, rows, ids in sorted(matches, key=lambda x: -x[0]):
+        uses = np.zeros((len(matches.ids), k))
+        at = len(uses)
+        for start, length, rows, ids in matches.groups(backwards=True):
             step = probs[ids] * beta[rows, start + length]
+            if start // STEP != (start + length) // STEP:  # the two places are divided by different factors
+                step *= np.exp(scale[rows, start // STEP] - scale[rows, (start + length) // STEP])
             beta[rows, start] += step
-            use = alpha[rows, start] * step
-            for k in range(counts.shape[1]):
-                total[:, k] += np.bincount(ids, use[:, k], len(total))
+            uses[at - len(ids) : at] = alpha[rows, start] * step
+            at -= len(ids)
+        for i in range(k):
+            total[:, i] += np.bincount(matches.ids, uses[:, i], len(total))
     return total
 
 
@@ -154,8 +254,9 @@ def train(df: DataFrame, path: str, rows_per_lang: int = 1000, rounds: int = 3,
     """Languages and their piece probabilities, learned from labelled rows.
 
     Learns from a sample of about ``rows_per_lang`` whole texts of each language, drawn by a hash of the
-    id: the one bound here, and a parameter. Rows without text or language are left out. With no rows
-    there are no languages. What reaches the driver is a number per piece and language.
+    id: the one bound on rows, and a parameter; words over LEARNED bytes teach nothing. Rows without text or
+    language are left out. With no rows there are no languages. What reaches the driver is a number per
+    piece and language.
     """
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     per = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -171,7 +272,7 @@ def train(df: DataFrame, path: str, rows_per_lang: int = 1000, rounds: int = 3,
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((w, lang) for w in words_of(text))
+                seen.update((w, lang) for w in words_of(text) if len(w) <= LEARNED // 4)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "lang", "n"])
 
     counts = sample.mapInArrow(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
@@ -221,15 +322,15 @@ def predict(df: DataFrame, path: str, langs: list[str], probs: np.ndarray, id_co
             names, scores = [], []
             for _, chunk in text_chunks(batch.column(text_at)):
                 docs = [words_of(t) for t in chunk] if langs else [[] for _ in chunk]
-                if len(index) > CACHE_ENTRIES:
+                if len(table) > CACHE_ENTRIES:
                     index.clear()
                     table = np.zeros((0, len(langs)))
                 new = list({w for d in docs for w in d if w not in index})
                 if new:
                     more = log_probs(new, path, model.value)
                     more[[not any(map(str.isalpha, w)) for w in new]] = np.nan
+                    index.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
                     table = np.concatenate([table.reshape(-1, len(langs)), more])
-                    index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
                     _word_cache(key)[1][0] = table
                 for d in docs:
                     at = np.fromiter(map(index.__getitem__, d), dtype=np.int64, count=len(d))
@@ -243,6 +344,8 @@ def predict(df: DataFrame, path: str, langs: list[str], probs: np.ndarray, id_co
                     best = int(np.argmax(total))
                     names.append(langs[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
+                for w in [w for w in new if len(w) > CACHED]:
+                    del index[w]
             sent = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
             columns = [batch.column(i) for i in sent]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*[batch.schema.names[i] for i in sent], "lang_pred", "score"])

@@ -1,7 +1,10 @@
+import math
 import re
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontaminate, langid, licenses, secrets
@@ -122,17 +125,57 @@ def test_network_learns():
     assert found[y[400:] > 0].mean() >= 0.98 and found[y[400:] == 0].mean() < 0.05
 
 
-def segmentations(raw, probs, at=0):
-    return 1.0 if at == len(raw) else sum(probs[raw[at:e]] * segmentations(raw, probs, e) for e in range(at + 1, len(raw) + 1) if raw[at:e] in probs)
+def segmentations(raw, table):
+    """Sum over all segmentations in exact arithmetic, place by place."""
+    sums = [Fraction(1)] + [Fraction(0)] * len(raw)
+    for end in range(1, len(raw) + 1):
+        for start in range(max(0, end - 64), end):
+            if raw[start:end] in table:
+                sums[end] += sums[start] * Fraction(table[raw[start:end]])
+    return sums[-1]
 
 
-def test_forward_sums_all_segmentations():
+def log(x):
+    return math.log(x.numerator) - math.log(x.denominator)
+
+
+LONG_WORDS = ["the", "thing", "été", "a", "internationalization" * 9, "электрификация" * 8, "ηλεκτρισμός" * 7, "中文字典" * 20, "é" * 16 + "a", "x" * 31, "x" * 32, "straßenbahnhaltestelle" * 3]
+
+
+@pytest.mark.parametrize("span", [64, 1 << 14])
+def test_forward_sums_all_segmentations(monkeypatch, span):
+    monkeypatch.setattr(langid, "SPAN", span)
+    vocab = langid.pieces(PIECES)
+    probs = np.maximum(np.random.default_rng(1).random((len(vocab.pieces), 2)) ** 8 / 100, langid.FLOOR)
+    got = langid.log_probs(LONG_WORDS, PIECES, probs)
+    for k in range(2):
+        table = {p: probs[i, k] for i, p in enumerate(vocab.pieces)}
+        for word, value in zip(LONG_WORDS, got[:, k], strict=True):
+            assert np.isclose(value, log(segmentations(b" " + word.encode(), table)), rtol=1e-9), word
+
+
+def test_all_pieces_take_part():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    known = set(langid.pieces(PIECES).pieces)
+    assert all(sp.id_to_piece(i).replace("\u2581", " ").encode() in known for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
+    assert max(map(len, known)) > 8
+
+
+def test_expected_uses():
+    """Expected uses are the derivative of the log probability by the log of a piece's probability."""
     vocab = langid.pieces(PIECES)
-    probs = np.random.default_rng(1).random((len(vocab.pieces), 2)) / 100
-    for word in ("the", "thing", "été", "a"):
+    rng = np.random.default_rng(2)
+    probs = np.maximum(rng.random((len(vocab.pieces), 2)) / 100, langid.FLOOR)
+    words, counts = ["thing", "électricité" * 6, "internationalization" * 5], np.array([[1.0, 0.0], [2.0, 1.0], [0.0, 3.0]])
+    got = langid.expected(words, counts, PIECES, probs)
+    for at in np.argsort(-got.sum(axis=1))[:12]:
         for k in range(2):
-            table = {p: probs[i, k] for i, p in enumerate(vocab.pieces)}
-            assert np.isclose(np.exp(langid.log_probs([word], PIECES, probs)[0, k]), segmentations(b" " + word.encode(), table))
+            up = probs.copy()
+            up[at, k] *= 1 + 1e-6
+            slope = ((langid.log_probs(words, PIECES, up) - langid.log_probs(words, PIECES, probs))[:, k] * counts[:, k]).sum() / 1e-6
+            assert np.isclose(slope, got[at, k], rtol=1e-3, atol=1e-4)
 
 
 def test_language_id(spark, docs, edges, empty):
