@@ -4,13 +4,14 @@ Each pre-token is merged on its own. A segment tree over its byte positions hold
 smallest ``rank * width + position`` below it, so the root is the leftmost pair of least rank. A merge
 changes three leaves (the merged pair, its live left neighbour and the swallowed position) and the
 paths from them to the root. Short pre-tokens are merged many at a time, one row of a numpy tree each;
-long ones use the same tree over Python lists.
+long ones use the same tree over flat arrays.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,8 @@ from .pretokens import splitter
 
 FREE = np.int64(1) << 60
 WIDTHS = (4, 8, 16, 32, 64)
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 400_000  # of pre-tokens of at most CACHED characters, so the cache is bounded in bytes too
+CACHED = 64
 SHIFT = 17
 
 
@@ -118,17 +120,23 @@ class BytePairs:
         width = 1 << max(1, (n - 1).bit_length())
         none = int(FREE)
         get = self.pairs.get
-        ids = self.byte_ids[np.frombuffer(word, dtype=np.uint8)].tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # Arrays of machine numbers: 40 bytes for a byte of the word, and no object each.
+        ids = array("q", self.byte_ids[np.frombuffer(word, dtype=np.uint8)].tobytes())
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
 
         def leaf(a: int, b: int) -> int:
             r = get(ids[a] << SHIFT | ids[b]) if a >= 0 and b < n else None
             return none if r is None else r * width + a
 
-        tree = [none] * (2 * width)
-        tree[width : width + n] = [leaf(i, i + 1) for i in range(n)]
-        for k in range(width - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+        packed = np.frombuffer(ids, dtype=np.int64)
+        rank = self.pair_ranks(packed[:-1], packed[1:])
+        leaves = np.full(2 * width, FREE, dtype=np.int64)
+        leaves[width : width + n - 1] = np.where(rank < FREE, rank * width + np.arange(n - 1), FREE)
+        for k in range(width.bit_length() - 2, -1, -1):
+            a = 1 << k
+            leaves[a : 2 * a] = np.minimum(leaves[2 * a : 4 * a : 2], leaves[2 * a + 1 : 4 * a : 2])
+        tree = array("q", leaves.tobytes())
+        del packed, leaves
 
         def put(i: int, value: int) -> None:
             i += width
@@ -152,7 +160,8 @@ class BytePairs:
             put(at, leaf(at, following))
             if before[at] >= 0:
                 put(before[at], leaf(before[at], at))
-        return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
+        left = np.frombuffer(ids, dtype=np.int64)
+        return left[left >= 0].astype("<u4").tobytes()
 
     def merge_all(self, words: list[str]) -> dict[str, bytes]:
         """Packed ids of each distinct pre-token."""
@@ -202,7 +211,10 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
     pieces = [split(t) for t in texts]
     missing = list({p for doc in pieces for p in doc if p not in cache})
     cache.update(bpe.merge_all(missing))
-    return [b"".join(map(cache.__getitem__, doc)) for doc in pieces]
+    packed = [b"".join(map(cache.__getitem__, doc)) for doc in pieces]
+    for p in [p for p in missing if len(p) > CACHED]:
+        del cache[p]
+    return packed
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
