@@ -1,30 +1,33 @@
-"""Benchmark decontamination with a positional inverted index.
-
-A window is 13 consecutive words of a benchmark item. The rarest terms of each window, by their count in
-all documents, are its anchors. The index stores the positions of the anchor terms in every document,
-with the words around them. Joining windows to the postings of an anchor and subtracting its offset gives
-starts; where the lists of all anchors of a window agree on a start, the stored words decide whether the
-phrase stands there. Lists that agree only within a few words are proximity matches.
+"""Benchmark decontamination with a distributed positional inverted index.
+
+The index holds, for every document, the places of every word that a benchmark has. A window is 13
+consecutive words of a benchmark item. Its terms are taken from the rarest on, by their count in all
+documents: the list of the rarest term, shifted by its offset in the window, gives starts, and the lists
+of the next ones, shifted alike, are intersected with them. Starts that the rarest lists agree on are
+intersected with the lists of all other words of the window; where all agree, the phrase stands there.
+Starts where the rarest lists meet only within a few words are proximity matches.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_chunks
 
 WINDOW = 13
 ANCHORS = 3
 SLOP = 2
-RUN = 8
-CLOSURE_TERMS = 200_000  # so many terms may travel to the tasks; beyond it, they are joined
+SEGMENT = 512  # words of a document whose places are one list, so no list grows with the document
+FILTER_BITS = 24  # a set of hashes of 2 MB at any benchmark size tells which words to post; a word too many does no harm
+CACHE_ENTRIES = 400_000  # of words of at most CACHED bytes
+CACHED = 64
 
 # Lower-case A-Z, keep 0-9, a-z and all bytes beyond ASCII, and make all else a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -56,72 +59,91 @@ def windows(bench: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_
     return bench.select(bench[id_col].cast("string"), bench[text_col]).mapInArrow(run, "item_id string, phrase string, n int").distinct()
 
 
-def _terms(df: DataFrame) -> list[str] | None:
-    """The values of the one column of ``df`` if there are at most CLOSURE_TERMS, else None."""
-    some = [r[0] for r in df.limit(CLOSURE_TERMS + 1).collect()]
-    return some if len(some) <= CLOSURE_TERMS else None
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A bit for each hash of FILTER_BITS bits that a ``term`` of ``terms`` has, as bytes: 2 MB whatever their number."""
+    slot = F.xxhash64("term").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    slots = terms.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("at"))
+    parts = slots.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 AS int)))").alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 5), dtype="<u4")
+    out[parts["at"].to_numpy(np.int64)] = parts["bits"].to_numpy(np.int64).astype("<u4")
+    return out.view(np.uint8)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """How often each term of ``terms`` occurs in all texts: ``term, freq``."""
-    known = _terms(terms)
-    wanted = docs.sparkSession.sparkContext.broadcast(None if known is None else {t.encode() for t in known})
+class _Codes(dict):
+    """A number for each word that the filter lets pass, -1 for any other."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = wanted.value
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                seen.update(words if keep is None else filter(keep.__contains__, words))
-            yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "freq"])
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.terms = memoryview(bits.tobytes()), []
 
-    partial = docs.select(docs[text_col]).mapInArrow(run, "term string, freq long")
-    counted = partial.groupBy("term").agg(F.sum("freq").alias("freq"))
-    return counted if known is not None else counted.join(terms, "term", "left_semi")
+    def __missing__(self, word: bytes) -> int:
+        slot = xxhash.xxh64_intdigest(word, 42) & ((1 << FILTER_BITS) - 1)
+        code = -1
+        if self.bits[slot >> 3] >> (slot & 7) & 1:
+            code = len(self.terms)
+            self.terms.append(word.decode())
+        self[word] = code
+        return code
 
 
-def index(docs: DataFrame, anchors: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings ``id, text_key, n_words, term, pos, around, inner`` of the anchor terms in every document.
+def index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings of every document: ``id, text_key, n_words, term, segment, places``.
 
-    ``anchors`` has ``term, reach``; ``around`` holds the words at least up to ``reach`` places before and
-    after the posting, which is its word ``inner`` (from 0). Both are null for a reach below 0. Each document also has one row without a term, which
-    alone has ``n_words``.
+    A row for each term of ``terms`` (column ``term``) in each SEGMENT words of a document, with its places
+    in order; words with the hash of a term may have rows too. Each document also has one row without a
+    term, which alone has ``n_words``.
     """
-    some = anchors.select("term", "reach").limit(CLOSURE_TERMS + 1).collect()
-    known = {r.term.encode(): r.reach for r in some} if len(some) <= CLOSURE_TERMS else None
-    far = None if known is not None else anchors.agg(F.max("reach")).first()[0]
-    wanted = docs.sparkSession.sparkContext.broadcast(known)
+    sent = docs.sparkSession.sparkContext.broadcast(term_filter(terms))
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "text_key", "n_words", "term", "segment", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = wanted.value
+        codes = _Codes(sent.value)
         for batch in batches:
-            ids, rows, keys, sizes, terms, places, around, inner = batch.column(0), [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text)
-                hits = [(None, None)] + [(p, w) for p, w in enumerate(words) if reach is None or w in reach]
-                key = text_key(text)
-                for p, w in hits:
-                    rows.append(i)
-                    keys.append(key)
-                    sizes.append(len(words) if w is None else None)
-                    terms.append(None if w is None else w.decode())
-                    places.append(p)
-                    k = 0 if w is None else far if reach is None else reach[w]
-                    around.append(None if w is None or k < 0 else b" ".join(words[max(0, p - k) : p + k + 1]).decode())
-                    inner.append(None if w is None or k < 0 else min(p, k))
-                if len(rows) >= 20_000:
-                    yield _batch(ids, rows, keys, sizes, terms, places, around, inner)
-                    rows, keys, sizes, terms, places, around, inner = [], [], [], [], [], [], []
-            yield _batch(ids, rows, keys, sizes, terms, places, around, inner)
-
-    def _batch(ids, rows, keys, sizes, terms, places, around, inner) -> pa.RecordBatch:
-        columns = [ids.take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.string()), pa.array(places, pa.int32()), pa.array(around, pa.string()), pa.array(inner, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, ["id", "text_key", "n_words", "term", "pos", "around", "inner"])
-
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, text_key long, n_words long, term string, pos int, around string, inner int")
-    return out if known is not None else out.join(anchors.select("term"), "term", "left_semi").unionByName(out.filter("term IS NULL"))
+            for first, texts in text_chunks(batch.column(1)):
+                if len(codes) > CACHE_ENTRIES:
+                    codes = _Codes(sent.value)
+                words = [words_of(t) for t in texts]
+                sizes = np.fromiter(map(len, words), np.int64, len(words))
+                keys = np.array([text_key(t) if batch.column(1)[first + i].is_valid else text_key(None) for i, t in enumerate(texts)], np.int64)
+                found = np.concatenate([np.fromiter(map(codes.__getitem__, w), np.int64, len(w)) for w in words])
+                doc = np.repeat(np.arange(len(words)), sizes)
+                place = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                kept = np.flatnonzero(found >= 0)
+                found, doc, place = found[kept], doc[kept], place[kept]
+                # By document, segment and term; places stay in order.
+                segment = place // SEGMENT
+                list_of = (doc * (int(segment.max(initial=0)) + 1) + segment) * max(1, len(codes.terms)) + found
+                order = np.argsort(list_of, kind="stable")
+                list_of = list_of[order]
+                edge = np.flatnonzero(np.diff(list_of, prepend=-1))
+                at = order[edge]
+                ids = batch.column(0).slice(first, len(texts))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+                n = len(at)
+                columns = [ids.take(pa.array(doc[at])), pa.array(keys[doc[at]]), pa.nulls(n, pa.int64()), pa.array(codes.terms, pa.string()).take(pa.array(found[at])), pa.array(segment[at], pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                m = len(texts)
+                columns = [ids, pa.array(keys), pa.array(sizes), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                for w in {x for doc_words in words for x in doc_words if len(x) > CACHED}:
+                    if (code := codes.pop(w)) >= 0:
+                        codes.terms[code] = ""
+
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, text_key long, n_words long, term string, segment int, places array<int>")
+
+
+def _meet(wanted: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
+    """The rows of ``wanted`` (``id, text_key, term, place``) whose term stands within ``slop`` words of the place, with ``exact``."""
+    low, high = F.floor((F.col("place") - slop) / SEGMENT).cast("int"), F.floor((F.col("place") + slop) / SEGMENT).cast("int")
+    wanted = wanted.withColumn("segment", F.explode(F.sequence(low, high))) if slop else wanted.withColumn("segment", low)
+    there = lists.select(F.col("id").alias("p_id"), F.col("text_key").alias("p_key"), F.col("term").alias("p_term"), F.col("segment").alias("p_segment"), "places")
+    on = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")) & (F.col("term") == F.col("p_term")) & (F.col("segment") == F.col("p_segment"))
+    near = F.lit(False)
+    for k in range(-slop, slop + 1):
+        near |= F.array_contains("places", (F.col("place") + k).cast("int"))
+    exact = F.array_contains("places", F.col("place").cast("int"))
+    return wanted.join(there, on & near).withColumn("exact", exact).drop("p_id", "p_key", "p_term", "p_segment", "places", "segment")
 
 
 def contamination(
@@ -130,56 +152,61 @@ def contamination(
     """Words of each document inside occurrences of benchmark windows.
 
     Returns ``id_col, n_words, n_hit, n_items, items`` (sorted array of item ids as strings) and ``n_near``
-    (windows whose anchors all occur within ``slop`` words of their places although the window itself
+    (windows whose rarest terms all occur within ``slop`` words of their places although the window itself
     doesn't stand there), one row per input row. Null or wordless texts have no words and no hits; an
     item of fewer words than a window is one window, an item without words none. Repeated rows repeat;
-    rows that share an id but not a text are told apart by a hash of the text. Empty tables of either
-    kind give no hits. Other columns are ignored.
+    rows that share an id but not a text are told apart by a hash of the text. Very long texts are read
+    whole, one at a time. Empty tables of either kind give no hits. Other columns are ignored.
     """
     spans = stored(windows(bench, size).withColumn("window", F.xxhash64("phrase")))
-    words = F.split("phrase", " ")
-    placed = spans.select("window", "phrase", "n").distinct().select("window", "phrase", "n", F.posexplode(words).alias("offset", "term"))
-    counts = stored(term_counts(docs, placed.select("term").distinct(), text_col))
+    phrases = spans.select("window", "phrase", "n").distinct()
+    placed = stored(phrases.select("window", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "term")))
+    posted = stored(index(docs, placed.select("term").distinct(), id_col, text_col))
+    lists = posted.filter("term IS NOT NULL").select("id", "text_key", "term", "segment", "places")
+    counts = lists.groupBy("term").agg(F.sum(F.size("places")).alias("freq"))
     # A window with a term that no document has can't occur, so it has no anchors.
     of_window = W.partitionBy("window")
     whole = placed.join(counts, "term").withColumn("there", F.count("*").over(of_window)).filter("there = n")
-    first = whole.groupBy("window", "phrase", "n", "term", "freq").agg(F.min("offset").alias("offset"))
+    first = whole.groupBy("window", "n", "term", "freq").agg(F.min("offset").alias("offset"))
     ranked = first.withColumn("rank", F.row_number().over(of_window.orderBy("freq", "term"))).filter(F.col("rank") <= ANCHORS)
     anchor = F.array_sort(F.collect_list(F.struct("rank", "term", "offset")))
-    anchors = ranked.groupBy("window", "phrase", "n").agg(anchor.alias("anchors"))
-    anchors = stored(anchors.select("window", "phrase", "n", F.size("anchors").alias("parts"), "anchors", F.col("anchors")[0]["term"].alias("term"), F.col("anchors")[0]["offset"].alias("offset")))
-    each = anchors.select("term", (F.col("n") - 1).alias("reach")).union(anchors.select(F.explode("anchors.term"), F.lit(-1)))
-    reach = stored(each.groupBy("term").agg(F.max("reach").alias("reach")))
-    posted = stored(index(docs, reach, id_col, text_col))
-
-    # From the rarest list of each window: where the window would start, and whether the stored words are its words.
-    lists = posted.filter("term IS NOT NULL").select("id", "text_key", "term", "pos", "around", "inner")
-    start = F.col("pos") - F.col("offset")
-    at = F.col("inner") - F.col("offset") + 1
-    same = (start >= 0) & (F.concat_ws(" ", F.slice(F.split("around", " "), F.greatest(at, F.lit(1)), F.col("n"))) == F.col("phrase"))
-    lead = lists.filter("around IS NOT NULL").join(anchors, "term")
-    lead = lead.select("id", "text_key", "window", "n", "parts", start.alias("start"), same.alias("same"), F.expr("slice(anchors, 2, parts)").alias("others"))
-    # The other lists, where they would agree up to ``slop``: positions meet in runs of RUN.
-    wanted = lead.filter("parts > 1").select("id", "text_key", "window", "n", "parts", "start", "same", F.explode("others").alias("o"))
-    wanted = wanted.withColumn("place", F.col("start") + F.col("o.offset")).withColumn("term", F.col("o.term")).withColumn("rank", F.col("o.rank"))
-    low, high = F.floor((F.col("place") - slop) / RUN), F.floor((F.col("place") + slop) / RUN)
-    wanted = wanted.withColumn("run", F.explode(F.sequence(low, high))).drop("o")
-    there = lists.select(F.col("id").alias("p_id"), F.col("text_key").alias("p_key"), F.col("term").alias("p_term"), "pos", F.floor(F.col("pos") / RUN).alias("p_run"))
-    on = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")) & (F.col("term") == F.col("p_term")) & (F.col("run") == F.col("p_run"))
-    gap = F.abs(F.col("pos") - F.col("place"))
-    met = wanted.join(there, on & (gap <= slop)).groupBy("id", "text_key", "window", "n", "parts", "start", "same")
-    met = met.agg(F.count_distinct("rank").alias("close"), F.count_distinct(F.when(gap == 0, F.col("rank"))).alias("agree"))
-    met = met.filter(F.col("close") == F.col("parts") - 1).withColumn("stands", F.col("same") & (F.col("agree") == F.col("parts") - 1))
+    anchors = stored(ranked.groupBy("window", "n").agg(anchor.alias("anchors")).withColumn("parts", F.size("anchors")))
+
+    # The rarest list of each window: where the window would start.
     doc = ["id", "text_key"]
-    columns = [*doc, "window", "n", "start", "stands"]
-    met = stored(met.select(columns).unionByName(lead.filter("parts = 1").withColumn("stands", F.col("same")).select(columns)))
-    found = met.filter("stands").select(*doc, "window", "start", (F.col("start") + F.col("n")).alias("end"))
+    led = anchors.select("window", "n", "parts", F.col("anchors")[0]["term"].alias("term"), F.col("anchors")[0]["offset"].alias("offset"), F.slice("anchors", 2, ANCHORS).alias("others"))
+    lead = lists.join(led, "term").select(*doc, "window", "n", "parts", "others", "offset", F.explode("places").alias("place"))
+    lead = lead.select(*doc, "window", "n", "parts", (F.col("place") - F.col("offset")).alias("start"), "others").filter("start >= 0")
+    # The other rare lists, where they meet it up to ``slop``.
+    candidate = [*doc, "window", "n", "parts", "start"]
+    wanted = lead.filter("parts > 1").select(*candidate, F.explode("others").alias("o"))
+    wanted = wanted.select(*candidate, F.col("o.rank").alias("rank"), F.col("o.term").alias("term"), (F.col("start") + F.col("o.offset")).alias("place"))
+    rare = anchors.select(F.explode(F.slice("anchors", 2, ANCHORS)).alias("o")).select("o.term").distinct()
+    met = _meet(wanted, lists.join(rare, "term", "left_semi"), slop).groupBy(*candidate)
+    met = met.agg(F.count_distinct("rank").alias("close"), F.count_distinct(F.when(F.col("exact"), F.col("rank"))).alias("agree")).filter("close = parts - 1")
+    alone = lead.filter("parts = 1").select(*candidate).distinct().withColumn("agree", F.lit(0).cast("long"))
+    met = stored(met.select(*candidate, "agree").unionByName(alone))
+    # Starts that all rare lists agree on: the lists of every other word of the window.
+    agreed = met.filter("agree = parts - 1").select(*doc, "window", "n", "start")
+    known = anchors.select("window", F.explode("anchors").alias("o")).select("window", F.col("o.offset").alias("offset"))
+    other = placed.select("window", "offset", "term").join(known, ["window", "offset"], "left_anti")
+    others = anchors.select("window", "parts").join(other.groupBy("window").agg(F.collect_list(F.struct("offset", "term")).alias("rest")), "window", "left")
+    rest = agreed.join(others, "window").select(*doc, "window", "n", "start", "parts", F.explode_outer("rest").alias("o"))
+    certain = rest.filter("o IS NULL").select(*doc, "window", "n", "start").distinct()
+    rest = rest.filter("o IS NOT NULL").select(*doc, "window", "n", "start", "parts", F.col("o.term").alias("term"), (F.col("start") + F.col("o.offset")).alias("place")).distinct()
+    in_docs = agreed.select(*[F.col(c).alias(f"a_{c}") for c in doc]).distinct()
+    searched = lists.join(in_docs, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_text_key")), "left_semi")
+    full = _meet(rest, searched, 0).groupBy(*doc, "window", "n", "start", "parts").agg(F.count_distinct("place").alias("agree"))
+    full = full.filter("agree = n - parts").select(*doc, "window", "n", "start").unionByName(certain)
+    found = stored(full.select(*doc, "window", "start", (F.col("start") + F.col("n")).alias("end")))
 
     reached = F.max("end").over(W.partitionBy(*doc).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(reached, F.col("start"))))
     hit = found.select(*doc, "start", "end").distinct().withColumn("new", new).groupBy(*doc).agg(F.sum("new").alias("n_hit"))
     items = found.select(*doc, "window").distinct().join(spans.select("window", "item_id"), "window").groupBy(*doc).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    near = met.groupBy(*doc, "window").agg(F.bool_or("stands").alias("stands")).filter("NOT stands").groupBy(*doc).agg(F.count("*").alias("n_near"))
+    stands = found.select(*[F.col(c).alias(f"f_{c}") for c in (*doc, "window")]).distinct()
+    same = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_text_key")) & (F.col("window") == F.col("f_window"))
+    near = met.select(*doc, "window").distinct().join(stands, same, "left_anti").groupBy(*doc).agg(F.count("*").alias("n_near"))
 
     every = posted.filter("term IS NULL").select(*doc, "n_words")
     for part in (hit, items, near):
@@ -192,6 +219,6 @@ def contamination(
     )
 
 
-def verdict(n_hit, n_words):
+def verdict(n_hit: Column, n_words: Column) -> Column:
     """Contaminated: at least one word in twenty is hit."""
     return (n_hit > 0) & (20 * n_hit >= n_words)

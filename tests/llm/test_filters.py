@@ -40,7 +40,7 @@ def covered(docs, items):
 
 def test_contamination(spark, docs, data, edges, empty):
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
-    more = spark.createDataFrame([(900, "a b c"), (901, None), (902, " .. "), (903, "word thing"), (904, "a b c")], "item_id long, text string")
+    more = spark.createDataFrame([(905, "word thing " * 12), (906, "word thing word thing"), (900, "a b c"), (901, None), (902, " .. "), (903, "word thing"), (904, "a b c")], "item_id long, text string")
     for d, b in ((docs, bench), (edges, more), (edges, bench)):
         got = decontaminate.contamination(d, b).collect()
         want = covered([(r.doc_id, r.text) for r in d.collect()], [(r.item_id, r.text) for r in b.collect()])
@@ -58,22 +58,36 @@ def test_same_id_other_text_and_proximity(spark):
     assert got == [(1, 2, 0, 0), (1, 13, 13, 0), (2, 15, 0, 1), (3, 26, 26, 0)]
 
 
-def test_index_without_a_term_set(spark, docs, data, monkeypatch):
+def test_index_holds_all_places(spark, docs, edges):
+    for d in (docs, edges):
+        terms = spark.createDataFrame([("the",), ("de",), ("word",), ("émigré",)], "term string")
+        got = {}
+        for r in decontaminate.index(d, terms).filter("term IN ('the', 'de', 'word', 'émigré')").collect():
+            assert all(p // decontaminate.SEGMENT == r.segment for p in r.places)
+            got.setdefault((r.id, r.text_key, r.term), []).extend(r.places)
+        want = {}
+        for r in d.dropDuplicates(["doc_id", "text"]).collect():
+            for p, w in enumerate(words(r.text)):
+                if w in ("the", "de", "word", "émigré"):
+                    want.setdefault((r.doc_id, decontaminate.text_key(r.text), w), []).append(p)
+        assert {k: sorted(set(v)) for k, v in got.items()} == want and want
+
+
+def test_a_full_filter_changes_nothing(spark, docs, data, monkeypatch):
+    """Beyond any number of terms the filter only lets more words pass."""
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     want = sorted(decontaminate.contamination(docs, bench).collect())
-    monkeypatch.setattr(decontaminate, "CLOSURE_TERMS", 3)
+    monkeypatch.setattr(decontaminate, "term_filter", lambda terms: np.full(1 << decontaminate.FILTER_BITS - 3, 255, np.uint8))
     assert sorted(decontaminate.contamination(docs, bench).collect()) == want
 
 
-def test_short_items_without_a_term_set(spark, monkeypatch):
+def test_short_items(spark):
     items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 16)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    d = make(spark, [(n, f"{text} {'and so on ' * k}{text} {'more ' * 9}{text}") for k in (0, 3, 7) for n, text in items])
-    for most in (200_000, 3):
-        monkeypatch.setattr(decontaminate, "CLOSURE_TERMS", most)
-        got = decontaminate.contamination(d, bench).collect()
-        assert len(got) == 3 * len(items)
-        assert all((r.n_hit, r["items"]) == (3 * r.doc_id, [str(r.doc_id)]) for r in got), most
+    d = make(spark, [(n, f"{text} {'and so on ' * k}{text} {'more ' * 9}{text}") for k in (0, 3, 7, 400) for n, text in items])
+    got = decontaminate.contamination(d, bench).collect()
+    assert len(got) == 4 * len(items)
+    assert all((r.n_hit, r["items"]) == (3 * r.doc_id, [str(r.doc_id)]) for r in got)
 
 
 def base(text):
