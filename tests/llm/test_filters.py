@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from fractions import Fraction
 
@@ -124,19 +125,74 @@ def test_windows_cover_candidates():
     for size in (16, 70, 96, 200, 1000):
         seen = {p for s in secrets.window_starts(100, 100 + size) for p in range(s, s + secrets.WIDTH)}
         assert set(range(100, 100 + size)) <= seen
-    assert len(secrets.codes("é token", -5)) == secrets.WIDTH
+    got = secrets.codes("é token", -5, 2, 7)
+    assert got == bytes([0] * 5 + [ord("?") - 30, 2] + [ord(c) - 30 + 96 for c in "token"]).ljust(secrets.WIDTH, b"\0")
+
+
+def test_labels():
+    text = "token = 0641917ea4e9feb9cda83477b57ac265 9807915762804490 mail7.example.com/path 2024-05-06T10:11:12 x9fK2mQpL0vBn3RtYw internationalization password=correcthorsebattery api_key=Zk3vQ9xW1pLr8sTn"
+    got = [(text[s:e], label, found) for s, e, label, found in secrets.candidates(text, secrets.base_spans(text))]
+    assert got == [
+        ("0641917ea4e9feb9cda83477b57ac265", secrets.SECRET, True), ("9807915762804490", secrets.OTHER, False), ("mail7.example.com/path", secrets.OTHER, False),
+        ("x9fK2mQpL0vBn3RtYw", secrets.UNKNOWN, False), ("internationalization", secrets.OTHER, False), ("correcthorsebattery", secrets.UNKNOWN, True), ("Zk3vQ9xW1pLr8sTn", secrets.SECRET, True),
+    ]
+
+
+def planted(seed, n=40):
+    """Texts with labelled secrets, with secrets that no base pattern finds, and with runs that are no secrets."""
+    r = random.Random(seed)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    value = lambda k: "".join(r.choice(letters) for _ in range(k))
+    prose = lambda k: " ".join(r.choice("the of and internationalization mail for responsibilities we see that".split()) for _ in range(k))
+    texts, hidden, plain = [], [], []
+    for i in range(n):
+        texts.append(f"{prose(9)} {r.choice(['token', 'password', 'api_key'])} = '{value(r.randint(20, 44))}' {prose(9)}")
+        plain.append(r.choice([f"{r.randint(10**15, 10**16)}", f"mail{i % 9}.example{'abcd'[i % 4]}.com", f"2024-0{i % 9 + 1}-11T10.11.12", "uncharacteristically", f"news/of/the/day/{i}"]))
+        texts.append(f"{prose(7)} {plain[-1]} {prose(8)}")
+        if i % 4 == 0:
+            hidden.append(value(r.randint(24, 40)))
+            texts.append(f"{prose(6)} {hidden[-1]} {prose(6)}")
+    return texts, hidden, plain
+
+
+def test_secrets_without_a_key_word(spark):
+    texts, hidden, plain = planted(4)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == secrets.LEARNED] for r in secrets.scan(d).collect()}
+    learned = [x for v in found.values() for x in v]
+    assert len(set(learned) & set(hidden)) >= 0.9 * len(hidden)
+    assert not set(learned) & {p for p in plain if len(p) >= 16}
+    cleaned = " ".join(r.text for r in secrets.clean(d).collect())
+    assert all(p in cleaned for p in plain) and sum(h in cleaned for h in hidden) <= 1
+
+
+def test_cross_fitted_recall(spark):
+    texts, _, _ = planted(9)
+    later, _, _ = planted(10)
+    found = secrets.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    net = secrets.train(found)
+    assert net.recall >= 0.98
+    held = [c for t in later for c in secrets.findings(t)[1]]
+    score = lambda c: net.probability(net.logits(np.frombuffer(c["windows"], np.uint8).reshape(-1, secrets.WIDTH)).max())
+    secret = [score(c) >= net.threshold for c in held if c["label"] == secrets.SECRET]
+    other = [score(c) >= net.threshold for c in held if c["label"] == secrets.OTHER]
+    assert np.mean(secret) >= 0.95 and np.mean(other) <= 0.05
+    low = secrets.train(found, recall=0.5)
+    assert low.threshold >= net.threshold and low.recall >= 0.5
+
+
+def test_no_labels_no_network(spark, edges):
+    assert secrets.train(secrets.extract(edges)) is None
 
 
 def test_network_learns():
     rng = np.random.default_rng(0)
-    x = rng.integers(50, 90, (600, secrets.WIDTH))
-    y = (np.arange(600) % 2).astype(float)
-    x[y > 0, secrets.BEFORE - 8 : secrets.BEFORE] = np.arange(8) + 31
-    net = secrets.CharNet()
-    net.fit(x[:400], y[:400])
-    net.calibrate(x[400:], y[400:], 0.98)
-    found = net.probability(x[400:]) >= net.threshold
-    assert found[y[400:] > 0].mean() >= 0.98 and found[y[400:] == 0].mean() < 0.05
+    x = rng.integers(50, 90, (600, secrets.WIDTH)).astype(np.uint8)
+    y = np.arange(600) % 2
+    x[y > 0, secrets.BEFORE + 8 : secrets.BEFORE + 16] = np.arange(8) + 31
+    net = secrets.learn([w[None] for w in x[:400]], np.full(400, 40), y[:400], np.arange(400) // 2 % secrets.FOLDS, 0.98)
+    found = net.probability(net.logits(x[400:])) >= net.threshold
+    assert found[y[400:] > 0].mean() >= 0.95 and found[y[400:] == 0].mean() < 0.05
 
 
 def segmentations(raw, table):
