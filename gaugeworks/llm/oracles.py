@@ -8,26 +8,37 @@ WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTU
 
 
 def license_scan() -> str:
-    rows = [(*x, True) for x in licenses.BASE] + [(*x, False) for x in licenses.TEMPLATES]
-    values = ", ".join(f"({i}, '{label}', '{phrase}', {base})" for i, (label, phrase, base) in enumerate(rows))
+    v = licenses
+    values = ", ".join(f"({i}, '{label}', {base}, {size}, {must}, {t}, '{gram}')" for i, label, base, size, must, t, gram in v.template_rows())
     return f"""
 WITH docs AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
-templates AS (SELECT template, label, string_split(phrase, ' ') AS w, base FROM (VALUES {values}) AS t(template, label, phrase, base)),
-places AS (SELECT template, label, base, len(w) - 1 AS size, unnest(range(len(w) - 1)) AS t, w FROM templates),
-grams AS (SELECT doc_id, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 1, 0))) AS p FROM docs)),
+places AS (SELECT * FROM (VALUES {values}) AS t(template, label, base, size, must, t, gram)),
+starts AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 1, 0))) AS p FROM docs),
+grams AS (
+  SELECT doc_id, p, array_to_string(w[p + 1 : p + n], ' ') AS gram
+  FROM starts, (VALUES ({v.BASE_GRAM}), ({v.GRAM})) AS k(n) WHERE p + n <= len(w)),
 votes AS (
-  SELECT doc_id, template, label, base, size, p - t AS diagonal, list(DISTINCT t) AS places
-  FROM grams JOIN places ON a = places.w[t + 1] AND b = places.w[t + 2] GROUP BY ALL),
+  SELECT doc_id, template, label, base, size, must, p - t AS diagonal, list(DISTINCT t) AS places
+  FROM grams JOIN places USING (gram) GROUP BY ALL),
 apart AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {licenses.NEAR} THEN 0 ELSE 1 END AS apart
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {v.NEAR} THEN 0 ELSE 1 END AS apart
   FROM votes WHERE NOT base WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM apart),
+pairs AS (
+  SELECT doc_id, template, label, base, size, must, span, t, min(diagonal) + t AS p
+  FROM (SELECT * EXCLUDE places, unnest(places) AS t FROM numbered) GROUP BY doc_id, template, label, base, size, must, span, t),
+ordered AS (
+  SELECT *, max(p) OVER (PARTITION BY doc_id, template, span ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS behind FROM pairs),
+kept AS (
+  SELECT *, least({v.GRAM}, coalesce(t - lag(t) OVER (PARTITION BY doc_id, template, span ORDER BY t), {v.GRAM})) AS new
+  FROM ordered WHERE behind IS NULL OR p > behind),
 merged AS (
-  SELECT doc_id, label, base, min(diagonal) AS start, len(list_distinct(flatten(list(places)))) / size AS share
-  FROM numbered GROUP BY doc_id, template, label, base, size, span),
+  SELECT doc_id, label, base, size, must, min(p) AS start, max(p) + {v.GRAM} AS stop, sum(new) / size AS share, count(*) FILTER (list_contains(must, t)) AS told
+  FROM kept GROUP BY doc_id, template, label, base, size, must, span),
 spans AS (
-  SELECT doc_id, label, base, diagonal AS start, 1.0::DOUBLE AS share FROM votes WHERE base AND len(places) = size
-  UNION ALL SELECT * FROM merged WHERE share >= {licenses.VERIFIED}),
+  SELECT doc_id, label, base, diagonal AS start, 1.0::DOUBLE AS share FROM votes WHERE base AND len(places) = size - {v.BASE_GRAM - 1}
+  UNION ALL
+  SELECT doc_id, label, base, start, share FROM merged WHERE share >= {v.VERIFIED} AND told = len(must) AND stop - start <= {v.STRETCH} * size + {v.NEAR}),
 found AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score

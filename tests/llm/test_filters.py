@@ -261,10 +261,26 @@ def test_language_id(spark, docs, edges, empty):
     assert langid.predict(empty, PIECES, langs, probs).count() == 0
 
 
+def test_license_passages(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    grant = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    cases = [
+        ("Licensed under the GNU General Public License, version 3", "gpl,gpl-3.0"), ("Licensed under the GNU General Public License, version 2.", "gpl,gpl-2.0"),
+        (gpl.format(3), "gpl,gpl-3.0"), (gpl.format(2), "gpl,gpl-2.0"), (gpl.format(4), "gpl"), (gpl.format(3).replace("GNU General", "GNU Lesser General"), "lgpl"),
+        (gpl.format(3).replace("published", "now published").replace("any later", "a later"), "gpl,gpl-3.0"),
+        (grant, "isc"), (" ".join(reversed(grant.split())), ""), (grant[: len(grant) // 2], ""), (grant.replace("this", "this " + "and more " * 20), ""),
+        ("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc-4.0"), ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"),
+        ("Licensed under the Apache License, Version 1.1", "apache"), ("x " * 50_000 + "released under the MIT license" + " y" * 50_000, "mit"),
+    ]
+    got = {r.doc_id: r.labels for r in licenses.scan(make(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    assert all(t[4] for t in licenses.template_rows() if not t[2])
+
+
 def test_licenses(spark, edges, empty):
     texts = [
         "Licensed under the Apache License, Version 2.0.", "Released under the MIT License. mit license", "Licensed under CC BY-NC 4.0", "GNU General Public License",
-        "permission is hereby granted, free of charge, to any one person obtaining a copy of this software", "general public license gnu", "apache", None,
+        "permission is hereby granted, free of charge, to any one person obtaining a copy of the software", "general public license gnu", "apache", None,
     ]
     d = make(spark, list(enumerate(texts)))
     got = {r.doc_id: r for r in licenses.scan(d).collect()}
