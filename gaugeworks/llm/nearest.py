@@ -27,6 +27,7 @@ CURVES, DIMS, BITS = 8, 8, 6
 SAMPLE = 64  # queries for fitting the reach
 WITHIN = 0.95  # share of the sample's true neighbours that the reach takes in
 BLOCK = (128, 8192)  # least and most rows of a block
+ASKED = 4096  # about so many queries meet a block in one group; beyond that, the block has a group for each part of them
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -179,7 +180,7 @@ def _search(blocks: DataFrame, size: int, k: int) -> DataFrame:
         parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"q_rep": pa.array(parts[0], pa.int64()), "rep": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
 
-    return blocks.groupBy("curve", "block").applyInArrow(run, "q_rep long, rep long, score double")
+    return blocks.groupBy("curve", "block", "part").applyInArrow(run, "q_rep long, rep long, score double")
 
 
 def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, within: float = WITHIN) -> DataFrame:
@@ -216,8 +217,13 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     placed = ordered.join(F.broadcast(offsets), ["curve", "part"])
     placed = placed.withColumn("block", ((F.col("first") + F.col("seq")) / block).cast("long")).select("curve", "block", "rep", "vec", "asks")
     near = F.sequence(F.greatest(F.col("block") - around, F.lit(0).cast("long")), F.least(F.col("block") + around, F.lit(last).cast("long")))
-    asked = placed.filter("asks").withColumn("block", F.explode(near)).select("curve", "block", "rep", "vec", F.lit(True).alias("q"))
-    found = _search(placed.select("curve", "block", "rep", "vec", F.lit(False).alias("q")).unionByName(asked), size, k + 1)
+    # The queries that reach a block grow with the table, so they are dealt to parts, each with a copy of the block.
+    meeting = classes.filter("asks").count() * min(1.0, (2 * around + 1) * block / total)
+    parts = max(1, int(np.ceil(meeting / ASKED)))
+    asked = placed.filter("asks").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")).withColumn("block", F.explode(near))
+    asked = asked.select("curve", "block", "part", "rep", "vec", F.lit(True).alias("q"))
+    own = placed.select("curve", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "rep", "vec", F.lit(False).alias("q"))
+    found = _search(own.unionByName(asked), size, k + 1)
 
     best = W.partitionBy("q_rep").orderBy(F.desc("score"), "rep")
     kept = found.groupBy("q_rep", "rep").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)

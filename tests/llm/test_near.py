@@ -86,7 +86,9 @@ def brute(rows, k):
     return out
 
 
-def test_nearest_exact_on_small(spark):
+@pytest.mark.parametrize("asked", [2, 4096])
+def test_nearest_exact_on_small(spark, monkeypatch, asked):
+    monkeypatch.setattr(nearest, "ASKED", asked)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(150)]
     rows += [(200 + i, rows[0][1]) for i in range(60)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] + [1.0] * 7), (303, [None] + [1.0] * 7), (304, [1.0]), (None, [1.0] * 8), (305, []), rows[5]]
