@@ -86,15 +86,15 @@ class _Codes(dict):
 
 
 def index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings of every document: ``id, text_key, n_words, term, segment, places``.
+    """Postings of every document: ``id, text_key, n_words, term, segment, n, first, places``.
 
-    A row for each term of ``terms`` (column ``term``) in each SEGMENT words of a document, with its places
-    in order; words with the hash of a term may have rows too. Each document also has one row without a
+    A row for each term of ``terms`` (column ``term``) in each SEGMENT words of a document, with its ``n`` places
+    in order: the ``first``, and if there are more, all of them in ``places``; words with the hash of a term may have rows too. Each document also has one row without a
     term, which alone has ``n_words``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(term_filter(terms))
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "text_key", "n_words", "term", "segment", "places"]
+    names = ["id", "text_key", "n_words", "term", "segment", "n", "first", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(sent.value)
@@ -118,32 +118,39 @@ def index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: s
                 edge = np.flatnonzero(np.diff(list_of, prepend=-1))
                 at = order[edge]
                 ids = batch.column(0).slice(first, len(texts))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+                ends = np.append(edge, len(order))
+                # Most words stand once in a segment and need no list.
+                several = np.diff(ends) > 1
+                kept = np.repeat(several, np.diff(ends))
+                offsets = np.concatenate([[0], np.cumsum(np.where(several, np.diff(ends), 0))])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[order][kept], pa.int32()), mask=pa.array(~several))
                 n = len(at)
-                columns = [ids.take(pa.array(doc[at])), pa.array(keys[doc[at]]), pa.nulls(n, pa.int64()), pa.array(codes.terms, pa.string()).take(pa.array(found[at])), pa.array(segment[at], pa.int32()), lists]
+                columns = [ids.take(pa.array(doc[at])), pa.array(keys[doc[at]]), pa.nulls(n, pa.int64()), pa.array(codes.terms, pa.string()).take(pa.array(found[at])), pa.array(segment[at], pa.int32()), pa.array(np.diff(ends), pa.int32()), pa.array(place[at], pa.int32()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 m = len(texts)
-                columns = [ids, pa.array(keys), pa.array(sizes), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32()))]
+                columns = [ids, pa.array(keys), pa.array(sizes), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 for w in {x for doc_words in words for x in doc_words if len(x) > CACHED}:
                     if (code := codes.pop(w)) >= 0:
                         codes.terms[code] = ""
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, text_key long, n_words long, term string, segment int, places array<int>")
+    return rows.mapInArrow(run, f"id {kind}, text_key long, n_words long, term string, segment int, n int, first int, places array<int>")
 
 
 def _meet(wanted: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
     """The rows of ``wanted`` (``id, text_key, term, place``) whose term stands within ``slop`` words of the place, with ``exact``."""
     low, high = F.floor((F.col("place") - slop) / SEGMENT).cast("int"), F.floor((F.col("place") + slop) / SEGMENT).cast("int")
     wanted = wanted.withColumn("segment", F.explode(F.sequence(low, high))) if slop else wanted.withColumn("segment", low)
-    there = lists.select(F.col("id").alias("p_id"), F.col("text_key").alias("p_key"), F.col("term").alias("p_term"), F.col("segment").alias("p_segment"), "places")
+    there = lists.select(F.col("id").alias("p_id"), F.col("text_key").alias("p_key"), F.col("term").alias("p_term"), F.col("segment").alias("p_segment"), "first", "places")
     on = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")) & (F.col("term") == F.col("p_term")) & (F.col("segment") == F.col("p_segment"))
+    place = F.col("place").cast("int")
     near = F.lit(False)
     for k in range(-slop, slop + 1):
-        near |= F.array_contains("places", (F.col("place") + k).cast("int"))
-    exact = F.array_contains("places", F.col("place").cast("int"))
-    return wanted.join(there, on & near).withColumn("exact", exact).drop("p_id", "p_key", "p_term", "p_segment", "places", "segment")
+        near |= F.array_contains("places", place + k)
+    near = F.when(F.col("places").isNull(), F.abs(F.col("first") - place) <= slop).otherwise(near)
+    exact = F.when(F.col("places").isNull(), F.col("first") == place).otherwise(F.array_contains("places", place))
+    return wanted.join(there, on & near).withColumn("exact", exact).drop("p_id", "p_key", "p_term", "p_segment", "first", "places", "segment")
 
 
 def contamination(
@@ -158,12 +165,14 @@ def contamination(
     rows that share an id but not a text are told apart by a hash of the text. Very long texts are read
     whole, one at a time. Empty tables of either kind give no hits. Other columns are ignored.
     """
+    if not 1 <= size <= 63:
+        raise ValueError("a window has 1 to 63 words")
     spans = stored(windows(bench, size).withColumn("window", F.xxhash64("phrase")))
     phrases = spans.select("window", "phrase", "n").distinct()
     placed = stored(phrases.select("window", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "term")))
     posted = stored(index(docs, placed.select("term").distinct(), id_col, text_col))
-    lists = posted.filter("term IS NOT NULL").select("id", "text_key", "term", "segment", "places")
-    counts = lists.groupBy("term").agg(F.sum(F.size("places")).alias("freq"))
+    lists = posted.filter("term IS NOT NULL").select("id", "text_key", "term", "segment", "first", "places")
+    counts = posted.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("freq"))
     # A window with a term that no document has can't occur, so it has no anchors.
     of_window = W.partitionBy("window")
     whole = placed.join(counts, "term").withColumn("there", F.count("*").over(of_window)).filter("there = n")
@@ -175,7 +184,7 @@ def contamination(
     # The rarest list of each window: where the window would start.
     doc = ["id", "text_key"]
     led = anchors.select("window", "n", "parts", F.col("anchors")[0]["term"].alias("term"), F.col("anchors")[0]["offset"].alias("offset"), F.slice("anchors", 2, ANCHORS).alias("others"))
-    lead = lists.join(led, "term").select(*doc, "window", "n", "parts", "others", "offset", F.explode("places").alias("place"))
+    lead = lists.join(led, "term").select(*doc, "window", "n", "parts", "others", "offset", F.explode(F.coalesce("places", F.array("first"))).alias("place"))
     lead = lead.select(*doc, "window", "n", "parts", (F.col("place") - F.col("offset")).alias("start"), "others").filter("start >= 0")
     # The other rare lists, where they meet it up to ``slop``.
     candidate = [*doc, "window", "n", "parts", "start"]
@@ -183,21 +192,26 @@ def contamination(
     wanted = wanted.select(*candidate, F.col("o.rank").alias("rank"), F.col("o.term").alias("term"), (F.col("start") + F.col("o.offset")).alias("place"))
     rare = anchors.select(F.explode(F.slice("anchors", 2, ANCHORS)).alias("o")).select("o.term").distinct()
     met = _meet(wanted, lists.join(rare, "term", "left_semi"), slop).groupBy(*candidate)
-    met = met.agg(F.count_distinct("rank").alias("close"), F.count_distinct(F.when(F.col("exact"), F.col("rank"))).alias("agree")).filter("close = parts - 1")
-    alone = lead.filter("parts = 1").select(*candidate).distinct().withColumn("agree", F.lit(0).cast("long"))
-    met = stored(met.select(*candidate, "agree").unionByName(alone))
+    # A bit for each rank: no list counts twice, however often a document is repeated.
+    bit = F.expr("shiftleft(1L, rank - 1)")
+    all_others = F.expr("shiftleft(1L, parts) - 2")
+    met = met.agg(F.bit_or(bit).alias("close"), F.bit_or(F.when(F.col("exact"), bit).otherwise(F.lit(0).cast("long"))).alias("agree")).filter(F.col("close") == all_others)
+    met = met.withColumn("agreed", F.col("agree") == all_others)
+    alone = lead.filter("parts = 1").select(*candidate).distinct().withColumn("agreed", F.lit(True))
+    met = stored(met.select(*candidate, "agreed").unionByName(alone))
     # Starts that all rare lists agree on: the lists of every other word of the window.
-    agreed = met.filter("agree = parts - 1").select(*doc, "window", "n", "start")
+    agreed = met.filter("agreed").select(*doc, "window", "n", "start")
     known = anchors.select("window", F.explode("anchors").alias("o")).select("window", F.col("o.offset").alias("offset"))
-    other = placed.select("window", "offset", "term").join(known, ["window", "offset"], "left_anti")
-    others = anchors.select("window", "parts").join(other.groupBy("window").agg(F.collect_list(F.struct("offset", "term")).alias("rest")), "window", "left")
-    rest = agreed.join(others, "window").select(*doc, "window", "n", "start", "parts", F.explode_outer("rest").alias("o"))
-    certain = rest.filter("o IS NULL").select(*doc, "window", "n", "start").distinct()
-    rest = rest.filter("o IS NOT NULL").select(*doc, "window", "n", "start", "parts", F.col("o.term").alias("term"), (F.col("start") + F.col("o.offset")).alias("place")).distinct()
+    other = placed.select("window", "offset", "term").join(known, ["window", "offset"], "left_anti").groupBy("window").agg(
+        F.collect_list(F.struct("offset", "term")).alias("rest"), F.bit_or(F.expr("shiftleft(1L, offset)")).alias("wanted")
+    )
+    rest = agreed.join(other, "window", "left").select(*doc, "window", "n", "start", F.explode_outer("rest").alias("o"), "wanted")
+    certain = rest.filter("o IS NULL").select(*doc, "window", "n", "start")
+    rest = rest.filter("o IS NOT NULL").select(*doc, "window", "n", "start", "wanted", F.col("o.offset").alias("offset"), F.col("o.term").alias("term"), (F.col("start") + F.col("o.offset")).alias("place"))
     in_docs = agreed.select(*[F.col(c).alias(f"a_{c}") for c in doc]).distinct()
     searched = lists.join(in_docs, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_text_key")), "left_semi")
-    full = _meet(rest, searched, 0).groupBy(*doc, "window", "n", "start", "parts").agg(F.count_distinct("place").alias("agree"))
-    full = full.filter("agree = n - parts").select(*doc, "window", "n", "start").unionByName(certain)
+    full = _meet(rest, searched, 0).groupBy(*doc, "window", "n", "start", "wanted").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("there"))
+    full = full.filter("there = wanted").select(*doc, "window", "n", "start").unionByName(certain)
     found = stored(full.select(*doc, "window", "start", (F.col("start") + F.col("n")).alias("end")))
 
     reached = F.max("end").over(W.partitionBy(*doc).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
