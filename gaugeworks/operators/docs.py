@@ -14,16 +14,20 @@ from ..functions import columns as C
 HEADING = r"^(?:#{1,3}\s+.+|[A-ZА-ЯЁ][A-ZА-ЯЁ\s]{5,})$"
 
 
-def compose(c: Column) -> Column:
-    """Unicode NFC; an Arrow function only sees rows with a combining mark, as Spark has no built-in for it."""
-    nfc = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x)), "string")
-    return F.when(c.rlike(r"[\p{M}ᄀ-ᇿ]"), nfc(c)).otherwise(c)
+MARKED = r"[\p{M}ᄀ-ᇿ]"
+
+
+def compose(docs: DataFrame, col: str = "text") -> DataFrame:
+    """Unicode NFC: only rows with a combining mark or a Hangul letter go to an Arrow function, as Spark has no built-in for it."""
+    nfc = F.pandas_udf(lambda s: s.map(lambda x: unicodedata.normalize("NFC", x)), "string")
+    marked = F.coalesce(F.col(col).rlike(MARKED), F.lit(False))
+    return docs.filter(~marked).unionByName(docs.filter(marked).withColumn(col, nfc(F.col(col))))
 
 
 def clean(docs: DataFrame, col: str = "text", nfc: bool = True) -> DataFrame:
     """The text cleaned (``columns.clean_text``) and composed."""
-    text = C.clean_text(F.col(col))
-    return docs.withColumn(col, compose(text) if nfc else text)
+    out = docs.withColumn(col, C.clean_text(F.col(col)))
+    return compose(out, col) if nfc else out
 
 
 def identify_model(docs: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -43,8 +43,9 @@ def coefficients(factors: DataFrame, w: Weights, strict: bool = False) -> DataFr
 
 def raw_factors(events: DataFrame, ref: DataFrame, devices: DataFrame, code_registry: DataFrame, overrides: DataFrame, w: Weights) -> DataFrame:
     """One row per device and key in the window, classified and counted, before any weight."""
-    recent = S.latest_by_code(S.events_in_window(events, ref, w.window_days))
-    counts = S.count_repetitions(events, ref, w.repeat_days).withColumnRenamed("error_code", "key")
+    at = S.reference_micros(ref)
+    recent = S.latest_by_code(S.events_in_window(events, at, w.window_days))
+    counts = S.count_repetitions(events, at, w.repeat_days).withColumnRenamed("error_code", "key")
     keyed = recent.join(counts, ["device_id", "key"], "left").join(devices.select("device_id", "model", "vendor"), "device_id", "left")
     named = R.classify(keyed.select("device_id", "key", "ts", "ref", F.coalesce("n", F.lit(0)).alias("n"), "vendor", "model"), code_registry, overrides)
     return named.select("device_id", F.col("key").alias("error_code"), "severity", "component", "source", "ts", "n", C.age_days(F.col("ts"), F.col("ref")).alias("age_days"), F.array().cast("array<double>").alias("multipliers"))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096  # queries that one task holds at a time
+QUERY_BLOCK = 4096  # about so many queries, and
+CHUNK_BLOCK = 16_384  # so many chunks, meet in one task at a time
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -22,59 +20,56 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 def dense_topk(queries: DataFrame, vecs: DataFrame, k: int = 30) -> DataFrame:
     """The ``k`` chunks of largest cosine for each query: ``query_id, chunk_id, score, rank`` (from 0).
 
-    Both have an id and ``vector``. A query set is stated and much smaller than the chunks: it is read and sent
-    to the tasks in blocks of QUERY_BLOCK, each task multiplies its vectors with a block and passes on its own
-    top ``k``. Zero vectors have no cosine and take no part.
+    Both have an id and ``vector``. A stated query set goes against all chunks, block by block: queries and chunks
+    are dealt to blocks of bounded size by a hash of their id, each pair of blocks meets in one task, which
+    multiplies the two and passes on the top ``k`` of each query. Zero vectors have no cosine and take no part.
     """
     usable = lambda d: d.filter(F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
-    rows = usable(queries).select("query_id", "vector").toLocalIterator()
-    spark, parts = queries.sparkSession, []
-    while some := list(islice(rows, QUERY_BLOCK)):
-        q = np.stack([np.asarray(r.vector, dtype=np.float64) for r in some])
-        sent = spark.sparkContext.broadcast((pd.Series([r.query_id for r in some]).to_numpy(), q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for pdf in batches:
-                if len(pdf):
-                    x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf.vector])
-                    score = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                    names = pdf.chunk_id.to_numpy()
-                    by_name = np.argsort(names, kind="stable")
-                    top = by_name[np.argsort(-score[:, by_name], axis=1, kind="stable")[:, :k]]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "chunk_id": names[top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()})
-
-        kinds = queries.schema["query_id"].dataType.simpleString(), vecs.schema["chunk_id"].dataType.simpleString()
-        parts.append(usable(vecs).select("chunk_id", "vector").mapInPandas(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"))
-    if not parts:
-        return _top(queries.select("query_id").limit(0).crossJoin(vecs.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0)), k)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _top(out.withColumn("score", F.round("score", 6)), k)
+    # New names, as both may come from one table.
+    q, v = usable(queries).select(F.col("query_id").alias("q_id"), F.col("vector").alias("q_vec")), usable(vecs).select(F.col("chunk_id").alias("c_id"), F.col("vector").alias("c_vec"))
+    n_q, n_v = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-v.count() // CHUNK_BLOCK))
+    dealt = lambda d, own, n, other, m: d.select("*", F.pmod(F.xxhash64(d.columns[0]), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left.q_id[:0], "chunk_id": right.c_id[:0], "score": np.zeros(0)})
+        q, x = (np.stack(c.to_numpy()).astype(np.float64) for c in (left.q_vec, right.c_vec))
+        score = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+        names = right.c_id.to_numpy()
+        by_name = np.argsort(names, kind="stable")
+        top = by_name[np.argsort(-score[:, by_name], axis=1, kind="stable")[:, :k]]
+        return pd.DataFrame({"query_id": np.repeat(left.q_id.to_numpy(), top.shape[1]), "chunk_id": names[top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()})
+
+    kinds = queries.schema["query_id"].dataType.simpleString(), vecs.schema["chunk_id"].dataType.simpleString()
+    left = dealt(q, "q_part", n_q, "c_of", n_v).groupBy("q_part", "c_of")
+    right = dealt(v, "c_part", n_v, "q_of", n_q).groupBy("q_of", "c_part")
+    return _top(left.cogroup(right).applyInPandas(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"), k)
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """``id, term, tf`` of lower-cased words."""
-    words = docs.select(F.col(id_col), F.explode(F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("term"))
-    return words.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    """``id, term, tf, size`` of lower-cased words; ``size`` is the number of words of the row."""
+    words = docs.select(F.col(id_col), F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
+    each = words.select(id_col, F.size("words").alias("size"), F.explode("words").alias("term"))
+    return each.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The ``k`` chunks of best BM25 for each query: ``query_id, chunk_id, score, rank`` (from 0).
 
-    Joined on terms through document frequencies of the whole index; queries have few terms, so the index
-    is scanned once and only matching postings move.
+    Joined on terms through document frequencies of the whole index; queries have few terms, so only
+    matching postings move, each with the size of its chunk. Every term counts, also a common one.
     """
-    q = terms(queries, "query_id").withColumnRenamed("tf", "q_tf")
+    q = terms(queries, "query_id").select("query_id", "term", F.col("tf").alias("q_tf"))
     index = terms(chunks, "chunk_id").join(q.select("term").distinct(), "term", "left_semi")
-    sizes = chunks.select("chunk_id", F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("size"))
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))  # one row
+    size = F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    whole = chunks.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))  # one row
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    met = q.join(index, "term").join(df, "term").join(sizes, "chunk_id").crossJoin(F.broadcast(whole))
+    # Weights are worked out once for each posting, not for each query that asks for it.
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    return _top(met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * weight * F.col("q_tf")), 6).alias("score")), k)
+    weighed = index.join(df, "term").crossJoin(F.broadcast(whole)).select("term", "chunk_id", (idf * weight).alias("part"))
+    met = q.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("q_tf")), 6).alias("score"))
+    return _top(met, k)
 
 
 def rrf(dense: DataFrame, lexical: DataFrame, k: int = 60, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+DAY = 86_400_000_000  # microseconds
+
+
 def event_key():
     """What an event is counted by: its code, else its description, else ""."""
     return F.coalesce("error_code", "error_description", F.lit(""))
@@ -16,12 +21,33 @@ def reference_time(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     return events.select("ts").union(snapshots.select("ts")).agg(F.max("ts").alias("ref"))
 
 
-def events_in_window(events: DataFrame, ref: DataFrame, days: int = 30) -> DataFrame:
-    """Events from ``days`` before the reference time on, that instant included, with ``ref`` added."""
-    return events.join(F.broadcast(ref), F.col("ts") >= F.col("ref") - F.expr(f"INTERVAL {days} DAYS"))  # ref is one row
+def reference_micros(ref: DataFrame) -> int | None:
+    """The one value of ``ref`` in microseconds, so that what it bounds can be pruned."""
+    return ref.select(F.unix_micros("ref").alias("us")).first()["us"]
+
+
+def events_in_window(events: DataFrame, ref: DataFrame | int | None, days: int = 30) -> DataFrame:
+    """Events from ``days`` before the reference time on, that instant included, with ``ref`` added.
+
+    ``ref`` is one row, or its value as ``reference_micros`` reads it: the bound is a literal that reaches the
+    scan, and a store that is partitioned by ``event_date`` is pruned to the days of the window. Without a
+    reference time there are no events.
+    """
+    at = reference_micros(ref) if isinstance(ref, DataFrame) else ref
+    if at is None:
+        return events.limit(0).withColumn("ref", F.lit(None).cast("timestamp"))
+    bound = at - days * DAY
+    kept = events.filter(F.col("ts") >= _literal(bound))
+    if "event_date" in events.columns:
+        kept = kept.filter(F.col("event_date") >= F.lit(date(1970, 1, 1) + timedelta(days=bound // DAY - 1)))  # a day more: dates are of the session's zone
+    return kept.withColumn("ref", _literal(at))
+
+
+def _literal(us: int) -> Column:
+    return F.expr(f"timestamp_micros({us}L)")
 
 
-def count_repetitions(events: DataFrame, ref: DataFrame, days: int = 14) -> DataFrame:
+def count_repetitions(events: DataFrame, ref: DataFrame | int | None, days: int = 14) -> DataFrame:
     """``device_id, error_code, n``: events of each code of each device in the window; rows without a code are left out."""
     return events_in_window(events, ref, days).filter("error_code IS NOT NULL").groupBy("device_id", "error_code").agg(F.count("*").alias("n"))
 
@@ -38,7 +64,7 @@ def latest_by_code(events: DataFrame) -> DataFrame:
     return events.withColumn("key", event_key()).withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
-def recent_events(events: DataFrame, ref: DataFrame, days: int = 30, cap: int = 50, keyless: int = 10) -> DataFrame:
+def recent_events(events: DataFrame, ref: DataFrame | int | None, days: int = 30, cap: int = 50, keyless: int = 10) -> DataFrame:
     """A digest of each device: the latest event of each key and the last ``keyless`` without one, newest ``cap``.
 
     ``device_id, total, truncated, unique_codes`` (sorted) and ``events``, newest first.

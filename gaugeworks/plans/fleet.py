@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fleet_stats as A
 from ..operators import normalize as N
 from ..operators import registry as R
+from .ingest import folder
 from .model import Model, duck
 from .scoring import HEALTH, RECENT, health_of, ref_of
 
@@ -26,6 +28,13 @@ def query(name: str, sql: str | None = None, **more: str):
     return add
 
 
+def health_once(m: Model) -> DataFrame:
+    """The scored fleet, written once for queries that read it several times."""
+    at = f"{folder(m)}/health"
+    health_of(m).write.parquet(at)
+    return m.spark.read.parquet(at)
+
+
 SUMMARY = "count(*) AS devices, round(avg(health_index), 6) AS average_index, round(median(health_index), 6) AS median_index, count(*) FILTER (zone = 'green') AS green_count, count(*) FILTER (zone = 'yellow') AS yellow_count, count(*) FILTER (zone = 'red') AS red_count, round(avg(confidence), 6) AS average_confidence"
 LABELS = HEALTH | {"labels_": "SELECT device_id, error_code, severity, source, error_code || ' (' || severity || ')' AS label, penalty FROM capped"}
 RUNS = "SELECT device_id, CAST(ts AS DATE) AS calculated_at, CAST(min(k) AS INT) AS health_index, CAST(0.5 AS DOUBLE) AS confidence FROM base GROUP BY ALL"
@@ -68,8 +77,8 @@ CARDS = LABELS | {
 }
 
 
-def cards_of(m: Model):
-    return A.device_cards(health_of(m), m.dev, N.latest_snapshot(m.snap))
+def cards_of(m: Model, health: DataFrame | None = None):
+    return A.device_cards(health or health_of(m), m.dev, N.latest_snapshot(m.snap))
 
 
 @query("o64_device_cards", "SELECT * FROM cards", **CARDS)
@@ -98,8 +107,8 @@ MASS = LABELS | {
 }
 
 
-def mass_of(m: Model):
-    return A.mass_errors(health_of(m), m.ev)
+def mass_of(m: Model, health: DataFrame | None = None):
+    return A.mass_errors(health or health_of(m), m.ev)
 
 
 @query("o67_mass_errors", "SELECT error_code, devices, occurrences, events, severity, descriptions FROM mass", **MASS)
@@ -109,7 +118,8 @@ def _(m):
 
 @query("o68_mass_scale", "SELECT error_code, devices, CAST(100 * devices // (SELECT count(*) FROM health) AS INT) AS share_percent, round(events / devices, 6) AS events_per_device, CASE WHEN 100 * devices // (SELECT count(*) FROM health) >= 20 THEN 'fleet-wide' WHEN 100 * devices // (SELECT count(*) FROM health) >= 5 THEN 'significant' ELSE 'isolated' END AS scale FROM mass", **MASS)
 def _(m):
-    return A.mass_scale(mass_of(m), health_of(m).select("device_id"))
+    health = health_once(m)
+    return A.mass_scale(mass_of(m, health), health.select("device_id"))
 
 
 _RANK = "CASE {0} WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 4 WHEN 'Info' THEN 5 ELSE 9 END"
@@ -193,13 +203,27 @@ def _(m):
 
 @query("o74_report_summary", "SELECT (SELECT count(*) FROM cards) AS devices, (SELECT count(*) FROM cards WHERE zone = 'red') AS red_zone, (SELECT round(avg(health_index), 6) FROM cards) AS average_index, (SELECT string_agg(device_id, ',' ORDER BY health_index, device_id) FROM (SELECT * FROM cards WHERE zone = 'red' ORDER BY health_index, device_id LIMIT 5)) AS worst_red, (SELECT count(*) FROM mass) AS mass_codes", **(CARDS | MASS))
 def _(m):
-    return A.report_summary(cards_of(m), mass_of(m))
+    health = health_once(m)
+    return A.report_summary(cards_of(m, health), mass_of(m, health))
 
 
-@query("o75_build_report", "SELECT 'summary' AS part, 1::BIGINT AS n UNION ALL SELECT 'distribution', 10 UNION ALL SELECT 'breakdown', (SELECT count(DISTINCT coalesce(model, 'unknown')) FROM dev) UNION ALL SELECT 'cards', (SELECT count(*) FROM health) UNION ALL SELECT 'mass_errors', (SELECT count(*) FROM mass)", **MASS)
+@query(
+    "o75_build_report",
+    """SELECT 'summary' AS part, 'average_index' AS item, round(avg(health_index), 6)::DOUBLE AS value FROM health UNION ALL SELECT 'summary', 'red_count', count(*) FILTER (zone = 'red') FROM health
+    UNION ALL SELECT 'distribution', CAST(b AS STRING), (SELECT count(*) FROM health WHERE least(health_index // 10, 9) = b) FROM range(10) r(b)
+    UNION ALL SELECT 'breakdown', coalesce(d.model, 'unknown'), count(*) FROM health h LEFT JOIN dev d ON h.device_id = d.device_id GROUP BY coalesce(d.model, 'unknown')
+    UNION ALL SELECT 'cards', device_id, health_index FROM health UNION ALL SELECT 'mass_errors', error_code, devices FROM mass
+    UNION ALL SELECT 'worst', device_id, health_index FROM (SELECT * FROM health ORDER BY health_index, device_id LIMIT 5) UNION ALL SELECT 'red_zone', device_id, health_index FROM (SELECT * FROM health WHERE zone = 'red' ORDER BY health_index, device_id LIMIT 20)
+    UNION ALL SELECT 'problems', label, n FROM (SELECT label, count(*) AS n FROM labels_ GROUP BY label ORDER BY n DESC, label LIMIT 5)""",
+    **MASS,
+)
 def _(m):
-    report = A.build_report(health_of(m), m.ev, m.dev, N.latest_snapshot(m.snap))
-    parts = [report[p].agg(F.count("*").alias("n")).select(F.lit(p).alias("part"), "n") for p in ("summary", "distribution", "breakdown", "cards", "mass_errors")]
+    report = A.build_report(health_once(m), m.ev, m.dev, N.latest_snapshot(m.snap))
+    items = [
+        ("summary", "'average_index'", "average_index"), ("summary", "'red_count'", "red_count"), ("distribution", "bin", "devices"), ("breakdown", "value", "devices"), ("cards", "device_id", "health_index"),
+        ("mass_errors", "error_code", "devices"), ("worst", "device_id", "health_index"), ("red_zone", "device_id", "health_index"), ("problems", "label", "devices"),
+    ]
+    parts = [report[p].selectExpr(f"'{p}' AS part", f"CAST({item} AS STRING) AS item", f"CAST({value} AS DOUBLE) AS value") for p, item, value in items]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -40,11 +40,12 @@ def folder(m: Model) -> str:
 
 
 EVENT_ROWS = "SELECT row_no, device_id, error_code, error_description FROM ev"
-COUNTS = "SELECT device_id, count(*) AS n, count(error_code) AS codes, count(DISTINCT error_description) AS texts FROM ev GROUP BY device_id"
+COUNTS = "SELECT device_id, error_code, error_description, count(*) AS n FROM ev GROUP BY ALL"
 
 
 def _counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("device_id").agg(F.count("*").alias("n"), F.count("error_code").alias("codes"), F.count_distinct("error_description").alias("texts"))
+    """Every distinct row that was read, and how often."""
+    return df.groupBy("device_id", "error_code", "error_description").agg(F.count("*").alias("n"))
 
 
 def _named(m: Model) -> DataFrame:
@@ -83,11 +84,12 @@ def _(m):
     return files.strip_preamble(lines).agg(F.count("*").alias("n"), F.min("n").alias("first"), F.max("n").alias("last"))
 
 
-@query("o05_store", "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS events FROM ev GROUP BY ALL")
+@query("o05_store", "SELECT row_no, device_id, error_code, error_description, @us(ts) AS ts_us, CAST(CAST(ts AS DATE) AS STRING) AS day FROM ev")
 def _(m):
     at = folder(m)
     files.write_store({"events": m.ev, "devices": m.dev}, at)
-    return files.read_store(m.spark, at, ("events",))["events"].groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("events"))
+    events = files.read_store(m.spark, at, ("events",))["events"]
+    return events.select("row_no", "device_id", "error_code", "error_description", F.unix_micros("ts").alias("ts_us"), F.col("event_date").cast("string").alias("day"))
 
 
 PROFILED = ("device_id", "error_code", "toner_level", "mileage")

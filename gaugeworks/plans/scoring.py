@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -337,15 +338,18 @@ def _(m):
     return H.rescore(raw_factors(m), ids_of(m), flags_of(m), SHARP).select("device_id", "health_index", "confidence", "zone")
 
 
-@query("o57_score_profiles", "SELECT 'sharp' AS profile, zone, count(*) AS devices FROM health GROUP BY zone", **health_sql(SHARP))
-def _(m):
-    out = H.score_profiles(raw_factors(m), ids_of(m), flags_of(m), [W, SHARP])
-    return out.filter("profile = 'sharp'").groupBy("profile", "zone").agg(F.count("*").alias("devices"))
+def beside(ctes: dict[str, str], suffix: str) -> dict[str, str]:
+    """The same SQL with what depends on the profile under other names."""
+    own = ("weighed", "factors", "capped", "indexed", "scored", "health")
+    return {f"{n}{suffix}": re.sub(rf"\b(FROM|JOIN) ({'|'.join(own)})\b", rf"\1 \2{suffix}", ctes[n]).replace("indexed.", f"indexed{suffix}.") for n in own}
 
 
-@query("o57_score_profiles_whole")
+@query(
+    "o57_score_profiles",
+    f"SELECT 'sharp' AS profile, zone, count(*) AS devices FROM health GROUP BY zone UNION ALL SELECT '{W.name}', zone, count(*) FROM health_w GROUP BY zone",
+    **health_sql(SHARP), **beside(health_sql(W), "_w"),
+)
 def _(m):
-    """Every profile that is scored, where o57 has one."""
     return H.score_profiles(raw_factors(m), ids_of(m), flags_of(m), [W, SHARP]).groupBy("profile", "zone").agg(F.count("*").alias("devices"))
 
 

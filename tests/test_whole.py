@@ -1,4 +1,4 @@
-"""The forms of queries that take every row, against brute force."""
+"""Queries over every row against brute force."""
 
 import hashlib
 import math
@@ -35,8 +35,9 @@ def dense(data):
 
 def test_dense_and_metrics(spark, data, dense, monkeypatch):
     monkeypatch.setattr(S, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(S, "CHUNK_BLOCK", 120)
     got = defaultdict(dict)
-    for r in plans.queries()["o89_dense_topk_whole"](spark, data).collect():
+    for r in plans.queries()["o89_dense_topk"](spark, data).collect():
         got[r.query_id][r["rank"]] = r.chunk_id
     assert max(dense) >= 60 and {q: [c[k] for k in sorted(c)] for q, c in got.items()} == dense
     label = {r["vec_id"]: r["label"] for r in rows(data, "embeddings")}
@@ -47,13 +48,13 @@ def test_dense_and_metrics(spark, data, dense, monkeypatch):
         ideal = sum(1 / math.log2(i + 1) for i in range(1, min(size[label[q]], 10) + 1))
         dcg = sum(h / math.log2(i + 2) for i, h in enumerate(hit))
         want[q] = (sum(hit) / size[label[q]], sum(hit[:5]) / 5, dcg / ideal)
-    metrics = {r.query_id: r for r in plans.queries()["o97_ir_metrics_whole"](spark, data).collect()}
+    metrics = {r.query_id: r for r in plans.queries()["o97_ir_metrics"](spark, data).collect()}
     assert set(metrics) == set(want)
     for q, (recall, precision, ndcg) in want.items():
         assert np.allclose((metrics[q].recall_at_10, metrics[q].precision_at_5, metrics[q].ndcg_at_10), (recall, precision, ndcg), atol=1e-4)
-    all_ = {r.scenario: r for r in plans.queries()["o98_ir_summary_whole"](spark, data).collect()}["all"]
+    all_ = {r.scenario: r for r in plans.queries()["o98_ir_summary"](spark, data).collect()}["all"]
     assert all_.queries == len(want) and np.isclose(all_.recall_at_10, np.mean([w[0] for w in want.values()]), atol=1e-4)
-    assert [r.recall_at_5 for r in plans.queries()["o99_ir_gate_whole"](spark, data).orderBy("run").limit(1).collect()] == [all_.recall_at_5]
+    assert [r.recall_at_5 for r in plans.queries()["o99_ir_gate"](spark, data).orderBy("run").limit(1).collect()] == [all_.recall_at_5]
 
 
 def test_fused_with_words(spark, data, dense):
@@ -63,7 +64,7 @@ def test_fused_with_words(spark, data, dense):
     df = Counter(t for c in tf.values() for t in c)
     mean = np.mean([len(words[d]) for d in ids])
     got = defaultdict(dict)
-    for r in plans.queries()["o91_rrf_whole"](spark, data).collect():
+    for r in plans.queries()["o91_rrf"](spark, data).collect():
         got[r.query_id][r.chunk_id] = r.fused
     assert set(got) == {d for d in ids if d % 50 == 0} | set(dense)
     near = {q: {d: k for k, d in enumerate(top)} for q, top in dense.items()}
@@ -79,7 +80,7 @@ def test_fused_with_words(spark, data, dense):
 
 
 def test_all_profiles(spark, data):
-    got = plans.queries()["o57_score_profiles_whole"](spark, data).collect()
+    got = plans.queries()["o57_score_profiles"](spark, data).collect()
     each = Counter()
     for r in got:
         each[r.profile] += r.devices
@@ -109,7 +110,7 @@ def test_all_sections(spark, data):
         for no, (title, lines) in enumerate(parts):
             if body := "\n".join(lines).strip(" \t\n\x0b\f\r"):
                 want.append((f"D{r['doc_id']}", no, title, digest(body)))
-    got = plans.queries()["o78_split_headings_whole"](spark, data).collect()
+    got = plans.queries()["o78_split_headings"](spark, data).collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -122,5 +123,5 @@ def test_all_page_texts(spark, data):
         at = [p for p in range(3, len(texts) + 1, 3) if p % 9]
         for p, until in zip(at, [*at[1:], len(texts) + 1]):
             want.append((source, p, f"mark {p}", p, digest("\n\n".join(texts[p - 1 : until - 1]).strip(" "))))
-    got = plans.queries()["o79_split_bookmarks_whole"](spark, data).collect()
+    got = plans.queries()["o79_split_bookmarks"](spark, data).collect()
     assert sorted(map(tuple, got)) == sorted(want)
