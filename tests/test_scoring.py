@@ -117,3 +117,57 @@ def test_similar_devices_one(spark):
     devices = spark.createDataFrame([("A", "m", None), ("B", "m", None), ("C", None, None)], "device_id string, model string, location string")
     got = A.similar_devices(e, ref(spark), devices, devices.filter("device_id = 'A'")).collect()
     assert [(r.other_id, r.score, r.shared_codes) for r in got] == [("B", 1.0, ["C1"])]
+
+
+NO_REGISTRY = "vendor string, model_slug string, code string, severity string, component string, description string, vendor_order int"
+NO_OVERRIDES = "code string, severity string, confidence double"
+
+
+def test_one_critical_event(spark):
+    """A file of one event: one factor, one contribution, a context coefficient of at most 1.5."""
+    overrides = spark.createDataFrame([("C6000", "Critical", 0.9)], NO_OVERRIDES)
+    devices = spark.createDataFrame([("MFP-1", "m", "v")], "device_id string, model string, vendor string")
+    row = H.score_fleet(events(spark, ("MFP-1", 0, "C6000", None)), events(spark, ("MFP-1", 0, None, None)).select("device_id", "ts"), devices, spark.createDataFrame([], NO_REGISTRY), overrides).first()
+    (part,) = row.contributions
+    assert (part.label, part.r, part.a, part.penalty) == ("C6000 (Critical)", 1.0, 1.0, 60.0) and part.c <= 1.5
+    assert (row.health_index, row.zone) == (40, "yellow")
+
+
+def test_golden_record(spark):
+    """Penalties 75.6 and 9.0 give index 15, red; one code without documents gives confidence 0.7, medium."""
+    flags = spark.createDataFrame([("D", 1, False, False, False, False, False)], "device_id string, rag_missing_count long, missing_resources boolean, missing_model boolean, abnormal_daily_jump boolean, anomalous_event_count boolean, no_events_and_no_resources boolean")
+    row = H.score(factors(spark, ("D", "C1", "Critical", 75.6), ("D", "C2", "High", 9.0)), flags.select("device_id"), flags, Weights()).first()
+    assert (row.health_index, row.zone, row.confidence, row.confidence_zone) == (15, "red", 0.7, "medium")
+
+
+def test_mass_problem(spark):
+    """A file of 80 events where 20 of 30 devices share a code."""
+    rows = [(f"D{i:02d}", 1 + i % 3, "C7000", "jam") for i in range(20)] + [(f"D{i % 30:02d}", 2 + i % 5, f"C8{i:03d}", "single") for i in range(60)]
+    e = events(spark, *rows)
+    devices = spark.createDataFrame([(f"D{i:02d}", "m", "v") for i in range(30)], "device_id string, model string, vendor string")
+    health = H.score_fleet(e, e.select("device_id", "ts").limit(0), devices, spark.createDataFrame([], NO_REGISTRY), spark.createDataFrame([], NO_OVERRIDES)).cache()
+    first = A.mass_errors(health, e).orderBy(F.desc("devices")).first()
+    assert health.count() == 30 and (first.error_code, first.devices, first.events) == ("C7000", 20, 20)
+    assert A.mass_scale(A.mass_errors(health, e), health).filter("error_code = 'C7000'").first().scale == "fleet-wide"
+
+
+def test_similar_devices_are_those_of_all_pairs(spark):
+    n = 60
+    e = events(spark, *[(f"D{i:02d}", 1, f"C{(i * k) % 11}", None) for i in range(n) for k in (1, 2)])
+    model = {f"D{i:02d}": None if i % 13 == 0 else f"m{i % 3}" for i in range(n)}
+    devices = spark.createDataFrame([(d, m, m) for d, m in model.items()], "device_id string, model string, location string")
+    codes = {f"D{i:02d}": {f"C{(i * k) % 11}" for k in (1, 2)} for i in range(n)}
+    for dim in ("errors", "error_and_model", "model", "location"):
+        got = {}
+        for r in A.similar_devices(e, ref(spark), devices, devices.filter("device_id < 'D20'"), dim, 5).collect():
+            got.setdefault(r.device_id, []).append((-r.score, r.other_id, tuple(r.shared_codes)))
+        for d in sorted(model)[:20]:
+            want = []
+            for o in model:
+                both = codes[d] & codes[o] if "error" in dim else set()
+                same = model[d] is not None and model[d] == model[o]
+                bonus = {"errors": 0.0, "error_and_model": 0.5, "model": 0.5, "location": 1.0}[dim] if same else 0.0
+                score = round(len(both) / len(codes[d] | codes[o]) + bonus, 3) if both else bonus
+                if o != d and (both or bonus):
+                    want.append((-score, o, tuple(sorted(both))))
+            assert sorted(got.get(d, [])) == sorted(want)[:5], (dim, d)

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from gaugeworks.operators import store
 from gaugeworks.sources import files, longform, mapping
 
 
@@ -52,7 +53,30 @@ def test_json(spark, tmp_path):
 def test_store_round_trip(spark, tmp_path):
     events = spark.sql("SELECT 'D1' AS device_id, timestamp'2024-01-01 10:00:00' AS ts, 'C1' AS error_code")
     files.write_store({"events": events}, str(tmp_path / "store"))
-    assert files.read_store(spark, str(tmp_path / "store"), ("events",))["events"].collect() == events.collect()
+    read = files.read_store(spark, str(tmp_path / "store"), ("events",))["events"]
+    assert read.drop("event_date").collect() == events.collect() and str(read.first().event_date) == "2024-01-01"
+
+
+def test_window_prunes_the_store(spark, tmp_path, capsys):
+    events = spark.sql("SELECT 'D' AS device_id, timestamp'2024-01-31 12:00:00' - make_dt_interval(id) AS ts, 'C1' AS error_code, id AS row_no FROM range(90)")
+    files.write_store({"events": events}, str(tmp_path / "store"))
+    read = files.read_store(spark, str(tmp_path / "store"), ("events",))["events"]
+    got = store.events_in_window(read, spark.sql("SELECT timestamp'2024-01-31 12:00:00' AS ref"), 10)
+    assert sorted(r.row_no for r in got.collect()) == list(range(11))
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "Join" not in plan
+    assert store.events_in_window(read, spark.sql("SELECT cast(null AS timestamp) AS ref")).count() == 0
+
+
+def test_line_ends_inside_quotes(spark, tmp_path):
+    text = 'id;history;code\nD1;"first line\nsecond; line";C1000\nD2;"one ""two""";C2\n"D\n3";x;\n'
+    got = files.read_delimited(spark, put(tmp_path, "lines.csv", text))
+    assert [tuple(r) for r in got.collect()] == [(2, "D1", "first line\nsecond; line", "C1000"), (3, "D2", 'one "two"', "C2"), (4, "D\n3", "x", None)]
+    with pytest.raises(files.Malformed):
+        files.read_delimited(spark, put(tmp_path, "wide.csv", 'a,b\n"1\n",2,3\n'))
+    with pytest.raises(files.Malformed):
+        files.read_delimited(spark, put(tmp_path, "odd.csv", 'a,b\n"1\n",2\n"3,4\n'))
 
 
 def test_mapping(spark):
