@@ -35,7 +35,13 @@ def parse_ts(c: Column) -> Column:
     """
     s = F.trim(c)
     seconds = F.timestamp_micros(F.round(F.when(is_unix(s), s.try_cast("double")) * 1_000_000).cast("long"))
-    return F.coalesce(seconds, *[F.try_to_timestamp(s, F.lit(f)) for f in (*TIMESTAMP_FORMATS, *ISO_FORMATS)])
+
+    def form(f: str) -> Column:
+        # What stands behind the first number tells most forms apart, without a failed parse of each.
+        mark = f.lstrip("dMy")[0]
+        return F.when(s.rlike(rf"^[+-]?[0-9]+[{mark}]"), F.try_to_timestamp(s, F.lit(f)))
+
+    return F.coalesce(seconds, *map(form, (*TIMESTAMP_FORMATS, *ISO_FORMATS)))
 
 
 def norm_code(c: Column, lenient: bool = False) -> Column:
