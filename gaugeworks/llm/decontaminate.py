@@ -208,7 +208,8 @@ def contamination(
     rest = agreed.join(other, "window", "left").select(*doc, "window", "n", "start", F.explode_outer("rest").alias("o"), "wanted")
     certain = rest.filter("o IS NULL").select(*doc, "window", "n", "start")
     rest = rest.filter("o IS NOT NULL").select(*doc, "window", "n", "start", "wanted", F.col("o.offset").alias("offset"), F.col("o.term").alias("term"), (F.col("start") + F.col("o.offset")).alias("place"))
-    in_docs = agreed.select(*[F.col(c).alias(f"a_{c}") for c in doc]).distinct()
+    # Written, so that its size is known before the join: the postings are not shuffled for a set that Spark can send.
+    in_docs = stored(agreed.select(*[F.col(c).alias(f"a_{c}") for c in doc]).distinct())
     searched = lists.join(in_docs, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_text_key")), "left_semi")
     full = _meet(rest, searched, 0).groupBy(*doc, "window", "n", "start", "wanted").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("there"))
     full = full.filter("there = wanted").select(*doc, "window", "n", "start").unionByName(certain)
