@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses
+from . import decontaminate, lexical, licenses, prefix_trie
 
 WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -77,3 +77,47 @@ close AS (SELECT doc_id, count(*) AS n_near FROM near ANTI JOIN hits USING (doc_
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN close USING (doc_id)"""
+
+
+def prefix_trie_sql() -> str:
+    v = prefix_trie
+    step = "list_reduce(range(8), lambda x, _: xor(x >> 1, (x & 1) * 3988292384), xor(crc, byte))"
+    crc = f"xor(list_reduce([ord(b)::BIGINT FOR b IN regexp_extract_all(conv_id::VARCHAR, '.')], lambda crc, byte: {step}, 4294967295::BIGINT), 4294967295)"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+parts AS (SELECT *, {crc} % {v.SHARED} AS h, conv_id - conv_id % {v.FAMILY} AS first FROM turns),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns[1 : a.h], []), a.turns[a.h + 1 : len(a.turns)]) AS turns
+  FROM parts a LEFT JOIN turns b ON b.conv_id = a.first),
+places AS (SELECT conv_id, d, turns[1 : d] AS prefix, len(turns) = d AS ends FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT prefix, d, min(conv_id) AS c, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids,
+    CASE WHEN d > 0 THEN (count(*) - 1) * strlen(prefix[d].t) ELSE 0 END AS saved
+  FROM places GROUP BY prefix, d),
+steps AS (SELECT conv_id, d, c FROM places JOIN nodes USING (prefix, d)),
+linked AS (SELECT n.*, s.c AS up FROM nodes n LEFT JOIN steps s ON s.conv_id = n.c AND s.d = n.d - 1),
+kids AS (SELECT up AS c, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL),
+sums AS (
+  SELECT s.c, s.d, sum(n.saved) AS saved, count(*) FILTER (k.c IS NULL) AS leaves
+  FROM nodes n LEFT JOIN kids k USING (c, d) JOIN steps s ON s.conv_id = n.c AND s.d <= n.d GROUP BY s.c, s.d)
+SELECT c::BIGINT AS conv_id, d::BIGINT AS depth, up::BIGINT AS parent_conv_id, n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, sums.saved::BIGINT AS saved_tokens, sha256(ids) AS ends_sha256
+FROM linked LEFT JOIN kids USING (c, d) JOIN sums USING (c, d)"""
+
+
+def lexical_search() -> str:
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {WORDS.format("text")} AS w FROM documents),
+total AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS l FROM docs WHERE len(w) > 0),
+posts AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM docs) GROUP BY ALL),
+asked AS (SELECT item, item_id, term, count(*) AS q FROM (SELECT row_number() OVER () AS item, item_id, unnest({WORDS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * nd + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM df, total),
+scored AS (
+  SELECT item, item_id, row, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // l))))::BIGINT AS score
+  FROM asked JOIN posts USING (term) JOIN weights USING (term), total GROUP BY item, item_id, row, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row) AS rank FROM scored WHERE score > 0)
+WHERE rank <= {lexical.TOP}"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, licenses, nearest, oracles, pii, secrets, simhash, token_count, token_files
+from . import bpe, decontaminate, html_text, langid, lexical, licenses, nearest, oracles, pii, prefix_trie, secrets, simhash, token_count, token_files
 from .common import shared_folder, table
 
 
@@ -76,6 +76,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, path, langs, probs).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and a digest of the base findings, and all spans."""
     found = pii.scan(table(spark, sf_dir, "documents"))
@@ -87,6 +92,11 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -99,9 +109,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_token_count": op9_token_count,
         "op10_language_id": op10_language_id,
+        "op11_lexical_search": op11_lexical_search,
         "op12_pii": op12_pii,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": oracles.license_scan(), "op5_decontamination": oracles.decontamination()}
+    return {"op2_license_scan": oracles.license_scan(), "op5_decontamination": oracles.decontamination(), "op11_lexical_search": oracles.lexical_search(), "op13_prefix_trie": oracles.prefix_trie_sql()}
