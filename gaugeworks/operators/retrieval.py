@@ -8,15 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import postings
+
 QUERY_BLOCK = 4096  # about so many queries, and
 CHUNK_BLOCK = 16_384  # so many chunks, meet in one task at a time
 
 
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).select("query_id", "chunk_id", "score", "rank")
-
-
 def dense_topk(queries: DataFrame, vecs: DataFrame, k: int = 30) -> DataFrame:
     """The ``k`` chunks of largest cosine for each query: ``query_id, chunk_id, score, rank`` (from 0).
 
@@ -43,33 +40,18 @@ def dense_topk(queries: DataFrame, vecs: DataFrame, k: int = 30) -> DataFrame:
     kinds = queries.schema["query_id"].dataType.simpleString(), vecs.schema["chunk_id"].dataType.simpleString()
     left = dealt(q, "q_part", n_q, "c_of", n_v).groupBy("q_part", "c_of")
     right = dealt(v, "c_part", n_v, "q_of", n_q).groupBy("q_of", "c_part")
-    return _top(left.cogroup(right).applyInPandas(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"), k)
-
-
-def terms(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """``id, term, tf, size`` of lower-cased words; ``size`` is the number of words of the row."""
-    words = docs.select(F.col(id_col), F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
-    each = words.select(id_col, F.size("words").alias("size"), F.explode("words").alias("term"))
-    return each.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    return postings.top(left.cogroup(right).applyInPandas(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"), k)
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The ``k`` chunks of best BM25 for each query: ``query_id, chunk_id, score, rank`` (from 0).
 
-    Joined on terms through document frequencies of the whole index; queries have few terms, so only
-    matching postings move, each with the size of its chunk. Every term counts, also a common one.
+    Exact, and every term counts, but of a common term only the blocks of postings are read that can lift a chunk
+    among the best (see ``postings``). An index that serves many searches is built once by ``postings.build_index``.
     """
-    q = terms(queries, "query_id").select("query_id", "term", F.col("tf").alias("q_tf"))
-    index = terms(chunks, "chunk_id").join(q.select("term").distinct(), "term", "left_semi")
-    size = F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    whole = chunks.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))  # one row
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    # Weights are worked out once for each posting, not for each query that asks for it.
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    weighed = index.join(df, "term").crossJoin(F.broadcast(whole)).select("term", "chunk_id", (idf * weight).alias("part"))
-    met = q.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("q_tf")), 6).alias("score"))
-    return _top(met, k)
+    asked = queries.select(F.col("query_id"), "text")
+    index = postings.build_index(chunks, postings.terms(asked, "query_id").select("term"), k1, b)
+    return postings.search(asked, index, k)
 
 
 def rrf(dense: DataFrame, lexical: DataFrame, k: int = 60, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:

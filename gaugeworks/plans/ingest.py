@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions import columns as C
 from ..operators import normalize as N
 from ..operators import registry as R
 from ..sources import files, longform, mapping
+from ..sources.scratch import scratch_folder
 from .model import Model, duck
 
 QUERIES: dict = {}
@@ -31,12 +30,7 @@ def query(name: str, sql: str | None = None, **more: str):
 
 def folder(m: Model) -> str:
     """A new folder of the session's shared one for files that a query writes and reads back."""
-    from tempfile import gettempdir
-
-    shared = m.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not m.spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or gettempdir()}/gaugeworks-files-{uuid.uuid4().hex}"
+    return scratch_folder(m.spark)
 
 
 EVENT_ROWS = "SELECT row_no, device_id, error_code, error_description FROM ev"
