@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import similar
 
 ZONES = ("green", "yellow", "red")
 
@@ -128,42 +129,24 @@ def similar_devices(events: DataFrame, ref: DataFrame, devices: DataFrame, queri
 
     The query set is stated and goes against all devices; pairs of the whole fleet are not made.
 
-    Errors give the Jaccard of the codes of 30 days, an equal model adds 0.5; by ``location``, an equal one gives
-    1. Pairs meet through an inverted index of codes, and the sets of shared codes come from counting. What is
-    alike only in its model or location ranks by id, so of each only the ``k + 1`` smallest ids can be among the
-    best, and no other such pair is made.
+    Errors give the Jaccard of the codes of 30 days, an equal model adds 0.5 (see ``similar``); by ``location``, an
+    equal one gives 1.
     """
     from .store import events_in_window
 
     info = devices.select("device_id", C.text_or_null(F.col("model")).alias("model"), C.text_or_null(F.col("location")).alias("location"))
     asked = queries.select("device_id").distinct()
-    none = F.lit(None).cast("array<string>")
-    parts = []
+    none = F.array().cast("array<string>")
     if dim in ("errors", "error_and_model"):
-        codes = events_in_window(events, ref, days).filter("error_code IS NOT NULL").select("device_id", "error_code").distinct()
-        sizes = codes.groupBy("device_id").agg(F.count("*").alias("size"))
-        right = codes.select(F.col("device_id").alias("other_id"), "error_code")
-        shared = codes.join(asked, "device_id", "left_semi").join(right, "error_code").filter("device_id <> other_id")
-        shared = shared.groupBy("device_id", "other_id").agg(F.array_sort(F.collect_list("error_code")).alias("codes"))
-        both = shared.join(sizes, "device_id").join(sizes.select(F.col("device_id").alias("other_id"), F.col("size").alias("other_size")), "other_id")
-        n, bonus = F.size("codes"), F.lit(0.0)
-        if dim == "error_and_model":
-            both = both.join(info.select("device_id", "model"), "device_id", "left").join(info.select(F.col("device_id").alias("other_id"), F.col("model").alias("other_model")), "other_id", "left")
-            bonus = F.when(F.col("model") == F.col("other_model"), 0.5).otherwise(0.0)
-        parts.append(both.select("device_id", "other_id", (n / (F.col("size") + F.col("other_size") - n) + bonus).alias("score"), "codes"))
-    for c, value, dims in (("model", 0.5, ("model", "error_and_model")), ("location", 1.0, ("location",))):
-        if dim in dims:
-            first = info.filter(F.col(c).isNotNull()).withColumn("nth", F.row_number().over(W.partitionBy(c).orderBy("device_id"))).filter(F.col("nth") <= k + 1)
-            near = info.join(asked, "device_id", "left_semi").join(first.select(c, F.col("device_id").alias("other_id")), c).filter("device_id <> other_id")
-            parts.append(near.select("device_id", "other_id", F.lit(value).alias("score"), none.alias("codes")))
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
-    # A pair that also shares codes has its bonus there, which is more than the bonus alone.
-    scored = pairs.groupBy("device_id", "other_id").agg(F.round(F.max("score"), 3).alias("score"), F.max("codes").alias("codes"))
+        codes = events_in_window(events, ref, days).select("device_id", "error_code").distinct()
+        pairs = similar.most_alike(codes, info, asked, k, similar.SAME_MODEL * (dim == "error_and_model"))
+    else:
+        value = 1.0 if dim == "location" else similar.SAME_MODEL
+        pairs = similar.same_value(asked, info, dim, k).select("device_id", "other_id", F.lit(value).alias("score"), none.alias("codes"))
+    scored = pairs.withColumn("score", F.round("score", 3))
     order = W.partitionBy("device_id").orderBy(F.desc("score"), "other_id")
     best = scored.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
-    return best.select("device_id", "other_id", "score", F.coalesce("codes", F.array().cast("array<string>")).alias("shared_codes"))
+    return best.select("device_id", "other_id", "score", F.col("codes").alias("shared_codes"))
 
 
 def history_append(history: DataFrame, health: DataFrame, calculated_at) -> DataFrame:
