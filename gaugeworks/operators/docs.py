@@ -30,16 +30,37 @@ def clean(docs: DataFrame, col: str = "text", nfc: bool = True) -> DataFrame:
     return compose(out, col) if nfc else out
 
 
+GRAM = 4  # letters of an alias by which it is looked up; a shorter alias is looked up whole
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters of a text, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
 def identify_model(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     """Add ``model`` and ``vendor``: the first alias (by ``alias_no``) in the file name, else in the first page's text.
 
-    ``docs`` has ``document_id, file_name, first_page``; an alias table is small, and its size is checked by
-    Spark before it is broadcast. The vendor is the model's first word.
+    ``docs`` has ``document_id, file_name, first_page``. Each alias is keyed by the one of its runs of GRAM letters that
+    the fewest aliases have; documents meet aliases by an equi-join on their runs, and what meets is verified in the
+    whole texts. The vendor is the model's first word. Blank aliases are left out; without a match both are null.
     """
-    names = aliases.select(F.lower("alias").alias("alias"), "canonical", "alias_no")
-    in_name, in_page = F.lower(docs["file_name"]).contains(F.col("alias")), F.lower(docs["first_page"]).contains(F.col("alias"))
-    met = docs.join(names, in_name | in_page).groupBy(docs["document_id"].alias("d_id")).agg(F.min_by("canonical", F.struct((~in_name).cast("int"), F.col("alias_no"))).alias("model"))
-    out = docs.join(met, docs["document_id"] == F.col("d_id"), "left").drop("d_id")
+    names = aliases.select(F.lower("alias").alias("alias"), "canonical", "alias_no").filter(F.trim("alias") != "")
+    size = F.least(F.length("alias"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in names.select(size).distinct().collect())  # at most GRAM numbers
+    keyed = [names.filter(size == n).select("*", F.explode(F.array_distinct(_grams(F.col("alias"), n))).alias("gram")) for n in sizes]
+    found = [docs.select("document_id", F.explode(F.array_distinct(F.concat(*[_grams(F.lower(F.coalesce(c, F.lit(""))), n) for c in ("file_name", "first_page")]))).alias("gram")) for n in sizes]
+    if not sizes:
+        return docs.withColumns({"model": F.lit(None).cast("string"), "vendor": F.lit(None).cast("string")})
+    keys, grams = keyed[0], found[0]
+    for k, g in zip(keyed[1:], found[1:], strict=True):
+        keys, grams = keys.unionByName(k), grams.union(g)
+    shared = keys.withColumn("aliases", F.count("*").over(W.partitionBy("gram")))
+    keys = shared.groupBy("alias", "canonical", "alias_no").agg(F.min_by("gram", F.struct("aliases", "gram")).alias("gram"))
+    met = grams.join(keys, "gram").groupBy(F.col("document_id").alias("d_id")).agg(F.collect_set(F.struct("alias_no", "canonical", "alias")).alias("met"))
+    first = lambda c: F.array_min(F.filter("met", lambda x: F.lower(F.coalesce(c, F.lit(""))).contains(x["alias"])))["canonical"]
+    out = docs.join(met, F.col("document_id") == F.col("d_id"), "left")
+    out = out.withColumn("model", F.coalesce(first("file_name"), first("first_page"))).drop("d_id", "met")
     return out.withColumn("vendor", F.split("model", " ")[0])
 
 
@@ -59,16 +80,32 @@ def split_headings(docs: DataFrame) -> DataFrame:
 def split_bookmarks(pages: DataFrame, marks: DataFrame) -> DataFrame:
     """``document_id, section_no, section, page, text``: the pages from each bookmark of level 1 to 3 up to the next.
 
-    ``pages`` has ``document_id, page_no, text``; ``marks`` has ``document_id, mark_no, level, title, page``.
-    Bookmark and page meet by document, with the page range as a condition.
+    ``pages`` has ``document_id, page_no, text``; ``marks`` has ``document_id, mark_no, level, title, page``. Bookmarks
+    are taken in order of ``mark_no``; one before page 1 begins there. A page belongs to the last mark of its own page or
+    a page before, as marks and pages are put in one order and the mark is carried forward. Where marks go back in
+    pages, a page can lie in several ranges: each such range that a later mark reopens is read by its own pages.
     """
-    after = F.lead("page").over(W.partitionBy("document_id").orderBy("mark_no"))
-    ranges = marks.filter("level <= 3").withColumn("until", after).withColumn("from", F.greatest("page", F.lit(1)))
-    ranges = ranges.select(F.col("document_id").alias("m_id"), "mark_no", "title", "page", "from", "until")
-    on = (pages["document_id"] == F.col("m_id")) & (pages["page_no"] >= F.col("from")) & (F.col("until").isNull() | (pages["page_no"] < F.greatest("until", F.lit(1))))
+    in_order = W.partitionBy("document_id").orderBy("mark_no")
+    ranges = marks.filter("level <= 3").withColumn("until", F.lead("page").over(in_order)).withColumn("from", F.greatest("page", F.lit(1)))
+    ranges = ranges.withColumn("until", F.when(F.col("until").isNotNull(), F.greatest("until", F.lit(1)))).filter(F.col("until").isNull() | (F.col("until") > F.col("from")))
+    # In order of its pages, a mark's range ends where the next begins, unless the marks go back.
+    by_page = W.partitionBy("document_id").orderBy("from", "mark_no")
+    ranges = ranges.withColumn("next", F.lead("from").over(by_page)).withColumn("plain", F.col("until").eqNullSafe(F.col("next")))
+    crossed = F.max((~F.col("plain")).cast("int")).over(W.partitionBy("document_id")) == 1
+    ranges = ranges.withColumn("crossed", crossed)
+    point = F.struct("mark_no", "title", "page")
+    marked = ranges.filter("NOT crossed").select("document_id", F.col("from").alias("at"), F.lit(0).alias("kind"), point.alias("mark"), F.lit(None).cast("string").alias("text"))
+    paged = pages.select("document_id", F.col("page_no").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marked.schema["mark"].dataType).alias("mark"), "text")
+    carried = F.last("mark", ignorenulls=True).over(W.partitionBy("document_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
+    inside = marked.unionByName(paged).withColumn("mark", carried).filter("kind = 1 AND mark IS NOT NULL").select("document_id", "mark", F.col("at").alias("page_no"), "text")
+    # Marks out of order: each range opens its own pages, one row for each page that it has.
+    opened = ranges.filter("crossed").join(pages.groupBy("document_id").agg(F.max("page_no").alias("last")), "document_id")
+    end = F.least(F.coalesce(F.col("until") - 1, F.col("last")), F.col("last"))
+    opened = opened.filter(end >= F.col("from")).select("document_id", point.alias("mark"), F.explode(F.sequence("from", end)).alias("page_no"))
+    back = opened.join(pages, ["document_id", "page_no"]).select("document_id", "mark", "page_no", "text")
     body = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"])
-    out = pages.join(ranges, on).groupBy("document_id", "mark_no", "title", "page").agg(F.trim(F.concat_ws("\n\n", body)).alias("text"))
-    return out.filter("text <> ''").select("document_id", F.col("mark_no").alias("section_no"), F.col("title").alias("section"), "page", "text")
+    out = inside.unionByName(back).groupBy("document_id", "mark").agg(F.trim(F.concat_ws("\n\n", body)).alias("text"))
+    return out.filter("text <> ''").select("document_id", F.col("mark.mark_no").alias("section_no"), F.col("mark.title").alias("section"), F.col("mark.page").alias("page"), "text")
 
 
 def split_records(docs: DataFrame, separator: str = "\n\n") -> DataFrame:

@@ -38,10 +38,10 @@ def _(m):
 NAMED = "SELECT document_id, source || '_' || CASE WHEN doc_id % 3 = 0 THEN 'the machinery' ELSE lang END || '.pdf' AS file_name, CASE WHEN doc_id % 5 = 0 THEN 'About BUILDING and Furniture' ELSE 'nothing' END AS first_page FROM doc"
 
 
-@query("o77_identify_model", "SELECT document_id, CASE WHEN file_name LIKE '%machinery%' THEN 'MACHINERY' WHEN first_page LIKE 'About%' THEN 'BUILDING' END AS model FROM named", named=NAMED)
+@query("o77_identify_model", "SELECT document_id, model, split_part(model, ' ', 1) AS vendor FROM (SELECT document_id, CASE WHEN file_name LIKE '%machinery%' THEN 'MACHINERY' WHEN first_page LIKE 'About%' THEN 'BUILDING' END AS model FROM named)", named=NAMED)
 def _(m):
     aliases = m.alias.withColumn("alias_no", F.col("alias"))
-    return D.identify_model(m.sql(NAMED), aliases).select("document_id", "model")
+    return D.identify_model(m.sql(NAMED), aliases).select("document_id", "model", "vendor")
 
 
 SECTIONED = "SELECT document_id, 'before ' || lang || chr(10) || '# First part' || chr(10) || 'one' || chr(10) || 'two' || chr(10) || 'SAFETY NOTES' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'three' ELSE '' END || chr(10) || '### Last' || chr(10) || text AS text FROM doc"
