@@ -31,17 +31,22 @@ def is_unix(c: Column) -> Column:
 def parse_ts(c: Column) -> Column:
     """A timestamp from text: Unix seconds, then the fixed formats in order, then ISO forms; else null.
 
-    Text without an offset is UTC (the session's time zone must be UTC).
+    What stands behind the first number tells the forms apart: it is looked up once, and only formats with that
+    mark are tried. Text without an offset is UTC (the session's time zone must be UTC).
     """
     s = F.trim(c)
-    seconds = F.timestamp_micros(F.round(F.when(is_unix(s), s.try_cast("double")) * 1_000_000).cast("long"))
-
-    def form(f: str) -> Column:
-        # What stands behind the first number tells most forms apart, without a failed parse of each.
-        mark = f.lstrip("dMy")[0]
-        return F.when(s.rlike(rf"^[+-]?[0-9]+[{mark}]"), F.try_to_timestamp(s, F.lit(f)))
-
-    return F.coalesce(seconds, *map(form, (*TIMESTAMP_FORMATS, *ISO_FORMATS)))
+    mark = F.regexp_extract(s, r"^[+-]?[0-9]+([./-])", 1)
+    by_mark: dict[str, list[Column]] = {}
+    for f in (*TIMESTAMP_FORMATS, *ISO_FORMATS):
+        by_mark.setdefault(f.lstrip("dMy")[0], []).append(F.try_to_timestamp(s, F.lit(f)))
+    seconds = F.timestamp_micros(F.round(s.try_cast("double") * 1_000_000).cast("long"))
+    marks = F.array(*[F.lit(m) for m in by_mark])
+    # One number per form, so that the text is classified once however many formats there are.
+    form = F.when(is_unix(s), 0).otherwise(F.nullif(F.array_position(marks, mark), F.lit(0)))
+    out = F.when(form == 0, seconds)
+    for n, tries in enumerate(by_mark.values(), 1):
+        out = out.when(form == n, F.coalesce(*tries))
+    return out
 
 
 def norm_code(c: Column, lenient: bool = False) -> Column:

@@ -53,36 +53,43 @@ def coerce_levels(df: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def parse(df: DataFrame, aliases: DataFrame, hints: dict[str, float] | None = None, lenient: bool = False) -> DataFrame:
-    """All columns parsed, with ``has_code_column``, ``has_resource_columns``, ``raw_data`` and ``reason, field`` of what rejects a row."""
+    """All columns parsed, with ``has_code_column``, ``has_resource_columns``, ``raw`` (the text columns as read) and ``why``, the number in REASONS of what rejects a row."""
     present = [c for c in FIELDS if c in df.columns]
     text = df.select("row_no", *[(F.col(c).cast("string") if c in present else F.lit(None).cast("string")).alias(c) for c in FIELDS])
-    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in FIELDS]), F.array(*[F.col(c) for c in FIELDS]))
-    text = text.withColumn("raw_data", F.map_filter(pairs, lambda k, v: v.isNotNull()))
+    text = text.withColumn("raw", F.struct(*FIELDS))
     text = text.withColumn("raw_timestamp", F.col("timestamp")).withColumn("unix_time", C.is_unix(F.col("timestamp")))
     text = coerce_levels(text, detect_units(text, hints))
     text = text.withColumn("raw_code", C.text_or_null(F.col("error_code")))
     text = backfill_code(text, lenient)
     text = R.canonical_model(text.withColumn("raw_model", F.trim("model")), aliases, "raw_model", "model")
+    # Read once, as a row of its own: written as a column, the long expression would be repeated in every filter on it.
+    text = text.select("*", F.inline(F.array(F.struct(C.parse_ts(F.col("timestamp")).alias("ts")))))
     out = text.withColumns({
-        "device_id": C.text_or_null(F.col("device_id")), "ts": C.parse_ts(F.col("timestamp")),
+        "device_id": C.text_or_null(F.col("device_id")),
         "vendor": F.trim("vendor"), "location": F.trim("location"), "status": F.trim("status"),
         "has_code_column": F.lit("error_code" in present), "has_resource_columns": F.lit(any(c in present for c in RESOURCES)),
     })
-    bad_time = F.col("raw_timestamp").isNotNull() & F.col("ts").isNull()
-    why = lambda reason, name: F.struct(F.lit(reason).alias("reason"), F.lit(name).alias("field"))
-    reason = (
-        F.when(bad_time, why("bad timestamp", "timestamp"))
-        .when(F.col("device_id").isNull(), why("no device_id", "device_id"))
-        .when(F.col("ts").isNull(), why("no timestamp", "timestamp"))
-        .when(F.length("device_id") > 100, why("device_id too long", "device_id"))
-        .when(F.col("mileage") < 0, why("negative mileage", "mileage"))
+    # A time that is there but was not read comes first, so without a time only a missing one is left below it.
+    why = (
+        F.when(F.col("raw_timestamp").isNotNull() & F.col("ts").isNull(), 1)
+        .when(F.col("device_id").isNull(), 2)
+        .when(F.col("raw_timestamp").isNull(), 3)
+        .when(F.length("device_id") > 100, 4)
+        .when(F.col("mileage") < 0, 5)
     )
-    return out.withColumn("why", reason).drop("timestamp", "raw_timestamp")
+    return out.withColumn("why", why).drop("timestamp", "raw_timestamp")
+
+
+#: What rejects a row, and the field it is in; ``why`` counts from 1.
+REASONS = (("bad timestamp", "timestamp"), ("no device_id", "device_id"), ("no timestamp", "timestamp"), ("device_id too long", "device_id"), ("negative mileage", "mileage"))
 
 
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that stand, and rejected ones as ``row_no, raw_data, reason, field``."""
-    return parsed.filter("why IS NULL"), parsed.filter("why IS NOT NULL").select("row_no", "raw_data", "why.reason", "why.field")
+    """Rows that stand, and rejected ones as ``row_no, raw_data, reason, field``; only these get a map of their raw values."""
+    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in FIELDS]), F.array(*[F.col("raw")[c] for c in FIELDS]))
+    named = [F.element_at(F.array(*[F.lit(r[i]) for r in REASONS]), F.col("why")).alias(n) for i, n in enumerate(("reason", "field"))]
+    bad = parsed.filter("why IS NOT NULL").select("row_no", F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("raw_data"), *named)
+    return parsed.filter("why IS NULL"), bad
 
 
 def route_rows(valid: DataFrame) -> DataFrame:
@@ -124,7 +131,7 @@ def device_metadata(routed: DataFrame) -> DataFrame:
 def ingest_summary(parsed: DataFrame) -> DataFrame:
     """One row of counts, time range and a 16-digit checksum over all rows, whatever their order."""
     routed = route_rows(parsed).withColumn("ok", F.col("why").isNull())
-    row = F.sha2(F.to_json(F.struct("row_no", "raw_data")), 256)
+    row = F.sha2(F.to_json(F.struct("row_no", F.col("raw").alias("raw_data"))), 256)
     number = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
     ok = F.col("ok")
     return routed.agg(

@@ -47,16 +47,16 @@ def _(m):
 SECTIONED = "SELECT document_id, 'before ' || lang || chr(10) || '# First part' || chr(10) || 'one' || chr(10) || 'two' || chr(10) || 'SAFETY NOTES' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'three' ELSE '' END || chr(10) || '### Last' || chr(10) || text AS text FROM doc"
 
 
-@query(
-    "o78_split_headings",
-    r"""SELECT document_id, section_no, section, md5(text) AS digest FROM (
+#: Sections of a table ``{0}`` of documents.
+HEADINGS = r"""SELECT document_id, section_no, section, text FROM (
       SELECT document_id, section_no, coalesce(max(title) FILTER (heading), 'Introduction') AS section, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT heading), ''), '^\s+|\s+$', '', 'g') AS text FROM (
         SELECT *, CAST(sum(CAST(heading AS INT)) OVER (PARTITION BY document_id ORDER BY n) AS BIGINT) AS section_no, regexp_replace(trim(line), '^#+\s*|\s*#+$', '', 'g') AS title FROM (
-          SELECT document_id, n, lines[n + 1] AS line, regexp_full_match(lines[n + 1], '#{1,3}\s+.+|[A-ZА-ЯЁ][A-ZА-ЯЁ\s]{5,}') AS heading FROM (
-            SELECT document_id, string_split(text, chr(10)) AS lines, unnest(range(len(string_split(text, chr(10))))) AS n FROM sectioned)))
-      GROUP BY document_id, section_no) WHERE text <> ''""",
-    sectioned=SECTIONED,
-)
+          SELECT document_id, n, lines[n + 1] AS line, regexp_full_match(lines[n + 1], '#{{1,3}}\s+.+|[A-ZА-ЯЁ][A-ZА-ЯЁ\s]{{5,}}') AS heading FROM (
+            SELECT document_id, string_split(text, chr(10)) AS lines, unnest(range(len(string_split(text, chr(10))))) AS n FROM {0})))
+      GROUP BY document_id, section_no) WHERE text <> ''"""
+
+
+@query("o78_split_headings", "SELECT document_id, section_no, section, md5(text) AS digest FROM sections", sectioned=SECTIONED, sections=HEADINGS.format("sectioned"))
 def _(m):
     return D.split_headings(m.sql(SECTIONED)).select("document_id", "section_no", "section", F.md5("text").alias("digest"))
 
@@ -85,12 +85,40 @@ def _(m):
     return D.split_records(m.doc, "\n").select("document_id", F.col("part_no").cast("long").alias("part_no"), F.md5("text").alias("digest"))
 
 
-@query("o81_split_sized")
+def sized_sql(source: str, most: int, overlap: int) -> dict[str, str]:
+    """Named queries that cut ``source`` (``document_id, section_no, section, text``) to ``sized`` parts, one piece of each text per round of a recursion."""
+    tokens = lambda c: f"list_filter(string_split_regex({c}, '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '')"
+    line = "chr(10)"
+    return {
+        "whole_": f"""SELECT document_id, section_no, section, text, len({tokens("text")}) AS n, CASE WHEN contains(text, {line} || {line}) THEN {line} || {line}
+          WHEN contains(text, {line}) THEN {line} WHEN contains(text, '. ') THEN '. ' WHEN contains(text, ' ') THEN ' ' END AS sep FROM {source}""",
+        "cut_": f"SELECT document_id, section_no, section, sep, string_split(text, sep) AS p FROM whole_ WHERE n > {most} AND sep IS NOT NULL",
+        "piece_": f"SELECT document_id, section_no, i, p[i] AS x, len({tokens('p[i]')}) AS nx FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM cut_)",
+        "walk_": f"""SELECT c.document_id, c.section_no, c.section, c.sep, 1::BIGINT AS i, x AS now, nx::BIGINT AS size, 0::BIGINT AS part_no, NULL::VARCHAR AS done FROM cut_ c JOIN piece_ p ON c.document_id = p.document_id AND c.section_no = p.section_no AND p.i = 1
+          UNION ALL
+          SELECT document_id, section_no, section, sep, i + 1, CASE WHEN over THEN coalesce(CASE WHEN len(w) > {overlap} THEN array_to_string(w[-{overlap}:], ' ') ELSE now END || sep, '') || x ELSE now || sep || x END,
+            CASE WHEN over THEN least(len(w), {overlap}) + nx ELSE size + nx END, part_no + CAST(over AS INT), CASE WHEN over THEN now END
+          FROM (SELECT w.*, p.x, p.nx, size + p.nx > {most} AS over, {tokens("now")} AS w FROM walk_ w JOIN piece_ p ON w.document_id = p.document_id AND w.section_no = p.section_no AND p.i = w.i + 1)""",
+        "sized": """SELECT document_id, section_no, section, 0::BIGINT AS part_no, text FROM whole_ LEFT JOIN (SELECT DISTINCT document_id, section_no, TRUE AS cut FROM cut_) USING (document_id, section_no) WHERE cut IS NULL
+          UNION ALL SELECT document_id, section_no, section, part_no - 1, done FROM walk_ WHERE done IS NOT NULL
+          UNION ALL SELECT document_id, section_no, section, arg_max(part_no, i), arg_max(now, i) FROM walk_ GROUP BY document_id, section_no, section""",
+    }
+
+
+@query("o81_split_sized", "SELECT document_id, CAST(part_no AS INT) AS part_no, md5(text) AS digest FROM sized", one="SELECT document_id, 0 AS section_no, NULL AS section, text FROM doc", **sized_sql("one", 500, 80))
 def _(m):
     return D.split_sized(m.doc).select("document_id", "part_no", F.md5("text").alias("digest"))
 
 
-@query("o82_chunk")
+_TOKENS = r"CAST(len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda t: t <> '')) AS INT)"
+
+
+@query(
+    "o82_chunk",
+    f"""SELECT document_id || '_c' || CAST(row_number() OVER (PARTITION BY document_id ORDER BY section_no, part_no) - 1 AS STRING) AS chunk_id, document_id, section, {_TOKENS} AS tokens, md5(text) AS digest
+    FROM sized WHERE trim(text) <> ''""",
+    sections=HEADINGS.format("doc"), **sized_sql("sections", 200, 20),
+)
 def _(m):
     return D.chunk(m.doc, "hierarchical", 200, 20).select("chunk_id", "document_id", "section", "tokens", F.md5("text").alias("digest"))
 

@@ -109,7 +109,7 @@ def duck(sql: str, **more: str) -> str:
     """DuckDB SQL of a query over TABLES, and over further named queries in order."""
     body = "\n".join([*more.values(), sql])
     ctes = [f"{n} AS ({_dialect(TABLES[n], True)})" for n in _needed(body)] + [f"{n} AS ({_dialect(q, True)})" for n, q in more.items()]
-    text = (f"WITH {', '.join(ctes)} " if ctes else "") + _dialect(sql, True)
+    text = (f"WITH RECURSIVE {', '.join(ctes)} " if ctes else "") + _dialect(sql, True)
     for source in SOURCES:
         text = text.replace(f"{{{source}}}", source)
     return text
