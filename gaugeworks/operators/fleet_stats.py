@@ -100,8 +100,19 @@ def mass_errors(health: DataFrame, events: DataFrame, k: int = 10) -> DataFrame:
     """Codes on the most devices: devices, factor rows (``occurrences``), true events, severity and up to three descriptions."""
     codes = _by_code(health).groupBy("error_code").agg(F.count_distinct("device_id").alias("devices"), F.count("*").alias("occurrences"), F.min("severity").alias("severity"))
     top = codes.orderBy(F.desc("devices"), "error_code").limit(k)
-    texts = events.groupBy("error_code").agg(F.count("*").alias("events"), F.slice(F.array_sort(F.collect_set("error_description")), 1, 3).alias("descriptions"))
-    return top.join(texts, "error_code", "left").select("error_code", "devices", "occurrences", F.coalesce("events", F.lit(0).cast("long")).alias("events"), "severity", F.coalesce("descriptions", F.array().cast("array<string>")).alias("descriptions"))
+    # Counts of each text of the top codes; of a code only three texts leave a task, however many it has.
+    texts = events.join(top.select("error_code"), "error_code", "left_semi").groupBy("error_code", "error_description").agg(F.count("*").alias("events"))
+    counts = texts.groupBy("error_code").agg(F.sum("events").alias("events"))
+    first = smallest(texts.filter("error_description IS NOT NULL"), ["error_code"], "error_description", 3, "descriptions")
+    out = top.join(counts, "error_code", "left").join(first, "error_code", "left")
+    return out.select("error_code", "devices", "occurrences", F.coalesce("events", F.lit(0).cast("long")).alias("events"), "severity", F.coalesce("descriptions", F.array().cast("array<string>")).alias("descriptions"))
+
+
+def smallest(rows: DataFrame, by: list[str], value: str, k: int, name: str) -> DataFrame:
+    """The sorted ``k`` smallest of the distinct values of each group as ``name``; each task passes on at most ``k`` rows of a group."""
+    distinct = rows.select(*by, value).distinct()
+    nth = F.row_number().over(W.partitionBy(*by).orderBy(value))
+    return distinct.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))
 
 
 def mass_scale(mass: DataFrame, fleet: DataFrame) -> DataFrame:
@@ -170,9 +181,7 @@ def daily_jump(history: DataFrame, bound: int = 30) -> DataFrame:
 def mine_patterns(health: DataFrame, least: int = 2, evidence: int = 10) -> DataFrame:
     """Labels on at least ``least`` devices: ``scope`` (their source or fleet), ``observation, devices, evidence`` (first ids)."""
     rows = health.select("device_id", F.explode("contributions").alias("c")).select("device_id", F.col("c.label").alias("label"), F.coalesce("c.source", F.lit("fleet")).alias("scope")).distinct()
-    # Only the smallest ids are gathered, however many devices share a label.
-    order = W.partitionBy("scope", "label").orderBy("device_id")
-    first = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= evidence).groupBy("scope", "label").agg(F.array_sort(F.collect_list("device_id")).alias("evidence"))
+    first = smallest(rows, ["scope", "label"], "device_id", evidence, "evidence")
     counts = rows.groupBy("scope", "label").agg(F.count("*").alias("devices")).filter(F.col("devices") >= least)
     return counts.join(first, ["scope", "label"]).select("scope", F.concat(F.lit("factor "), "label").alias("observation"), "devices", "evidence")
 
@@ -180,7 +189,9 @@ def mine_patterns(health: DataFrame, least: int = 2, evidence: int = 10) -> Data
 def merge_patterns(old: DataFrame, new: DataFrame, evidence: int = 50, per_scope: int = 50) -> DataFrame:
     """Patterns by scope and observation with joined evidence, the widest ``per_scope`` of each scope."""
     both = old.select("scope", "observation", "evidence").unionByName(new.select("scope", "observation", "evidence"))
-    merged = both.groupBy("scope", "observation").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))), 1, evidence).alias("evidence"))
+    ids = both.select("scope", "observation", F.explode_outer("evidence").alias("id"))
+    # A pattern without evidence has a null here, which the gathering leaves out.
+    merged = smallest(ids, ["scope", "observation"], "id", evidence + 1, "evidence").withColumn("evidence", F.slice("evidence", 1, evidence))
     order = W.partitionBy("scope").orderBy(F.desc(F.size("evidence")), "observation")
     return merged.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_scope).drop("nth")
 
@@ -191,9 +202,13 @@ def get_patterns(patterns: DataFrame, scope: str) -> DataFrame:
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:
-    """Mean tool and model calls, restarts (several attempts) and flagged devices of ``device_id, tool_calls, llm_calls, attempts, flagged``."""
-    flagged = F.array_sort(F.collect_set(F.when(F.col("flagged"), F.col("device_id"))))
-    return traces.agg(F.count("*").alias("runs"), F.round(F.avg("tool_calls"), 6).alias("mean_tool_calls"), F.round(F.avg("llm_calls"), 6).alias("mean_llm_calls"), F.count_if(F.col("attempts") > 1).alias("restarts"), F.size(flagged).alias("n_flagged"), F.concat_ws(",", flagged).alias("flagged"))
+    """Mean tool and model calls, restarts (several attempts) and the number of flagged devices of ``device_id, tool_calls, llm_calls, attempts, flagged``."""
+    return traces.agg(F.count("*").alias("runs"), F.round(F.avg("tool_calls"), 6).alias("mean_tool_calls"), F.round(F.avg("llm_calls"), 6).alias("mean_llm_calls"), F.count_if(F.col("attempts") > 1).alias("restarts"), F.count_distinct(F.when(F.col("flagged"), F.col("device_id"))).alias("n_flagged"))
+
+
+def flagged_devices(traces: DataFrame) -> DataFrame:
+    """``device_id, runs`` of every device with a flagged run: a table, as any number of devices can be."""
+    return traces.filter("flagged AND device_id IS NOT NULL").groupBy("device_id").agg(F.count("*").alias("runs"))
 
 
 def report_summary(cards: DataFrame, mass: DataFrame, worst: int = 5) -> DataFrame:

@@ -184,7 +184,7 @@ NEW = "SELECT DISTINCT CASE WHEN k % 2 = 0 THEN 'fleet' ELSE 'vendor' END AS sco
     old=OLD, new=NEW,
 )
 def _(m):
-    gathered = [m.sql(q).groupBy("scope", "observation").agg(F.collect_list("device_id").alias("evidence")) for q in (OLD, NEW)]
+    gathered = [m.sql(q).select("scope", "observation", F.array("device_id").alias("evidence")) for q in (OLD, NEW)]
     return A.merge_patterns(*gathered).withColumn("evidence", F.array_join("evidence", ","))
 
 
@@ -196,11 +196,16 @@ def _(m):
 TRACES = "SELECT device_id, k AS tool_calls, k % 7 AS llm_calls, 1 + k % 3 AS attempts, k = 13 AS flagged FROM base"
 
 
-@query("o73_trace_summary", "SELECT count(*) AS runs, round(avg(tool_calls), 6) AS mean_tool_calls, round(avg(llm_calls), 6) AS mean_llm_calls, count(*) FILTER (attempts > 1) AS restarts, CAST(count(DISTINCT device_id) FILTER (flagged) AS INT) AS n_flagged, string_agg(DISTINCT device_id, ',' ORDER BY device_id) FILTER (flagged) AS flagged FROM traces", traces=TRACES)
+@query("o73_trace_summary", "SELECT count(*) AS runs, round(avg(tool_calls), 6) AS mean_tool_calls, round(avg(llm_calls), 6) AS mean_llm_calls, count(*) FILTER (attempts > 1) AS restarts, count(DISTINCT device_id) FILTER (flagged) AS n_flagged FROM traces", traces=TRACES)
 def _(m):
     return A.trace_summary(m.sql(TRACES))
 
 
+@query("o73_flagged_devices", "SELECT device_id, count(*) AS runs FROM traces WHERE flagged GROUP BY device_id", traces=TRACES)
+def _(m):
+    return A.flagged_devices(m.sql(TRACES))
+
+
 @query("o74_report_summary", "SELECT (SELECT count(*) FROM cards) AS devices, (SELECT count(*) FROM cards WHERE zone = 'red') AS red_zone, (SELECT round(avg(health_index), 6) FROM cards) AS average_index, (SELECT string_agg(device_id, ',' ORDER BY health_index, device_id) FROM (SELECT * FROM cards WHERE zone = 'red' ORDER BY health_index, device_id LIMIT 5)) AS worst_red, (SELECT count(*) FROM mass) AS mass_codes", **(CARDS | MASS))
 def _(m):
     health = health_once(m)
