@@ -64,20 +64,21 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     return _text(spark, path, encoding).select(F.monotonically_increasing_id().alias("n"), "value")
 
 
-def _text(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def _text(spark: SparkSession, path: str, encoding: str, *more: str) -> DataFrame:
     """Lines of a text file; other encodings than UTF-8 are decoded in Arrow batches, as Spark knows only a few."""
-    lines = spark.read.text(path)
+    lines = spark.read.text(path).select("value", *more)
     if encoding.upper().replace("-", "") == "UTF8":
         return lines
     decoded = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode(encoding)), "string")
-    return lines.select(decoded(F.col("value").cast("binary")).alias("value"))
+    return lines.withColumn("value", decoded(F.col("value").cast("binary")))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", preamble: bool = False) -> DataFrame:
     """A delimited file as text columns with ``row_no`` from 2 on for the first data row's place.
 
     Short rows are filled with nulls; a row with too many fields or an open quote rejects the file, as does
-    a file without data rows. ``preamble`` skips leading SQL lines.
+    a file without data rows. ``preamble`` skips leading SQL lines. Where quoted fields hold line ends, lines are
+    put together to rows by ``join_lines``; ``row_no`` then counts rows.
     """
     lines = read_lines(spark, path, encoding).filter(F.trim("value") != "")
     if preamble:
@@ -93,7 +94,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     parsed = body.select("n", "value", F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "mode": "PERMISSIVE"}).alias("f"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     if (odd := body.filter(quotes % 2 == 1).count()) and odd % 2 == 0:
-        return _read_multi_line(spark, path, sep, encoding, preamble, names, schema)
+        return _read_joined(spark, path, sep, encoding, preamble, names, schema)
     bad = parsed.filter(F.col(f"f.c{len(names)}").isNotNull() | (quotes % 2 == 1)).limit(1).collect()
     if bad:
         raise Malformed(f"{path}: {bad[0].value[:80]}")
@@ -102,19 +103,49 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     return parsed.select((F.col("n") - first[0].n + 1).alias("row_no"), *[F.col(f"f.c{i}").alias(c) for i, c in enumerate(names)])
 
 
-def _read_multi_line(spark: SparkSession, path: str, sep: str, encoding: str, preamble: bool, names: list[str], schema: T.StructType) -> DataFrame:
-    """A delimited file whose quoted fields hold line ends: a file is one task then, as a line doesn't tell where its row begins.
+def join_lines(lines: DataFrame, quote: str = '"') -> DataFrame:
+    """``file, block, n, value``: lines joined to rows where a line end lies inside quotes.
 
-    ``row_no`` counts rows, the header as 1.
+    ``lines`` has the same columns: the split of a file that a line is in (``block`` grows along the file) and its order
+    there. A line begins a row if an even number of quotes stands before it in its file: the sum over the blocks before,
+    one row a block, and over the lines before in its own. A row that goes on in the next block is known by its first
+    line. So a file is read by as many tasks as it has splits, and only lines of rows of several lines are gathered.
     """
+    quotes = (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2
+    file, inside = ["file", "block"], W.partitionBy("file", "block").orderBy("n")
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # of blocks, not of lines
+    odd = lines.withColumn("odd", quotes)
+    blocks = odd.groupBy(*file).agg(F.sum("odd").alias("total")).withColumn("passed", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    seen = F.sum("odd").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("odd")
+    marked = odd.join(F.broadcast(blocks.select(*file, "passed")), file).withColumn("begins", (F.col("passed") + seen) % 2 == 0)
+    mine = F.struct("block", "n")
+    firsts = marked.groupBy(*file).agg(F.max(F.when(F.col("begins"), mine)).alias("own")).withColumn("carried", F.last("own", ignorenulls=True).over(before))
+    row = F.last(F.when(F.col("begins"), mine), ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    marked = marked.withColumn("own", row).join(F.broadcast(firsts.select(*file, "carried")), file)
+    whole = F.col("begins") & (F.col("odd") == 0)
+    parts = marked.filter(~whole).select("file", F.coalesce("own", "carried").alias("row"), "block", "n", "value")
+    text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "value"))), lambda x: x["value"]))
+    joined = parts.groupBy("file", "row").agg(text.alias("value")).select("file", "row.block", "row.n", "value")
+    return marked.filter(whole).select("file", "block", "n", "value").unionByName(joined)
+
+
+def _read_joined(spark: SparkSession, path: str, sep: str, encoding: str, preamble: bool, names: list[str], schema: T.StructType) -> DataFrame:
+    """A delimited file whose quoted fields hold line ends. ``row_no`` counts rows, the header as 1."""
+    lines = _text(spark, path, encoding, "_metadata.file_path", "_metadata.file_block_start").select(F.monotonically_increasing_id().alias("n"), "value", F.col("file_path").alias("file"), F.col("file_block_start").alias("block"))
     if preamble:
-        raise Malformed(f"{path}: line ends inside quotes after a preamble")
-    reader = spark.read.options(sep=sep, multiLine=True, encoding=encoding, mode="PERMISSIVE", escape='"', header=True, enforceSchema=True)
-    rows = reader.schema(schema).csv(path).withColumn("n", F.monotonically_increasing_id())
-    bad = rows.filter(F.col(f"c{len(names)}").isNotNull()).limit(1).collect()
+        lines = strip_preamble(lines)
+    rows = join_lines(lines).filter(F.trim("value") != "")
+    # Numbers along the file: rows of the blocks before, and those before in the own block.
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("rows"))
+    counts = counts.withColumn("passed", F.coalesce(F.sum("rows").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row a block
+    at = F.row_number().over(W.partitionBy("file", "block").orderBy("n"))
+    body = rows.withColumn("at", at).join(F.broadcast(counts.drop("rows")), ["file", "block"]).select((F.col("passed") + F.col("at")).alias("row_no"), "value").filter("row_no > 1")
+    options = {"sep": sep, "mode": "PERMISSIVE", "escape": '"', "maxCharsPerColumn": "-1"}
+    parsed = body.select("row_no", "value", F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), options).alias("f"))
+    bad = parsed.filter(F.col(f"f.c{len(names)}").isNotNull()).limit(1).collect()
     if bad:
-        raise Malformed(f"{path}: a row of too many fields")
-    return rows.select((F.col("n") + 2).alias("row_no"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+        raise Malformed(f"{path}: {bad[0].value[:80]}")
+    return parsed.select("row_no", *[F.col(f"f.c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def _split(line: str, sep: str) -> list[str]:

@@ -79,6 +79,30 @@ def test_line_ends_inside_quotes(spark, tmp_path):
         files.read_delimited(spark, put(tmp_path, "odd.csv", 'a,b\n"1\n",2\n"3,4\n'))
 
 
+@pytest.mark.parametrize("preamble", ["", "-- made by hand\n\nselect a, b from t\n"])
+def test_a_file_of_many_splits_with_line_ends_inside_quotes(spark, tmp_path, preamble):
+    import csv
+    import io
+    import random
+
+    r = random.Random(6)
+    field = lambda: "".join(r.choices(["a", "bc", "\n", "\n\n", '"', ";", "é", " x"], k=r.randrange(1, 30)))
+    want = [[f"D{i}", field().strip() or "v", "z" * r.randrange(1, 40)] for i in range(600)]
+    out = io.StringIO()
+    csv.writer(out, delimiter=";", lineterminator="\n").writerows([["id", "note", "code"], *want])
+    path = put(tmp_path, "many.csv", preamble + out.getvalue())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(path).rdd.getNumPartitions() > 10
+        got = files.read_delimited(spark, path, preamble=bool(preamble)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [list(x)[1:] for x in sorted(got)] == want and sorted(x.row_no for x in got) == list(range(2, 602))
+
+
 def test_mapping(spark):
     df = spark.createDataFrame([(i, f"SN{i:05d}", "2024-01-01", "C1000", str(i), "9") for i in range(30)], "row_no long, `Serial Number` string, When string, Fault string, `Toner left` string, other string")
     out, found, origin, rest = mapping.map_columns(df)
