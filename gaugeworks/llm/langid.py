@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_chunks
 
-SPAN = 1 << 14  # places of a longer word that are scored at a time; a multiple of STEP
-LEARNED = 1024  # bytes of the longest word that training learns from; scoring has no such bound
+SPAN = 1 << 14  # places of a longer word that are summed at a time; a multiple of STEP
 STEP = 32  # places after which the sums of the forward algorithm are scaled again
 FLOOR = 1e-8  # least probability of a piece; STEP factors of it stay in the range of a double
 SHORT = 8  # pieces up to so many bytes are looked up at every place, longer ones where they share their first SHORT bytes
@@ -196,21 +195,74 @@ def log_probs(words: list[str], path: str, probs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_prob_long(word: np.ndarray, vocab: Pieces, probs: np.ndarray) -> np.ndarray:
-    """The same for one word of any length: SPAN places at a time, whose sums beyond their end open the next."""
-    first, total, at = None, np.zeros(probs.shape[1]), 0
-    while True:
+def _spans(word: np.ndarray, vocab: Pieces) -> Iterator[tuple[int, Matches, int, int]]:
+    """The pieces of a long word by where they start, SPAN places at a time: beginning, pieces, places, and width with their ends."""
+    for at in range(0, len(word), SPAN):
         raw = word[None, at : at + SPAN + vocab.longest]
         matches = vocab.match(raw, np.array([raw.shape[1]]))
-        last = at + raw.shape[1] == len(word)
-        if not last:  # pieces that start in the span, which is a whole number of steps
+        if last := at + raw.shape[1] == len(word):
+            yield at, matches, raw.shape[1], raw.shape[1]
+        else:  # a span is a whole number of steps
             groups = int(np.searchsorted(matches.start, SPAN))
-            matches = Matches(matches.start[:groups], matches.length[:groups], matches.ends[: groups + 1], matches.rows, matches.ids)
-        width = raw.shape[1] if last else SPAN + vocab.longest - 1
-        alpha, scale = _forward(matches, np.array([raw.shape[1] if last else SPAN]), width, probs, vocab.longest, first)
+            yield at, Matches(matches.start[:groups], matches.length[:groups], matches.ends[: groups + 1], matches.rows, matches.ids), SPAN, SPAN + vocab.longest - 1
         if last:
+            return
+
+
+def _log_prob_long(word: np.ndarray, vocab: Pieces, probs: np.ndarray) -> np.ndarray:
+    """The same for one word of any length: SPAN places at a time, whose sums beyond their end open the next."""
+    first, total = None, np.zeros(probs.shape[1])
+    for _, matches, size, width in _spans(word, vocab):
+        alpha, scale = _forward(matches, np.array([size]), width, probs, vocab.longest, first)
+        if size == width:
             return total + np.log(alpha[0, -1]) + scale[0, -1]
-        first, total, at = alpha[:, SPAN:], total + scale[0, SPAN // STEP], at + SPAN
+        first, total = alpha[:, SPAN:], total + scale[0, SPAN // STEP]
+    raise AssertionError("a word has a last span")
+
+
+def _expected_long(word: np.ndarray, weight: np.ndarray, vocab: Pieces, probs: np.ndarray | None, total: np.ndarray) -> None:
+    """Add the expected uses of one word of any length: forward span by span, keeping what opens each; then back, each span anew."""
+    spans = list(_spans(word, vocab)) if probs is None else []
+    for _, matches, _, _ in spans:
+        used = matches.ids[: matches.ends[-1]]
+        for i in range(len(weight)):
+            total[:, i] += np.bincount(used, minlength=len(total)) * weight[i]
+    if probs is None:
+        return
+    firsts, first = [], None
+    for _, matches, size, width in _spans(word, vocab):
+        firsts.append(first)
+        if size < width:
+            first = _forward(matches, np.array([size]), width, probs, vocab.longest, first)[0][:, SPAN:]
+    tail = None
+    for k in reversed(range(len(firsts))):
+        at = k * SPAN
+        _, matches, size, width = next(_spans(word[at:], vocab))
+        alpha, scale = _forward(matches, np.array([size]), width, probs, vocab.longest, firsts[k])
+        beta = np.zeros_like(alpha[0])
+        if tail is None:
+            beta[size] = weight / alpha[0, size]
+        else:
+            beta[SPAN : SPAN + len(tail)] = tail[: len(beta) - SPAN]
+        _backward(matches, alpha, beta[None], scale, probs, total)
+        # Places of the next span are divided by its first factors there, and not at all here.
+        ends = np.arange(min(vocab.longest, len(beta)))
+        tail = beta[ends] * np.exp(-scale[0, ends // STEP])
+
+
+def _backward(matches: Matches, alpha: np.ndarray, beta: np.ndarray, scale: np.ndarray, probs: np.ndarray, total: np.ndarray) -> None:
+    """Complete ``beta`` from its ends and add the expected uses of all pieces to ``total``."""
+    n = int(matches.ends[-1])
+    uses, at = np.zeros((n, probs.shape[1])), n
+    for start, length, rows, ids in matches.groups(backwards=True):
+        step = probs[ids] * beta[rows, start + length]
+        if start // STEP != (start + length) // STEP:  # the two places are divided by different factors
+            step *= np.exp(scale[rows, start // STEP] - scale[rows, (start + length) // STEP])
+        beta[rows, start] += step
+        uses[at - len(ids) : at] = alpha[rows, start] * step
+        at -= len(ids)
+    for i in range(probs.shape[1]):
+        total[:, i] += np.bincount(matches.ids[:n], uses[:, i], len(total))
 
 
 def expected(words: list[str], counts: np.ndarray, path: str, probs: np.ndarray | None) -> np.ndarray:
@@ -222,6 +274,10 @@ def expected(words: list[str], counts: np.ndarray, path: str, probs: np.ndarray
     k = counts.shape[1]
     total = np.zeros((len(vocab.pieces), k))
     for some, raw, size in _batches(list(map(bytes_of, words))):
+        if raw.shape[1] > SPAN:
+            for word, length, weight in zip(raw, size, counts[some], strict=True):
+                _expected_long(word[:length], weight, vocab, probs, total)
+            continue
         matches, weight = vocab.match(raw, size), counts[some]
         if probs is None:
             for i in range(k):
@@ -231,17 +287,7 @@ def expected(words: list[str], counts: np.ndarray, path: str, probs: np.ndarray
         each = np.arange(len(some))
         beta = np.zeros_like(alpha)
         beta[each, size] = weight / alpha[each, size]
-        uses = np.zeros((len(matches.ids), k))
-        at = len(uses)
-        for start, length, rows, ids in matches.groups(backwards=True):
-            step = probs[ids] * beta[rows, start + length]
-            if start // STEP != (start + length) // STEP:  # the two places are divided by different factors
-                step *= np.exp(scale[rows, start // STEP] - scale[rows, (start + length) // STEP])
-            beta[rows, start] += step
-            uses[at - len(ids) : at] = alpha[rows, start] * step
-            at -= len(ids)
-        for i in range(k):
-            total[:, i] += np.bincount(matches.ids, uses[:, i], len(total))
+        _backward(matches, alpha, beta, scale, probs, total)
     return total
 
 
@@ -254,9 +300,9 @@ def train(df: DataFrame, path: str, rows_per_lang: int = 1000, rounds: int = 3,
     """Languages and their piece probabilities, learned from labelled rows.
 
     Learns from a sample of about ``rows_per_lang`` whole texts of each language, drawn by a hash of the
-    id: the one bound on rows, and a parameter; words over LEARNED bytes teach nothing. Rows without text or
-    language are left out. With no rows there are no languages. What reaches the driver is a number per
-    piece and language.
+    id: the one bound on rows, and a parameter. Words of any length teach. Rows without text or language are
+    left out. With no rows, as of an empty table, there are no languages. What reaches the driver is a number
+    per piece and language.
     """
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     per = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -270,10 +316,11 @@ def train(df: DataFrame, path: str, rows_per_lang: int = 1000, rounds: int = 3,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((w, lang) for w in words_of(text) if len(w) <= LEARNED // 4)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "lang", "n"])
+            for first, texts in text_chunks(batch.column(1)):
+                seen: Counter = Counter()
+                for lang, text in zip(batch.column(0).slice(first, len(texts)).to_pylist(), texts, strict=True):
+                    seen.update((w, lang) for w in words_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "lang", "n"])
 
     counts = sample.mapInArrow(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     counts = cut(counts.repartition(spark.sparkContext.defaultParallelism, "word"))  # small in bytes, long to compute on
@@ -311,7 +358,8 @@ def predict(df: DataFrame, path: str, langs: list[str], probs: np.ndarray, id_co
 
     ``score`` is the posterior of the predicted language under equal priors; equal scores go to the
     first language in alphabetical order. A null text, one without a letter, or a model without
-    languages gives ``und`` with score 0. One row per input row; other columns are ignored.
+    languages gives ``und`` with score 0. A very long text is read whole, one at a time. One row per input row,
+    none for an empty table; other columns are ignored.
     """
     model = df.sparkSession.sparkContext.broadcast(probs)
     key = hashlib.sha256(probs.tobytes() + path.encode()).hexdigest()
