@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import text_chunks
 
 # Elements by their part in a page.
-SILENT = frozenset("script style noscript template svg math iframe object canvas head title select option button textarea audio video map".split())
+SILENT = frozenset("script style noscript template svg math iframe canvas head title select option button textarea audio video map".split())
 APART = frozenset("nav footer aside dialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -36,7 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("div section td body blockquote details".split())
 GROUPS = frozenset("article main ul ol dl table figure".split())
-DEEP = 8  # so many named elements around a line are told apart
+HEADINGS = frozenset(("h1", "h2", "h3"))
 # Whole class and id words that name something else than content, plain or behind a word of place.
 HINT = re.compile(
     r"(?:(?:site|top|bottom|left|right|main|global|primary|secondary|mobile)[-_])?"
@@ -59,8 +59,9 @@ class Line(NamedTuple):
     links: int  # characters inside links
     element: int  # innermost element that holds the line
     main: bool
-    named: tuple[int, ...]  # elements around it that their class names as something else
+    named: int  # innermost element around it that its class names as something else, 0 for none
     aside: bool  # named so by its tag or role
+    heading: bool
 
 
 class Element(NamedTuple):
@@ -68,7 +69,7 @@ class Element(NamedTuple):
     number: int
     aside: bool
     main: bool
-    named: tuple[int, ...]
+    named: int
 
 
 class Lines(HTMLParser):
@@ -77,7 +78,8 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack = [Element("", 0, False, False, ())]
+        self.stack = [Element("", 0, False, False, 0)]
+        self.above: dict[int, int] = {}  # the named element around each named element
         self.inner: set[int] = set()
         self.outer = [0]  # the element around each element of a kind that holds lines
         self.text: list[str] = []
@@ -88,7 +90,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             top = self.stack[-1]
-            self.lines.append(Line(text, self.tags, self.links, top.number, top.main, top.named, top.aside))
+            self.lines.append(Line(text, self.tags, self.links, top.number, top.main, top.named, top.aside, any(e.tag in HEADINGS for e in self.stack[-4:])))
         self.text, self.tags, self.links = [], 0, 0
 
     def _close(self, tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
@@ -105,6 +107,8 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
+            if tag != "html":  # a head or a list of options that is left open ends where a block begins
+                self._close({"head", "select"}, BLOCKS - {"html"})
             self._close({"p"}, CONTAINERS | {"article", "main", "li", "td", "th"})
             self.flush()
         if tag in CLOSES:
@@ -126,7 +130,9 @@ class Lines(HTMLParser):
         if hint or tag in CONTAINERS or tag in GROUPS:
             self.outer.append(number)
             number = len(self.outer) - 1
-            named = (*named, number) if hint and len(named) < DEEP else named
+            if hint:
+                self.above[number] = named
+                named = number
             if hint and main:
                 self.inner.add(number)
         self.silent += tag in SILENT
@@ -157,18 +163,22 @@ class Lines(HTMLParser):
                 self.links += len(data.strip())
 
 
-def countable(lines: list[Line], inner: set[int]) -> list[Line]:
+def countable(lines: list[Line], above: dict[int, int], inner: set[int]) -> list[Line]:
     """The lines that the markup doesn't name as something else; ``inner`` are named elements inside an article."""
     lines = [x for x in lines if not x.aside]
-    held: Counter = Counter()
+    held, mains = Counter(), Counter()
     for x in lines:
-        for e in x.named:
-            held[e] += len(x.text)
-    total = sum(len(x.text) for x in lines)
+        held[x.named] += len(x.text)
+        mains[x.named] += x.main
+    for e in sorted(above, reverse=True):  # what an element holds counts for those around it, which have smaller numbers
+        held[above[e]] += held[e]
+        mains[above[e]] += mains[e]
     # A class word of an element around the article, or that holds most of the text, doesn't name it.
-    has_main = {e for x in lines if x.main for e in x.named if e not in inner}
-    kept = {e for e, n in held.items() if (2 * n > total or e in has_main) and not any(x.main and e not in x.named for x in lines)}
-    return [x for x in lines if kept.issuperset(x.named)]
+    good = {0: True}
+    for e in sorted(above):
+        around = mains[e] == mains[0]
+        good[e] = good[above[e]] and around and (2 * held[e] > held[0] or (mains[e] > 0 and e not in inner))
+    return [x for x in lines if good[x.named]]
 
 
 def scores(lines: list[Line]) -> np.ndarray:
@@ -224,7 +234,7 @@ def content_lines(html: str) -> list[str]:
         parser.feed(html[i : i + CHUNK])
     parser.close()
     parser.flush()
-    lines = countable(parser.lines, parser.inner)
+    lines = countable(parser.lines, parser.above, parser.inner)
     if not lines:
         return []
     score = scores(lines)
@@ -260,7 +270,12 @@ def content_lines(html: str) -> list[str]:
         groups.pop(0)
     while groups and of_links(groups[-1]):
         groups.pop()
-    return [lines[i].text for _, group in groups for i in group]
+    kept = [i for _, group in groups for i in group]
+    # Headings right before the element, in the one around it, are those of its text.
+    place = {id(x): k for k, x in enumerate(parser.lines)}
+    while kept and (k := place[id(lines[kept[0]])]) and kept[0] and parser.lines[k - 1] is (x := lines[kept[0] - 1]) and x.heading and x.element == parser.outer[common]:
+        kept.insert(0, kept[0] - 1)
+    return [lines[i].text for i in kept]
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -38,5 +38,28 @@ def test_long_words_change_what_is_learned(spark, letters):
 @pytest.mark.parametrize("depth", [7, 8, 12, 40])
 def test_an_advert_below_many_named_elements(depth):
     page = "<html><body>" + '<div class="share">' * depth + "<p>" + "words of the article are here. " * 40 + '</p><div class="ad"><p>buy this now</p></div>' + "</div>" * depth + "</body></html>"
-    text = html_text.extract(page)
+    text = "\n".join(html_text.content_lines(page))
     assert "words of the article" in text and "buy this" not in text
+
+
+ARTICLE = "<p>" + "words of the article are here. " * 12 + "</p><p>" + "more words of the same text follow. " * 10 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><body><article>{ARTICLE}</article>",  # a head that is left open
+        f"<html><head><title>T</title><div>{ARTICLE}</div>",
+        f"<body><object><article>{ARTICLE}</article></object>",
+        f"<body><select><option>a<option>b<article>{ARTICLE}</article>",
+    ],
+)
+def test_open_elements_lose_no_text(page):
+    text = html_text.content_lines(page)
+    assert len(text) == 2 and text[0].startswith("words of") and text[1].startswith("more words")
+
+
+def test_a_heading_beside_its_text():
+    menu = "<div>" + "".join(f"<a href='{i}'>Link {i}</a><br>" for i in range(9)) + "</div>"
+    got = html_text.content_lines(f"<body>{menu}<h1>The title</h1><div>{ARTICLE}</div></body>")
+    assert got[0] == "The title" and len(got) == 3
