@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and a character convolutional network over every candidate.
 
-The base patterns give the findings that always stand. Every run of 16 or more key characters is a
-candidate. A small convolutional network in numpy reads a candidate with the text around it. It learns from
+The base patterns give the findings that always stand. Every run of 6 or more key characters is a
+candidate, but for plain words of under 16 letters. A small convolutional network in numpy reads a candidate with the text around it. It learns from
 labelled findings: values that the base patterns found are secrets; runs whose parts are plain words,
 numbers, dates, host names or ids are not. Other runs carry no label and teach nothing. As the base patterns
 need a key word before a value and other secrets have none, every secret is also shown, whole and cut off,
@@ -33,7 +33,9 @@ def _any_case(words: str) -> str:
 ASSIGN = re.compile(_any_case("(?:password|passwd|secret|token|api_?key)") + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 and more are the runs of any length that pass
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST = 6  # characters of a candidate, as of a value of the base rule
+# Whole runs; a plain word of under 16 letters, with a full stop or without, is none.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?![A-Z]?[a-z]{0,14}\.?(?![A-Za-z0-9+/_.=-]))[A-Za-z0-9+/_.=-]{6,}")
 BREAKS = re.compile(r"[._/=+-]+")
 # What the parts of runs that are no secrets look like (words, words in one, short numbers behind them, numbers, times).
 COMMON = re.compile(r"[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[0-9]{0,3}|[A-Z]+[0-9]{0,3}|[0-9]+(?:T[0-9]+Z?)?|(.)\1*")
@@ -46,8 +48,6 @@ _CLASS_OF = bytes(c - 30 if 32 <= c < 127 else 1 for c in range(256))
 _INSIDE = bytes(min(c + 96, 255) for c in range(256))
 SECRET, OTHER, UNKNOWN = 1, 0, -1  # labels
 FOLDS = 3
-MOST_WINDOWS = 64  # a candidate of more windows (3,000 characters) is scored like any other but not drawn for training
-LEAST_LABELS = 12  # of each label, or nothing is learned
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -78,7 +78,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         found, common = reach > m.start(), is_common(text[start : m.end()])
         # A value in a finding that looks like a word or number teaches nothing.
         label = SECRET if found and not common else OTHER if common and not found else UNKNOWN
-        if start + 16 <= m.end():
+        if start + LEAST <= m.end():
             out.append((start, m.end(), label, found))
     return out
 
@@ -242,7 +242,7 @@ def learn(windows: list[np.ndarray], lengths: np.ndarray, labels: np.ndarray, fo
 
     def elsewhere(of: np.ndarray, among: np.ndarray, cut_off: bool) -> np.ndarray:
         """Secrets ``of`` between the texts around candidates ``among``, also cut off."""
-        sizes = [int(rng.integers(min(16, lengths[i]), lengths[i] + 1)) if cut_off else lengths[i] for i in of]
+        sizes = [int(rng.integers(min(max(LEAST, lengths[i] // 2), lengths[i]), lengths[i] + 1)) if cut_off else lengths[i] for i in of]
         return np.array([moved(windows[i][0], n, windows[j][0], lengths[j]) for i, n, j in zip(of, sizes, rng.choice(among, len(of)), strict=True)], np.uint8).reshape(-1, WIDTH)
 
     def fitted(rows: np.ndarray) -> CharNet:
@@ -265,16 +265,19 @@ def learn(windows: list[np.ndarray], lengths: np.ndarray, labels: np.ndarray, fo
     return net
 
 
-def train(found: DataFrame, sample: int = 2000, recall: float = 0.98) -> CharNet | None:
-    """A network from the labelled findings of ``extract``; None unless each label has LEAST_LABELS.
+def train(found: DataFrame, sample: int = 2000, recall: float = 0.98, least: int = 12, most_windows: int = 64) -> CharNet | None:
+    """A network from the labelled findings of ``extract``; None unless each label has ``least`` distinct ones.
 
-    Learns from about ``sample`` distinct findings of each label, drawn by a hash of their windows, each of at
-    most MOST_WINDOWS windows: the one bound here, and a parameter.
+    Learns from about ``sample`` distinct findings of each label, drawn by a hash of their windows: the bound on
+    rows. Of a finding of more than ``most_windows`` windows (3,000 characters), so many of them are taken, evenly
+    spread from the first on. All three are parameters.
     """
     each = found.select(F.explode("found").alias("c")).select("c.label", "c.windows", (F.col("c.end") - F.col("c.start")).alias("size"))
-    each = each.filter((F.col("label") != UNKNOWN) & (F.length("windows") <= MOST_WINDOWS * WIDTH)).distinct()
+    n = F.length("windows") / WIDTH
+    spread = F.concat(*[F.substring("windows", (F.floor(i * n / most_windows) * WIDTH + 1).cast("int"), F.lit(WIDTH)) for i in range(most_windows)])
+    each = each.filter(F.col("label") != UNKNOWN).withColumn("windows", F.when(n > most_windows, spread).otherwise(F.col("windows"))).distinct()
     count = {r.label: r["count"] for r in each.groupBy("label").count().collect()}
-    if min(count.get(SECRET, 0), count.get(OTHER, 0)) < LEAST_LABELS:
+    if min(count.get(SECRET, 0), count.get(OTHER, 0)) < least:
         return None
     place = F.pmod(F.xxhash64("windows"), F.lit(1_000_003))
     share = F.when(F.col("label") == SECRET, sample / count[SECRET]).otherwise(sample / count[OTHER])
@@ -310,8 +313,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     Both are arrays of ``struct<start, kind, end>`` in order of start, then of kind, counted in code points
     with an exclusive end; ``spans`` has the base findings and, of kind ``learned``, the candidates that the
     network accepts. A null text is empty and has none; equal rows give equal results, one row per input
-    row; other columns are ignored; very long texts are read whole, one at a time. Without LEAST_LABELS
-    findings of each label nothing is learned or added.
+    row; other columns are ignored; very long texts are read whole, one at a time. Without
+    12 findings of each label (a parameter of ``train``), as in an empty table, nothing is learned or added.
     """
     found = cut(extract(df, id_col, text_col))
     model = df.sparkSession.sparkContext.broadcast(train(found, sample, recall))

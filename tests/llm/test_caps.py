@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from gaugeworks.llm import html_text, langid
+from gaugeworks.llm import html_text, langid, secrets
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -63,3 +63,18 @@ def test_a_heading_beside_its_text():
     menu = "<div>" + "".join(f"<a href='{i}'>Link {i}</a><br>" for i in range(9)) + "</div>"
     got = html_text.content_lines(f"<body>{menu}<h1>The title</h1><div>{ARTICLE}</div></body>")
     assert got[0] == "The title" and len(got) == 3
+
+
+def test_short_runs_are_candidates_and_plain_words_are_not():
+    text = "see Zk3vQ9xW1pLr8s and x9K2mQ. Then Wordings follow plainly, 555-7713 too; password=hunter2x"
+    got = [(text[s:e], label, found) for s, e, label, found in secrets.candidates(text, secrets.base_spans(text))]
+    assert got == [("Zk3vQ9xW1pLr8s", secrets.UNKNOWN, False), ("x9K2mQ.", secrets.UNKNOWN, False), ("555-7713", secrets.OTHER, False), ("hunter2x", secrets.SECRET, True)]
+
+
+def test_long_findings_teach(spark):
+    """A finding of far more windows than are drawn of one is learned from."""
+    r = __import__("random").Random(3)
+    value = lambda k: "".join(r.choice("ABCDEFGHJKLMabcdefghjkm23456789") for _ in range(k))
+    texts = [f"the token = {value(9000)} of it" for _ in range(14)] + [f"see {r.randint(10**15, 10**16)} there" for _ in range(14)]
+    found = secrets.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert secrets.train(found) is not None and secrets.train(found, least=40) is None

@@ -134,7 +134,7 @@ def test_labels():
     text = "token = 0641917ea4e9feb9cda83477b57ac265 9807915762804490 mail7.example.com/path 2024-05-06T10:11:12 x9fK2mQpL0vBn3RtYw internationalization password=correcthorsebattery api_key=Zk3vQ9xW1pLr8sTn"
     got = [(text[s:e], label, found) for s, e, label, found in secrets.candidates(text, secrets.base_spans(text))]
     assert got == [
-        ("0641917ea4e9feb9cda83477b57ac265", secrets.SECRET, True), ("9807915762804490", secrets.OTHER, False), ("mail7.example.com/path", secrets.OTHER, False),
+        ("0641917ea4e9feb9cda83477b57ac265", secrets.SECRET, True), ("9807915762804490", secrets.OTHER, False), ("mail7.example.com/path", secrets.OTHER, False), ("2024-05-06T10", secrets.OTHER, False),
         ("x9fK2mQpL0vBn3RtYw", secrets.UNKNOWN, False), ("internationalization", secrets.OTHER, False), ("correcthorsebattery", secrets.UNKNOWN, True), ("Zk3vQ9xW1pLr8sTn", secrets.SECRET, True),
     ]
 
