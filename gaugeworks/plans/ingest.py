@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import normalize as N
 from ..operators import registry as R
-from ..sources import files, longform, mapping
+from ..sources import files, loads, longform, mapping
 from ..sources.scratch import scratch_folder
 from .model import Model, duck
 
@@ -86,6 +86,24 @@ def _(m):
     return events.select("row_no", "device_id", "error_code", "error_description", F.unix_micros("ts").alias("ts_us"), F.col("event_date").cast("string").alias("day"))
 
 
+def three_loads(m: Model) -> str:
+    """A store of all events and snapshots in three loads, the first of them loaded twice."""
+    at = folder(m)
+    for k in (0, 1, 2, 0):
+        loads.add_load({n: t.filter(F.col("row_no") % 3 == k) for n, t in (("events", m.ev), ("snapshots", m.snap))}, at, f"part {k}")
+    return at
+
+
+@query("o05_loads", "SELECT row_no, device_id, error_code, @us(ts) AS ts_us, CAST(CAST(ts AS DATE) AS STRING) AS day, 'part ' || CAST(row_no % 3 AS STRING) AS load FROM ev")
+def _(m):
+    return loads.read_table(m.spark, three_loads(m), "events").select("row_no", "device_id", "error_code", F.unix_micros("ts").alias("ts_us"), F.col("event_date").cast("string").alias("day"), "load")
+
+
+@query("o25_reference_of_loads", "SELECT @us(max(ts)) AS ref_us FROM (SELECT ts FROM ev UNION ALL SELECT ts FROM snap)")
+def _(m):
+    return loads.reference_time(m.spark, three_loads(m)).select(F.unix_micros("ref").alias("ref_us"))
+
+
 PROFILED = ("device_id", "error_code", "toner_level", "mileage")
 
 
