@@ -59,7 +59,7 @@ def test_stages_compile(spark, name):
 
 
 def test_a_code_of_many_descriptions(spark):
-    many = spark.range(20_000).selectExpr("'C1' error_code", "concat('text ', lpad(id, 6, '0')) error_description")
+    many = spark.range(20_000).selectExpr("concat('C', 1 + id % 1) error_code", "concat('text ', lpad(id, 6, '0')) error_description")
     health = spark.sql("SELECT 'D1' device_id, array(named_struct('label', 'C1 (High)', 'source', 'x')) contributions")
     out = A.mass_errors(health, many)
     row = out.first()
