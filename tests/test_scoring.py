@@ -171,3 +171,17 @@ def test_similar_devices_are_those_of_all_pairs(spark):
                 if o != d and (both or bonus):
                     want.append((-score, o, tuple(sorted(both))))
             assert sorted(got.get(d, [])) == sorted(want)[:5], (dim, d)
+
+
+def test_duplicates_and_spellings_of_codes(spark):
+    """70 rows: two events of each of ten devices twice, and three spellings of one code on each."""
+    rows = [(f"D{d}", f"2024-01-2{k} 10:00:00", f"C100{k}", "x") for d in range(10) for k in (1, 2) for _ in range(2)]
+    rows += [(f"D{d}", f"2024-01-25 1{k}:00:00", code, "tray") for d in range(10) for k, code in enumerate(("75-530-00", "75 530 00", "75_530_00"))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_no long, device_id string, timestamp string, error_code string, error_description string")
+    store = N.normalize(df, spark.createDataFrame([("m", "M")], "alias string, canonical string"), lenient=True)
+    events_ = store["events"].cache()
+    assert events_.count() == 70 and N.drop_duplicates(events_).count() == 50
+    twice = N.duplicates(events_)
+    assert twice.count() == 20 and twice.agg(F.sum("copies")).first()[0] == 40
+    counts = {(r.device_id, r.error_code): r.n for r in S.count_repetitions(events_, S.reference_time(events_, store["snapshots"]), 30).collect()}
+    assert len(counts) == 30 and all(counts[f"D{d}", "75-530-00"] == 3 for d in range(10)) and counts["D0", "C1001"] == 2
