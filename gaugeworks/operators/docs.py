@@ -18,10 +18,10 @@ MARKED = r"[\p{M}ᄀ-ᇿ]"
 
 
 def compose(docs: DataFrame, col: str = "text") -> DataFrame:
-    """Unicode NFC: only rows with a combining mark or a Hangul letter go to an Arrow function, as Spark has no built-in for it."""
-    nfc = F.pandas_udf(lambda s: s.map(lambda x: unicodedata.normalize("NFC", x)), "string")
-    marked = F.coalesce(F.col(col).rlike(MARKED), F.lit(False))
-    return docs.filter(~marked).unionByName(docs.filter(marked).withColumn(col, nfc(F.col(col))))
+    """Unicode NFC, in one pass: only texts with a combining mark or a Hangul letter are sent to an Arrow function, as Spark has no built-in for it."""
+    nfc = F.pandas_udf(lambda s: s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore"), "string")
+    marked = F.when(F.col(col).rlike(MARKED), F.col(col))
+    return docs.withColumn(col, F.coalesce(nfc(marked), F.col(col)))
 
 
 def clean(docs: DataFrame, col: str = "text", nfc: bool = True) -> DataFrame:
