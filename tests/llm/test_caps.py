@@ -26,7 +26,7 @@ def test_uses_of_long_words_are_those_of_one_pass(monkeypatch, with_probs):
         assert np.allclose(langid.log_probs(words, PIECES, probs), logs)
 
 
-@pytest.mark.parametrize("letters", [300, 5000, 40_000])
+@pytest.mark.parametrize("letters", [300, 40_000])
 def test_long_words_change_what_is_learned(spark, letters):
     rows = [(i, "the thing of a word", "en") for i in range(20)] + [(100 + i, "der ding und das wort", "de") for i in range(20)]
     schema = "doc_id long, text string, lang string"
