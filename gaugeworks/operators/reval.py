@@ -16,9 +16,28 @@ def ir_metrics(results: DataFrame, expected: DataFrame) -> DataFrame:
     """
     want = expected.select("query_id", "scenario", F.array_distinct("expected").alias("expected"))
     each = want.select("query_id", F.explode("expected").alias("chunk_id"))
-    ranks = results.select("query_id", "chunk_id", "rank").join(each, ["query_id", "chunk_id"], "left_semi").filter("rank <= 10")
+    return _measured(want.select("query_id", "scenario", F.size("expected").alias("n")), _first(results).join(each, ["query_id", "chunk_id"], "left_semi"))
+
+
+def ir_metrics_of_groups(results: DataFrame, queries: DataFrame, members: DataFrame) -> DataFrame:
+    """``ir_metrics`` where queries (``query_id, scenario, group``) share what they expect: the members (``group, chunk_id``) of a group.
+
+    Pairs of queries and members aren't made. A query whose group has no member is left out.
+    """
+    own = members.filter("group IS NOT NULL").select("group", "chunk_id").distinct()
+    want = queries.join(own.groupBy("group").agg(F.count("*").cast("int").alias("n")), "group")
+    ranks = _first(results).join(queries.select("query_id", "group"), "query_id").join(own, ["group", "chunk_id"], "left_semi")
+    return _measured(want.select("query_id", "scenario", "n"), ranks)
+
+
+def _first(results: DataFrame) -> DataFrame:
+    return results.select("query_id", "chunk_id", "rank").filter("rank <= 10")
+
+
+def _measured(want: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The measures of queries that expect ``n`` chunks, from their ``ranks`` of those."""
     hits = ranks.groupBy("query_id").agg(F.count_if(F.col("rank") <= 5).alias("h5"), F.count("*").alias("h10"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
-    n = F.size("expected")
+    n = F.col("n")
     ideal = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), F.least(n, F.lit(10)))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
     zero = lambda c: F.coalesce(c, F.lit(0))
     share = lambda c: F.round(F.when(n == 0, 1.0).otherwise(zero(c) / n), 4)

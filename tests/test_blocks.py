@@ -1,4 +1,4 @@
-"""Searches block by block, against plain sums."""
+"""Searches block by block: what they hold at a time, against plain sums, and groups of expected chunks."""
 
 from __future__ import annotations
 
@@ -7,11 +7,33 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import blocks, retrieval
+from gaugeworks.operators import blocks, retrieval, reval
 
 from .test_postings import brute, frames
 
 
+def test_dense_search_holds_few_scores_at_a_time(spark, monkeypatch):
+    """Many queries in one block are scored in runs, and equal scores go by the id."""
+    monkeypatch.setattr(blocks, "CELLS", 400)
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, (120, 3)).astype(float)
+    v[v.any(axis=1) == 0] = 1
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, vector array<double>")
+    got = retrieval.dense_topk(rows.withColumnRenamed("chunk_id", "query_id"), rows, 5).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, 6)
+    want = {(q, int(c), n) for q in range(120) for n, c in enumerate(np.lexsort((np.arange(120), -cos[q]))[:5])}
+    assert {(x["query_id"], x["chunk_id"], x["rank"]) for x in got} == want
+    widths = []
+    monkeypatch.setattr(blocks, "best", lambda score, k, *a, f=blocks.best: widths.append(score.size) or f(score, k, *a))
+    run = {}
+    grouped = type(rows.groupBy("chunk_id").cogroup(rows.groupBy("chunk_id")))
+    monkeypatch.setattr(grouped, "applyInPandas", lambda self, f, s, g=grouped.applyInPandas: run.setdefault("f", f) and g(self, f, s))
+    retrieval.dense_topk(rows.withColumnRenamed("chunk_id", "query_id"), rows, 5)
+    pd = rows.toPandas()
+    assert len(run["f"](pd.set_axis(["q_id", "q_vec"], axis=1), pd.set_axis(["c_id", "c_vec"], axis=1))) == 600 and max(widths) <= 400 < 120 * 120
+
+
 @pytest.mark.parametrize("cells, common", [(2_000_000, 256), (300, 2), (300, 0)])
 def test_scores_are_sums_of_products(monkeypatch, cells, common):
     """Common words by a matrix, others by postings, in runs of any length; words that no row has, empty rows and queries."""
@@ -49,3 +71,14 @@ def test_ids_of_other_types(spark):
     q, c = frames(spark, [(1, "a b"), (2, None)], [(5, "b b"), (3, "a a c"), (4, "z")])
     out = retrieval.lexical_topk(q.withColumn("query_id", F.concat(F.lit("q"), "query_id")), c.withColumn("chunk_id", F.concat(F.lit("c"), "chunk_id")))
     assert sorted((x["query_id"], x["chunk_id"]) for x in out.collect()) == [("q1", "c3"), ("q1", "c5")]
+
+
+def test_groups_of_expected_chunks(spark):
+    """The same as with each query's own list, without pairs of queries and members."""
+    members = spark.range(60).selectExpr("CASE WHEN id < 50 THEN id % 3 END AS `group`", "id AS chunk_id")
+    queries = spark.range(9).selectExpr("id AS query_id", "CASE WHEN id % 2 = 0 THEN 'even' END AS scenario", "CASE WHEN id = 7 THEN 9 WHEN id < 8 THEN id % 3 END AS `group`")
+    results = spark.range(9).selectExpr("id AS query_id", "explode(sequence(1, 12)) AS rank").selectExpr("query_id", "query_id * 5 + rank AS chunk_id", "rank")
+    lists = queries.join(members, "group").groupBy("query_id", "scenario").agg(F.collect_list("chunk_id").alias("expected"))
+    out = reval.ir_metrics_of_groups(results, queries, members)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, reval.ir_metrics(results, lists).collect())) and out.count() == 7
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
