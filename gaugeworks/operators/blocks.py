@@ -67,10 +67,10 @@ class Block:
             held = slice(self.start[w], self.start[w] + self.df[w])
             self.matrix[i, self.row[held]] = self.part[held]
 
-    def scores(self, words: pa.ListArray, weights: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+    def scores(self, words: pa.ListArray, weights: pa.ListArray | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """For runs of the queries, the first one's number and the sums of weight x weight of each with every row.
 
-        The words of a query are distinct.
+        The words of a query are distinct; without ``weights`` each has 1.
         """
         n = len(self.names)
         if not n:
@@ -78,7 +78,7 @@ class Block:
         ends = np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         flat = words.flatten().dictionary_encode()
         ids = np.array([self.vocabulary.get(w, -1) for w in flat.dictionary.to_pylist()] or [-1], np.int64)[flat.indices.to_numpy(zero_copy_only=False)]
-        weight = weights.flatten().to_numpy(zero_copy_only=False)
+        weight = np.ones(len(ids)) if weights is None else weights.flatten().to_numpy(zero_copy_only=False)
         width = max(1, CELLS // n)
         for first in range(0, len(words), width):
             last = min(first + width, len(words))
@@ -92,8 +92,8 @@ class Block:
             out = asked @ self.matrix
             w, x, q = w[dense < 0], x[dense < 0], q[dense < 0]
             total = np.cumsum(self.df[w])
-            cuts = np.unique(np.searchsorted(total, np.arange(0, (total[-1] if len(w) else 0) + CELLS, CELLS)))
-            for a, b in zip(cuts[:-1], [*cuts[1:-1], len(w)], strict=True):
+            cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + CELLS, CELLS))) if len(w) else [0]
+            for a, b in zip(cuts[:-1], [*cuts[1:-1], len(w)], strict=False):
                 df = self.df[w[a:b]]
                 held = np.repeat(self.start[w[a:b]] - (np.cumsum(df) - df), df) + np.arange(df.sum())
                 cell = np.repeat(q[a:b] * n, df) + self.row[held]

@@ -1,20 +1,31 @@
-"""Devices alike in their sets of codes: an exact top-k set-similarity join.
-
-The codes of a set stand in one global order, the rarest first. If the first code that two sets share is the i-th of
-a query's a codes, they share at most a-i+1, which bounds their Jaccard by the size b of the other set. The rarest
-codes, the smallest sets of the last code and devices of the same model give a bar, the k-th best of what pairs have at
-least. Codes are joined by cells (code, size, model): only cells whose bound reaches the bar are opened. Two sets that
-share nothing but the query's last code have a score that follows from b alone, so of that code, which is the most
-common one, only the smallest sets are needed.
+"""Devices alike in their sets of codes: exact top-k set similarity.
+
+Devices of equal codes and model are one class. Classes that hold a device asked about meet all classes block by block
+(see ``blocks``): common codes are a product of matrices, so pairs are cells of a bounded matrix, however many devices
+share a code. A class is known by its smallest id and names its ``k + 1`` smallest, which is all that a best list can need.
+
+``candidates`` is a join for large vocabularies of rare codes, by a bound: the codes of a set stand in one global order,
+the rarest first. If the first code that two sets share is the i-th of a query's a codes, they share at most a-i+1, which
+bounds their Jaccard by the size b of the other set. The rarest codes, the smallest sets of the last code and devices of
+the same model give a bar, the k-th best of what pairs have at least. Cells (code, size, model) are opened only if their
+bound reaches the bar. Two sets that share nothing but the query's last code have a score that follows from b alone, so of
+that code, which is the most common one, only the smallest sets are needed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from . import blocks
 
 SEED = 16  # devices of the rarest codes that set the bar, in multiples of k
 SLACK = 0.001  # scores are rounded to 3 digits
@@ -103,21 +114,61 @@ def same_value(asked: DataFrame, info: DataFrame, col: str, k: int) -> DataFrame
     return info.join(asked, "device_id", "left_semi").join(first, col).filter("device_id <> other_id").select("device_id", "other_id")
 
 
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """Scores to 3 digits, half up in decimals as Spark's ``round``; they have few distinct values."""
+    few, at = np.unique(score, return_inverse=True)
+    return np.array([float(Decimal(repr(s)).quantize(Decimal("0.001"), ROUND_HALF_UP)) for s in few.tolist()])[at]
+
+
+def _near(classes: DataFrame, asked: DataFrame, k: int, model_weight: float) -> DataFrame:
+    """``query, other, score``: of each class of ``asked`` the ``k`` best of all ``classes`` (``class, model, codes``), itself among them, by rounded score and name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, open_, models, known = blocks.Block(), True, [], {None: -1}
+        for batch in batches:
+            asks, _, model, _, _ = batch.columns
+            rows, query = (batch.filter(m) for m in (pc.invert(asks), asks))
+            numbered = lambda c: np.array([known.setdefault(m, len(known)) for m in c.to_pylist()], np.int64)
+            block.add(rows.column(1), rows.column(4))
+            models.append(numbered(rows.column(2)))
+            if not query.num_rows:
+                continue
+            if open_:
+                block.close(lambda tf, size: np.ones(len(tf)))
+                of, open_ = np.concatenate(models), False
+            names, own, sizes = query.column(3).to_pylist(), numbered(query.column(2)), query.column(4).value_lengths().to_numpy()
+            for first, n in block.scores(query.column(4)):
+                these = slice(first, first + len(n))
+                either = sizes[these, None] + block.sizes - n
+                score = n / np.maximum(either, 1) + model_weight * ((own[these, None] == of) & (of >= 0))
+                at, cols = blocks.best(np.where(score > 0, score, -np.inf), k, SLACK + 1e-6, _rounded)
+                yield pa.RecordBatch.from_arrays([pa.array([names[first + i] for i in at], pa.string()), pa.array([block.names[i] for i in cols], pa.string()), pa.array(score[at, cols])], ["query", "other", "score"])
+
+    rows = classes.select("class", "model", "codes")
+    met = blocks.dealt(rows, "class", rows.join(asked, "class", "left_semi").withColumnRenamed("class", "query"), classes.count())
+    found = met.select("asks", "class", "model", "query", "codes").mapInArrow(run, "query string, other string, score double")
+    nth = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 3)), "other"))
+    return found.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
+
+
 def most_alike(codes: DataFrame, info: DataFrame, queries: DataFrame, k: int, model_weight: float = SAME_MODEL) -> DataFrame:
     """``device_id, other_id, score, codes``: pairs that hold the ``k`` best of each of ``queries``, with their whole score and shared codes.
 
     The score is the Jaccard of the code sets, and ``model_weight`` if the models are equal.
     """
-    sets = stored(code_sets(codes, info))
-    asked = queries.select("device_id").distinct()
-    alike = stored(same_value(asked, info, "model", k)) if model_weight else None
-    pairs = candidates(sets.join(asked, "device_id", "left_semi"), sets, k, model_weight, alike)
-    if alike is not None:
-        pairs = pairs.union(alike).distinct()
+    sets = code_sets(codes, info)
     every = info.select("device_id", "model").join(sets.select("device_id", "codes"), "device_id", "full")
-    every = every.select("device_id", "model", F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
-    other = every.select(F.col("device_id").alias("other_id"), F.col("model").alias("other_model"), F.col("codes").alias("other_codes"))
-    both = pairs.join(every, "device_id").join(other, "other_id").withColumn("shared", F.array_intersect("codes", "other_codes"))
-    n = F.size("shared")
-    jaccard = F.coalesce(F.try_divide(n, F.size("codes") + F.size("other_codes") - n), F.lit(0.0))
-    return both.select("device_id", "other_id", (jaccard + _bonus(model_weight)).alias("score"), F.col("shared").alias("codes")).filter("score > 0")
+    every = stored(every.select("device_id", "model", F.coalesce("codes", F.array().cast("array<string>")).alias("codes")))
+    nth = F.row_number().over(W.partitionBy("codes", "model").orderBy("device_id"))
+    first = every.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
+    classes = stored(first.groupBy("codes", "model").agg(F.min("device_id").alias("class"), F.collect_list("device_id").alias("ids")))
+    own = every.join(queries.select("device_id").distinct(), "device_id", "left_semi").alias("e").join(classes.alias("c"), F.expr("e.codes = c.codes AND e.model <=> c.model"))
+    asked = stored(own.select("device_id", F.col("class").alias("query")))
+    near = _near(classes, asked.select(F.col("query").alias("class")).distinct(), k + 1, model_weight)
+    other = classes.select(F.col("class").alias("other"), F.col("codes").alias("other_codes"), "ids")
+    both = near.join(classes.select(F.col("class").alias("query"), "codes"), "query").join(other, "other")
+    each = both.select("query", "score", F.array_intersect("codes", "other_codes").alias("codes"), F.explode("ids").alias("other_id"))
+    # A device is among its own best, so one more than k are kept.
+    nth = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 3)), "other_id"))
+    each = each.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
+    return asked.join(each, "query").filter("device_id <> other_id").select("device_id", "other_id", "score", "codes")

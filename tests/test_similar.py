@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,22 @@ def test_equal_sets_of_many_devices(spark):
     found = similar.code_sets(codes, info)
     assert similar.candidates(found.join(queries, "device_id", "left_semi"), found, 4, 0.5).count() <= 2 * 10
     assert best(similar.most_alike(codes, info, queries, 4), 4) == brute(sets, models, ["D0000", "D1999"], 4, 0.5)
+
+
+def test_long_sets_of_common_codes_make_no_pairs(spark):
+    """Sets of half of all codes: every pair shares some, so a bound on one code opens all; scores that round to a tie."""
+    r = random.Random(2)
+    names = [f"C{i}" for i in range(32)]
+    sets = {f"D{i:03d}": set(r.sample(names, r.choice([1, 15, 16, 17]))) for i in range(200)} | {f"E{i}": set(names[:16]) for i in range(9)}
+    models = {d: r.choice(["a", None]) for d in sets} | {"G": None, "H": "a"}
+    asked = sorted(models)[::9] + ["E3", "G", "H"]
+    codes, info, queries = frames(spark, sets, models, asked)
+    made = similar.most_alike(codes, info, queries, 4)
+    assert best(made, 4) == brute(sets, models, sorted(set(asked)), 4, 0.5)
+    assert made.count() <= len(set(asked)) * 5 < len(asked) * 200 / 20
+
+
+def test_rounding_is_that_of_spark(spark):
+    scores = sorted({n / d + w for d in range(1, 90) for n in range(d + 1) for w in (0.0, 0.5)})
+    want = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "i int, s double").select("i", F.round("s", 3).alias("r")).orderBy("i").collect()
+    assert [x["r"] for x in want] == similar._rounded(np.array(scores)).tolist()
