@@ -144,10 +144,20 @@ def codes_in(c: Column, vendor: str | None = None) -> Column:
 
 
 def components_in(c: Column, vocabulary: dict[str, tuple[str, ...]] = COMPONENTS) -> Column:
-    """Components that a text names, sorted."""
-    low = F.lower(c)
-    named = [F.when(reduce(lambda a, b: a | b, [low.contains(n.lower()) for n in (name, *synonyms)]), F.lit(name)) for name, synonyms in vocabulary.items()]
-    return F.array_sort(F.array_compact(F.array(*named)))
+    """Components that a text names, sorted.
+
+    The text is bound to a variable, so that it is made and lower-cased once and not for each name.
+    """
+
+    def named(low: Column) -> Column:
+        return F.array(*[F.when(reduce(lambda a, b: a | b, [low.contains(n) for n in _shortest({n.lower() for n in (name, *synonyms)})]), F.lit(name)) for name, synonyms in vocabulary.items()])
+
+    return F.array_sort(F.array_compact(F.transform(F.array(F.lower(c)), named)[0]))
+
+
+def _shortest(names: set[str]) -> list[str]:
+    """Names without those that hold another: where they stand, the other does."""
+    return sorted(n for n in names if not any(o != n and o in n for o in names))
 
 
 def redact_personal(c: Column, patterns: tuple[tuple[str, str], ...] = PERSONAL) -> Column:

@@ -47,3 +47,10 @@ def test_text(spark):
     assert values(spark, ["C1234 e100 SC543 err-777 ERR-777 12-345-67"], C.codes_in) == [["12-345-67", "C1234", "C543", "ERR-777", "SC543"]]
     assert values(spark, ["OPC drum and Печка", "nothing"], C.components_in) == [["drum", "fuser"], []]
     assert values(spark, ["Xerox AltaLink B8090", "", None], C.model_slug) == ["altalink_b8090", "unknown", "unknown"]
+
+
+def test_components_lower_a_text_once(spark):
+    rows = spark.createDataFrame([("The FUSER Unit and ITB",), ("",), (None,), ("Тонер, wi-fi",)], "t string")
+    out = rows.select(C.components_in(F.col("t")).alias("c"))
+    assert [r["c"] for r in out.collect()] == [["fuser", "transfer"], [], [], ["network", "toner"]]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 1
