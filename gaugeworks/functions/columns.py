@@ -160,5 +160,10 @@ def _shortest(names: set[str]) -> list[str]:
     return sorted(n for n in names if not any(o != n and o in n for o in names))
 
 
-def redact_personal(c: Column, patterns: tuple[tuple[str, str], ...] = PERSONAL) -> Column:
-    return reduce(lambda s, p: F.regexp_replace(s, p[0], p[1]), patterns, c)
+def redact_personal(c: Column, patterns: tuple[tuple[str, ...], ...] = PERSONAL) -> Column:
+    """Matches of each pattern replaced; with a third value, which every match holds, only texts that hold it are searched."""
+    out = c
+    for pattern, by, *held in patterns:
+        found = F.regexp_replace(out, pattern, by)
+        out = F.when(c.contains(held[0]), found).otherwise(out) if held else found
+    return out

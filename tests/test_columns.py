@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,18 @@ def test_text(spark):
     assert values(spark, ["Xerox AltaLink B8090", "", None], C.model_slug) == ["altalink_b8090", "unknown", "unknown"]
 
 
+def test_redaction_takes_steps_in_proportion_to_a_run(spark):
+    """The same as the plain pattern, also behind a match inside a run; a long run without an address ends soon."""
+    plain = (C.PERSONAL[0][:2], (r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+", "[EMAIL]"))
+    texts = ["a@b.c+d@e.f", "x@y", "@a.b", "a.b@c-d.e.f, +7 (912) 345-67-89 q@w.e", "é@ü.ß-@z.z", "a@b@c.d", "+7 9123456789@mail.ru", "a@@b.c", "a+@b.c@d.e+f@g.h", "", None, "日本@語.jp日+本@a.b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(C.redact_personal(F.col("t")).alias("a"), C.redact_personal(F.col("t"), plain).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[0]["a"] == "[EMAIL][EMAIL]"
+    start = time.monotonic()
+    assert spark.range(1).select(F.concat(F.repeat(F.lit("x"), 300_000), F.lit(" a@b.c")).alias("t")).select(F.right(C.redact_personal(F.col("t")), F.lit(8)).alias("t")).first()["t"] == "x [EMAIL]"[1:]
+    assert time.monotonic() - start < 20
+
+
 def test_components_lower_a_text_once(spark):
     rows = spark.createDataFrame([("The FUSER Unit and ITB",), ("",), (None,), ("Тонер, wi-fi",)], "t string")
     out = rows.select(C.components_in(F.col("t")).alias("c"))
