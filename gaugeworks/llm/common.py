@@ -51,15 +51,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_chunks(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of whole texts of about ``limit`` bytes with the index of their first; null is empty.
-
-    Only one run at a time is turned into Python strings; a text longer than ``limit`` is a run of its own.
-    """
+def text_runs(texts: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of whole texts of about ``limit`` bytes with the index of their first; a text longer than ``limit`` is a run of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         before = int(ends[start - 1]) if start else 0
         end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-        yield start, [x or "" for x in texts.slice(start, end - start).to_pylist()]
+        yield start, texts.slice(start, end - start)
         start = end
+
+
+def text_chunks(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """The runs of ``text_runs`` as Python strings, one run at a time; null is empty."""
+    for start, run in text_runs(texts, limit):
+        yield start, [x or "" for x in run.to_pylist()]

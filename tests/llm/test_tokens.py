@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -122,6 +123,56 @@ def test_word_encoding_is_the_library():
     assert [list(a) for a in token_files.encode_texts(odd, WORDS)] == [x.ids for x in library.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_word_encoding_of_whole_documents_is_the_library(docs):
+    library = Tokenizer.from_file(WORDS)
+    texts = [r.text or "" for r in docs.collect()]
+    assert [list(a) for a in token_files.encode_texts(texts, WORDS)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_word_encoding_of_apostrophes_and_letters():
+    library = Tokenizer.from_file(WORDS)
+    odd = [f"a{chr(c)}b '{chr(c)}s" for c in range(0x250)] + ["it'", "s'", "'", "s", "'l", "l", "'s's''s 'tis 'll'v'e''re9're", "<", "|", "Ã", "é'RE", "", "\"'s"]
+    rng = random.Random(5)
+    odd += ["".join(rng.choice("'''stmdrevl  lLSa1.é\n!Ÿ0<|") for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    want = [x.ids for x in library.encode_batch(odd, add_special_tokens=False)]
+    assert [list(a) for a in token_files.encode_texts(odd, WORDS)] == want
+    assert [list(a) for a in token_files.encode_texts(pa.array([None, *odd]), WORDS)] == [[], *want]
+    assert token_files.encode_texts([], WORDS) == []
+
+
+def test_word_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(token_files, "CACHED", 6)
+    library, own = Tokenizer.from_file(WORDS), token_files._Words(WORDS)
+    monkeypatch.setattr(token_files, "_words", lambda path: own)
+    for k in range(8):
+        texts = [f"{hashlib.sha256(bytes([k, i])).hexdigest()[:9]} the of and 中{k}文字文字文字文字" for i in range(20)]
+        assert [list(a) for a in token_files.encode_texts(texts, WORDS)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert all(len(p) <= 6 for p in own.parts) and len(own.parts) == len(own.ends) - 1 < 50 + 300
+        assert all(len(w) <= 6 for w in own.words) and own.ends[-1] == len(own.ids)
+
+
+def test_coder_ends_a_block_with_one_word():
+    assert [len(b) for b in range_coder.encode(np.array([0]))[0]] == [2]
+    ids = np.random.default_rng(3).zipf(1.3, range_coder.BLOCK * 40 + 77) % 40_000  # long and short lanes, many carries
+    blocks, sizes, checks = range_coder.encode(ids)
+    assert (range_coder.decode(blocks, sizes, checks) == ids).all()
+    assert (range_coder.decode(blocks[-2:], sizes[-2:], checks[-2:]) == ids[-range_coder.BLOCK - 77 :]).all()
+
+
+def test_parts_are_large(spark, docs, tmp_path):
+    """The blocks of a part are coded in step, so parts are half as many as partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 6)
+    try:
+        token_files.write(docs, str(tmp_path / "c"), WORDS)
+        chunks = spark.read.parquet(str(tmp_path / "c"))
+        assert chunks.select("part").distinct().count() == 3
+        assert token_files.read(spark, str(tmp_path / "c")).count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_token_files(spark, edges, empty, tmp_path):
     library = Tokenizer.from_file(WORDS)
     token_files.write(edges, str(tmp_path / "a"), WORDS)
