@@ -74,7 +74,8 @@ def links(prints: DataFrame) -> DataFrame:
 
     few = table.join(busy, ["half", "key"], "left_anti").withColumnRenamed("bits", "other")
     close = lambda d: d.filter((bits < F.col("other")) & (F.bit_count(bits.bitwiseXOR(F.col("other"))) <= 2)).select(bits.alias("src"), F.col("other").alias("dst"))
-    found = close(search.join(few, ["half", "key"]))
+    # Spark takes an explode to keep the number of rows: 34 for each fingerprint would seem small enough to broadcast.
+    found = close(search.hint("merge").join(few, ["half", "key"]))
 
     many = search.join(busy, ["half", "key"], "left_semi")
     same = F.when(F.col("half") == 0, F.col("key") == high).otherwise(F.lit(True))

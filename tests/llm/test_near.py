@@ -50,6 +50,31 @@ def test_links(spark, monkeypatch, busy):
     assert {(x.src, x.dst) for x in got.collect()} == want and want
 
 
+def broadcast_rows(df):
+    """The rows of each table that running ``df`` broadcast."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "BroadcastExchangeExec":
+            out.append(node.metrics().get("numOutputRows").get().value())
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())] + [inner] * (inner is not None)
+    return out
+
+
+def test_tries_are_not_broadcast(spark):
+    """Each fingerprint is looked for under 34 keys, which Spark counts as one row."""
+    r = random.Random(7)
+    values = {r.getrandbits(62) for _ in range(3000)}
+    values |= {v ^ 5 for v in values}  # links, so that no part of the plan is left out as empty
+    prints = spark.createDataFrame([(v,) for v in values], "bits long").groupBy("bits").count().select("bits")
+    links = simhash.links(prints)
+    assert max(broadcast_rows(links), default=0) <= len(values) and links.count() >= 3000
+
+
 def test_components(spark):
     r = random.Random(5)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + r.randint(0, 60), 100 + r.randint(0, 60)) for _ in range(45)] + [(-5, -5), (-7, -6), (-6, -7)]
