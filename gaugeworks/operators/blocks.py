@@ -18,6 +18,7 @@ LEAST = 2048  # fewer rows aren't worth a further block
 CELLS = 2_000_000  # pairs that are scored at a time, and postings that are added at a time
 COMMON = 256  # so many of a block's most common words, if a row in RARE has them, are a matrix; the others are postings
 RARE = 64
+SHORT = 64  # postings of a word, up to which a list isn't worth being taken apart from others
 ROWS = 2048  # whose words are counted at a time
 
 
@@ -54,24 +55,26 @@ class Block:
         word, row, tf = (np.concatenate([p[i] for p in self.pieces] or [np.zeros(0, np.int32)]) for i in range(3))
         self.pieces, self.sizes = [], np.concatenate(self.lengths or [np.zeros(0, np.int64)])
         order = np.argsort(word, kind="stable")
-        word, self.row = word[order], row[order]
-        self.part = weigh(tf[order], self.sizes[self.row]).astype(np.float64)
-        self.df = np.bincount(word, minlength=len(self.vocabulary))
-        self.start = np.cumsum(self.df) - self.df
-        often = np.argsort(-self.df, kind="stable")[:COMMON]
-        often = often[self.df[often] * RARE >= len(self.names)]
+        word, row = word[order], row[order]
+        part = weigh(tf[order], self.sizes[row]).astype(np.float64)
+        df = np.bincount(word, minlength=len(self.vocabulary))
+        often = np.argsort(-df, kind="stable")[:COMMON]
+        often = often[df[often] * RARE >= len(self.names)]
         self.common = np.full(len(self.vocabulary), -1, np.int64)
         self.common[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), len(self.names)))
-        for i, w in enumerate(often):
-            held = slice(self.start[w], self.start[w] + self.df[w])
-            self.matrix[i, self.row[held]] = self.part[held]
-
-    def scores(self, words: pa.ListArray, weights: pa.ListArray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """For runs of the queries, the first one's number and the sums of weight x weight of each with every row.
+        column = self.common[word]
+        self.matrix = np.zeros((len(self.names), len(often)))
+        self.matrix[row[column >= 0], column[column >= 0]] = part[column >= 0]
+        self.coarse = np.ascontiguousarray(self.matrix.T, np.float32)
+        # What the matrix has isn't kept as postings. A row and its part stand side by side, as lists are read at random.
+        self.posted = np.empty((int((column < 0).sum()), 2), np.int64)
+        self.posted[:, 0] = row[column < 0]
+        self.posted[:, 1] = part[column < 0].view(np.int64)
+        self.df = np.where(self.common < 0, df, 0)
+        self.start = np.cumsum(self.df) - self.df
 
-        The words of a query are distinct; without ``weights`` each has 1.
-        """
+    def _runs(self, words: pa.ListArray, weights: pa.ListArray | None, cells: int) -> Iterator[tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+        """For runs of the queries, the first one's number, the weights of common words, and of each query its other words and their weights."""
         n = len(self.names)
         if not n:
             return
@@ -79,7 +82,7 @@ class Block:
         flat = words.flatten().dictionary_encode()
         ids = np.array([self.vocabulary.get(w, -1) for w in flat.dictionary.to_pylist()] or [-1], np.int64)[flat.indices.to_numpy(zero_copy_only=False)]
         weight = np.ones(len(ids)) if weights is None else weights.flatten().to_numpy(zero_copy_only=False)
-        width = max(1, CELLS // n)
+        width = max(1, cells // n)
         for first in range(0, len(words), width):
             last = min(first + width, len(words))
             lo, hi = (ends[first - 1] if first else 0), ends[last - 1]
@@ -87,19 +90,65 @@ class Block:
             met = ids[lo:hi] >= 0
             w, x, q = ids[lo:hi][met], weight[lo:hi][met], query[met]
             dense = self.common[w]
-            asked = np.zeros((last - first, len(self.matrix)))
+            asked = np.zeros((last - first, self.matrix.shape[1]))
             asked[q[dense >= 0], dense[dense >= 0]] = x[dense >= 0]
-            out = asked @ self.matrix
             w, x, q = w[dense < 0], x[dense < 0], q[dense < 0]
-            total = np.cumsum(self.df[w])
-            cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + CELLS, CELLS))) if len(w) else [0]
-            for a, b in zip(cuts[:-1], [*cuts[1:-1], len(w)], strict=False):
-                df = self.df[w[a:b]]
-                held = np.repeat(self.start[w[a:b]] - (np.cumsum(df) - df), df) + np.arange(df.sum())
-                cell = np.repeat(q[a:b] * n, df) + self.row[held]
-                out += np.bincount(cell, self.part[held] * np.repeat(x[a:b], df), minlength=out.size).reshape(out.shape)
+            at = np.searchsorted(q, np.arange(last - first + 1))
+            yield first, asked, [(w[a:b], x[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _others(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The sums of a query's words that aren't common; at most CELLS postings, or one list, are added at a time."""
+        out = np.zeros(len(self.names))
+        df = self.df[w]
+        order = np.argsort(df >= SHORT, kind="stable")
+        w, x, df = w[order], x[order], df[order]
+        total = np.cumsum(df)
+        cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + CELLS, CELLS))) if len(w) else [0]
+        for a, b in zip(cuts[:-1], [*cuts[1:-1], len(w)], strict=False):
+            size, start = df[a:b], self.start[w[a:b]]
+            few = int(np.count_nonzero(size < SHORT))
+            # Long lists are taken as they lie, short ones by the places of their postings.
+            held = np.repeat(start[:few] - (np.cumsum(size[:few]) - size[:few]), size[:few]) + np.arange(size[:few].sum())
+            lists = [self.posted[s:e] for s, e in zip(start[few:].tolist(), (start + size)[few:].tolist(), strict=True)]
+            posted = np.concatenate([self.posted[held], *lists])
+            out += np.bincount(posted[:, 0], posted[:, 1].view(np.float64) * np.repeat(x[a:b], size), minlength=len(out))
+        return out
+
+    def scores(self, words: pa.ListArray, weights: pa.ListArray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """For runs of the queries, the first one's number and the sums of weight x weight of each with every row.
+
+        The words of a query are distinct; without ``weights`` each has 1.
+        """
+        for first, asked, others in self._runs(words, weights, CELLS):
+            out = asked @ self.matrix.T
+            for i, (w, x) in enumerate(others):
+                out[i] += self._others(w, x)
             yield first, out
 
+    def top(self, words: pa.ListArray, weights: pa.ListArray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each query's number, its ``k`` rows of largest sums above 0 as rounded to 6 digits, ties by row, and these sums.
+
+        No weight is below 0. Common words are summed in single precision first; by the bound of the error of that, rows
+        that may be among the best are told, and summed in double precision.
+        """
+        n = len(self.names)
+        strips = min(n, 8 * k)
+        for first, asked, others in self._runs(words, weights, 2 * CELLS):
+            near = asked.astype(np.float32) @ self.coarse
+            for i, (w, x) in enumerate(others):
+                rest = self._others(w, x)
+                score = near[i] + rest
+                least = 0.0
+                if strips > k:
+                    # The k-th largest of the strips' largest is at most the k-th largest of all.
+                    most = score[: n // strips * strips].reshape(strips, -1).max(axis=1)
+                    error = (asked.shape[1] + 8) * 2.0**-23 * float(near[i].max()) + 1e-6
+                    least = np.partition(most, strips - k)[strips - k] - 2 * error
+                found = np.flatnonzero(score >= least) if least > 0 else np.flatnonzero(score > 0)
+                exact = np.round(self.matrix[found] @ asked[i] + rest[found], 6)
+                order = np.lexsort((found, -exact))[:k]
+                yield first + i, found[order], exact[order]
+
 
 def best(score: np.ndarray, k: int, slack: float = 0.0, rounded: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the ``k`` largest of each row, the largest first, ties by column; minus infinity never counts.

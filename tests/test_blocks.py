@@ -55,6 +55,38 @@ def test_scores_are_sums_of_products(monkeypatch, cells, common):
     assert np.allclose(out, want) and ((out > 0) == (np.array(want) > 0)).all()
 
 
+@pytest.mark.parametrize("cells, common, k", [(2_000_000, 256, 5), (300, 2, 7), (300, 0, 1), (2_000_000, 256, 100)])
+def test_top_is_exact(monkeypatch, cells, common, k):
+    """Sums in single precision only tell which rows can be among the best: near ties go by the whole sum, equal ones by row."""
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    monkeypatch.setattr(blocks, "COMMON", common)
+    monkeypatch.setattr(blocks, "SHORT", 9)
+    r = np.random.default_rng(11)
+    rows = [[f"w{min(r.zipf(1.3), 60)}" for _ in range(r.integers(0, 25))] for _ in range(90)]
+    rows += rows[:10] + [["near"] * 2] * 3 + [["near"]] * 9
+    asked = [sorted({f"w{min(r.zipf(1.4), 70)}" for _ in range(15)}) for _ in range(30)] + [[], ["nowhere"], ["near"]]
+    weights = [[1000 + float(r.random()) for _ in q] for q in asked]
+    block = blocks.Block()
+    block.add(pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.string())))
+    block.close(lambda tf, size: 1 + 1e-7 * tf)  # single precision can't tell these apart
+    got = {i: (at.tolist(), score.tolist()) for i, at, score in block.top(pa.array(asked, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64())), k)}
+    for i, (q, ws) in enumerate(zip(asked, weights, strict=True)):
+        sums = [round(sum(x * (1 + 1e-7 * row.count(w)) for w, x in zip(q, ws, strict=True) if w in row), 6) for row in rows]
+        want = sorted((n for n, s in enumerate(sums) if s > 0), key=lambda n: (-sums[n], n))[:k]
+        assert got[i][0] == want and np.allclose(got[i][1], [sums[n] for n in want], rtol=0, atol=2e-6)
+
+
+def test_only_texts_of_queries_are_read_as_queries(spark, monkeypatch):
+    """No condition takes the words of all texts to find those of the few that are queries."""
+    plans = []
+    monkeypatch.setattr(retrieval, "stored", lambda df, f=retrieval.stored: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    chunks = spark.createDataFrame([(i, f"w{i % 7} w{i % 3}") for i in range(100)], "chunk_id long, text string")
+    queries = chunks.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    assert retrieval.lexical_topk(queries, chunks, 3).count() == 6
+    filters = [line for plan in plans for line in plan.splitlines() if "Filter" in line and "split" in line and "% 50" in line]
+    assert plans and not filters
+
+
 def test_long_queries_move_no_pairs(spark):
     """Every chunk as a query: what is shuffled are chunks, queries and the best of each block."""
     r = np.random.default_rng(5)
