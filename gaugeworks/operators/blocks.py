@@ -52,26 +52,35 @@ class Block:
 
     def close(self, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
         """No more rows; ``weigh`` gives the weights of words from how often they stand in a row and the row's size."""
-        word, row, tf = (np.concatenate([p[i] for p in self.pieces] or [np.zeros(0, np.int32)]) for i in range(3))
-        self.pieces, self.sizes = [], np.concatenate(self.lengths or [np.zeros(0, np.int64)])
-        order = np.argsort(word, kind="stable")
-        word, row = word[order], row[order]
-        part = weigh(tf[order], self.sizes[row]).astype(np.float64)
-        df = np.bincount(word, minlength=len(self.vocabulary))
+        n, self.sizes = len(self.names), np.concatenate(self.lengths or [np.zeros(0, np.int64)])
+        df = np.zeros(len(self.vocabulary), np.int64)
+        for word, _, _ in self.pieces:
+            df += np.bincount(word, minlength=len(df))
         often = np.argsort(-df, kind="stable")[:COMMON]
-        often = often[df[often] * RARE >= len(self.names)]
-        self.common = np.full(len(self.vocabulary), -1, np.int64)
+        often = often[df[often] * RARE >= n]
+        self.common = np.full(len(df), -1, np.int64)
         self.common[often] = np.arange(len(often))
-        column = self.common[word]
-        self.matrix = np.zeros((len(self.names), len(often)))
-        self.matrix[row[column >= 0], column[column >= 0]] = part[column >= 0]
-        self.coarse = np.ascontiguousarray(self.matrix.T, np.float32)
+        self.matrix = np.zeros((n, len(often)))
         # What the matrix has isn't kept as postings. A row and its part stand side by side, as lists are read at random.
-        self.posted = np.empty((int((column < 0).sum()), 2), np.int64)
-        self.posted[:, 0] = row[column < 0]
-        self.posted[:, 1] = part[column < 0].view(np.int64)
         self.df = np.where(self.common < 0, df, 0)
         self.start = np.cumsum(self.df) - self.df
+        self.posted = np.empty((int(self.df.sum()), 2), np.int64)
+        # Piece by piece, each of which is let go, so that nothing beside the result is as long as all words.
+        free = self.start.copy()
+        self.pieces.reverse()
+        while self.pieces:
+            word, row, tf = self.pieces.pop()
+            part = weigh(tf, self.sizes[row]).astype(np.float64)
+            column = self.common[word]
+            here = column >= 0
+            self.matrix[row[here], column[here]] = part[here]
+            word, row, part = word[~here], row[~here], part[~here]
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            times = np.diff(first, append=len(word))
+            at = np.repeat(free[word[first]] - first, times) + np.arange(len(word))
+            self.posted[at, 0], self.posted[at, 1] = row, part.view(np.int64)
+            free[word[first]] += times
+        self.coarse = np.ascontiguousarray(self.matrix.T, np.float32)
 
     def _runs(self, words: pa.ListArray, weights: pa.ListArray | None, cells: int) -> Iterator[tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
         """For runs of the queries, the first one's number, the weights of common words, and of each query its other words and their weights."""
