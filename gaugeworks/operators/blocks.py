@@ -106,13 +106,13 @@ class Block:
             yield first, asked, [(w[a:b], x[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def _others(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """The sums of a query's words that aren't common; at most CELLS postings, or one list, are added at a time."""
+        """The sums of a query's words that aren't common; at most a quarter of CELLS postings, or one list, are added at a time."""
         out = np.zeros(len(self.names))
         df = self.df[w]
         order = np.argsort(df >= SHORT, kind="stable")
         w, x, df = w[order], x[order], df[order]
-        total = np.cumsum(df)
-        cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + CELLS, CELLS))) if len(w) else [0]
+        total, cells = np.cumsum(df), max(1, CELLS // 4)
+        cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + cells, cells))) if len(w) else [0]
         for a, b in zip(cuts[:-1], [*cuts[1:-1], len(w)], strict=False):
             size, start = df[a:b], self.start[w[a:b]]
             few = int(np.count_nonzero(size < SHORT))
