@@ -52,6 +52,7 @@ class Block:
 
     def close(self, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
         """No more rows; ``weigh`` gives the weights of words from how often they stand in a row and the row's size."""
+        pa.default_memory_pool().release_unused()  # what the texts took
         n, self.sizes = len(self.names), np.concatenate(self.lengths or [np.zeros(0, np.int64)])
         df = np.zeros(len(self.vocabulary), np.int64)
         for word, _, _ in self.pieces:
